@@ -227,15 +227,20 @@ def time_sql() -> dict[str, str]:
     )
     view = ("venta_neta_total", "margen_neto_total", "pct_margen_bruto", "unidades_total", "clientes_activos", "num_pedidos", "aov")
     prev = ", ".join(f"p.{m} AS {m}_prev" for m in METRICS)
-    ytd = f"strftime(fecha, '%m-%d') <= '{AS_OF:%m-%d}'"
+
+    def year_to_date(source: str) -> str:
+        ytd = f"strftime(fecha, '%m-%d') <= '{AS_OF:%m-%d}'"
+        return with_(
+            f"c AS (SELECT {figures()} FROM {source} WHERE anno = {THIS} AND {ytd})",
+            f"p AS (SELECT {figures()} FROM {source} WHERE anno = {THIS - 1} AND {ytd})",
+        ) + f"SELECT {big(THIS)} AS anno, '{AS_OF.isoformat()}' AS fecha_corte, c.*, {prev} FROM c, p"
+
     return {
         "kpi_global": with_() + f"SELECT {figures(view)} FROM sales",
         "kpi_year": with_() + kpi_rows(YEAR),
         "kpi_year_running": with_() + kpi_rows(THIS),
-        "kpi_ytd": with_(
-            f"c AS (SELECT {figures()} FROM sales WHERE anno = {THIS} AND {ytd})",
-            f"p AS (SELECT {figures()} FROM sales WHERE anno = {THIS - 1} AND {ytd})",
-        ) + f"SELECT {big(THIS)} AS anno, '{AS_OF.isoformat()}' AS fecha_corte, c.*, {prev} FROM c, p",
+        "kpi_ytd": year_to_date("sales"),
+        "kpi_ytd_live": year_to_date("g"),
         "kpi_yoy_delta": with_(
             f"c AS (SELECT {figures()} FROM g WHERE anno = {YEAR})", f"p AS (SELECT {figures()} FROM g WHERE anno = {YEAR - 1})"
         ) + deltas,

@@ -14,7 +14,7 @@ from cellarline.operators import customers, finance, forecast, kpi, products, ti
 from cellarline.plans import materialize
 from cellarline.plans.dashboard import dashboard_bundle
 from cellarline.plans.sample import ACCOUNT, AS_OF, CFG, PERIOD, YEAR, YEARS
-from cellarline.plans.warehouse import sales_table
+from cellarline.plans.warehouse import derived_table, sales_table
 from cellarline.sources import fact, sheets, storage
 from cellarline.streaming.incremental import append_stream
 
@@ -98,6 +98,7 @@ on_fact("kpi_global", kpi.kpi_global, False)
 on_fact("kpi_year", kpi.kpi_year, True, YEAR, AS_OF)
 on_fact("kpi_year_running", kpi.kpi_year, True, AS_OF.year, AS_OF)
 on_fact("kpi_ytd", kpi.kpi_ytd, False, AS_OF)
+on_fact("kpi_ytd_live", kpi.kpi_ytd, True, AS_OF)
 on_fact("kpi_yoy_delta", kpi.kpi_yoy_delta, True, YEAR, AS_OF)
 on_fact("serie_mensual", timeops.serie_mensual, False)
 on_fact("serie_mensual_year", timeops.serie_mensual, False, YEAR)
@@ -235,24 +236,32 @@ _QUERIES["forecast_productos"] = _product_forecast
 _QUERIES["forecast_productos_global"] = lambda spark, folder: _product_forecast(spark, folder, "global")
 
 
+def _stored_product_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """The product table as the forecast batch leaves it; its readers do not forecast again."""
+    schema = forecast.FORECAST_PRODUCTS_SCHEMA
+    return derived_table(spark, folder, "forecast_productos", schema, lambda: _product_forecast(spark, folder))
+
+
 @query("read_forecast_total")
 def _read_forecast_total(spark, folder):
-    return forecast.read_forecast_total(_total_forecast(spark, folder))
+    schema = forecast.FORECAST_TOTAL_SCHEMA
+    table = derived_table(spark, folder, "forecast_total", schema, lambda: _total_forecast(spark, folder))
+    return forecast.read_forecast_total(table)
 
 
 @query("read_forecast_productos")
 def _read_forecast_productos(spark, folder):
-    return forecast.read_forecast_productos(_product_forecast(spark, folder), "red widget")
+    return forecast.read_forecast_productos(_stored_product_forecast(spark, folder), "red widget")
 
 
 @query("forecast_catalogo")
 def _forecast_catalogo(spark, folder):
-    return forecast.forecast_catalogo(_product_forecast(spark, folder))
+    return forecast.forecast_catalogo(_stored_product_forecast(spark, folder))
 
 
 @query("forecast_rollup_3m")
 def _forecast_rollup(spark, folder):
-    return forecast.forecast_rollup_3m(_product_forecast(spark, folder))
+    return forecast.forecast_rollup_3m(_stored_product_forecast(spark, folder))
 
 
 @query("write_truncate")
@@ -265,7 +274,7 @@ def _write_truncate(spark, folder):
 @query("export_csv")
 def _export_csv(spark, folder):
     path = scratch(spark, "forecast_productos_csv")
-    table = _product_forecast(spark, folder)
+    table = _stored_product_forecast(spark, folder)
     storage.export_csv(table.filter(F.col("tipo") == forecast.TAG_FORECAST), path)
     return spark.read.schema(forecast.FORECAST_PRODUCTS_SCHEMA).option("header", True).csv(path)
 

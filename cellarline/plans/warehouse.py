@@ -1,54 +1,66 @@
-"""The sales fact as a written table, shared by all queries on the same input."""
+"""Tables derived from the star, written once per state of its files and shared by all queries."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+from pyspark.sql.types import StructType
 
 from cellarline.sources.fact import SALES_SCHEMA, STAR_TABLES, read_star, sales_fact
-from cellarline.sources.storage import files_signature, shared_dir, write_truncate
+from cellarline.sources.storage import files_signature, read_table, shared_dir, write_truncate
 
+# Raise it with every change of what a derived table holds, so that older copies are not taken.
+VERSION = 1
 
-# Raise it with every change of what sales_fact computes, so that older copies are not taken.
-FACT_VERSION = 1
 
-
-def _known_copy(spark: SparkSession, pointer: str) -> DataFrame | None:
+def _known_copy(spark: SparkSession, pointer: str, schema: StructType) -> DataFrame | None:
     try:
         row = spark.read.schema("path string").parquet(pointer).first()
-        return _read(spark, row["path"]) if row else None
+        return read_table(spark, row["path"], schema) if row else None
     except AnalysisException:
         return None
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SALES_SCHEMA).parquet(path)
-
-
-def sales_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The fact over the star in ``folder``, joined once and then read by every query.
-
-    The joins are the most expensive part of any report, and every report needs them; so the joined rows
-    are written once per state of the input files, partitioned by year, to the folder that
-    ``spark.checkpoint.dir`` names. Readers get column pruning, row-group skipping and year pruning, and
-    an executor that is lost later costs no join. The copy is named after the input files' names, sizes and
-    change times, so changed input gets a new one. A pointer is written only behind a finished copy: a
-    half-written one is never read, and of two sessions that build at once either copy may be used.
+def derived_table(
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    schema: StructType,
+    build: Callable[[], DataFrame],
+    partition_by: tuple[str, ...] = (),
+) -> DataFrame:
+    """``build()`` as a written table under the folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster without the setting the plain join is returned.
+    The copy is named after the names, sizes and change times of the star's files, so changed input gets a
+    new one. A pointer is written only behind a finished copy: a half-written one is never read, and of two
+    sessions that build at once either copy may be used. On a cluster without the setting the frame is
+    returned as it is.
     """
     root = shared_dir(spark)
     if root is None:
-        return sales_fact(read_star(spark, folder))
-    state = files_signature(spark, [f"{folder}/{name}.parquet" for name in STAR_TABLES])
-    home = f"{root}/sales/v{FACT_VERSION}-{state}"
-    known = _known_copy(spark, f"{home}/current")
+        return build()
+    state = files_signature(spark, [f"{folder}/{table}.parquet" for table in STAR_TABLES])
+    home = f"{root}/{name}/v{VERSION}-{state}"
+    known = _known_copy(spark, f"{home}/current", schema)
     if known is not None:
         return known
     path = f"{home}/rows-{uuid.uuid4().hex}"
-    write_truncate(sales_fact(read_star(spark, folder)), path, partition_by=("anno",))
+    write_truncate(build(), path, partition_by=partition_by)
     spark.range(1).select(F.lit(path).alias("path")).coalesce(1).write.mode("overwrite").parquet(f"{home}/current")
-    return _read(spark, path)
+    return read_table(spark, path, schema)
+
+
+def sales_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The fact over the star in ``folder``, joined once and then read by every query.
+
+    The joins are the most expensive part of any report, and every report needs them. Partitioned by year,
+    the written rows give readers column pruning, row-group skipping and year pruning, and an executor that
+    is lost later costs no join.
+    """
+    return derived_table(
+        spark, folder, "sales", SALES_SCHEMA, lambda: sales_fact(read_star(spark, folder)), partition_by=("anno",)
+    )

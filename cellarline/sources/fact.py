@@ -54,7 +54,6 @@ def sales_fact(tables: dict[str, DataFrame], cost_rate: str = "0.6") -> DataFram
     lines = tables["lineitem"].select(
         "l_orderkey", "l_partkey", "l_suppkey",
         F.col("l_quantity").cast("bigint").alias("cantidad"),
-        F.col("l_quantity").cast("decimal(6,0)").alias("_units"),
         (F.col("l_extendedprice").cast("decimal(12,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")))
         .cast("decimal(18,4)").alias("venta_neta_mn"),
     )
@@ -74,15 +73,16 @@ def sales_fact(tables: dict[str, DataFrame], cost_rate: str = "0.6") -> DataFram
     )
     sellers = tables["supplier"].select("s_suppkey", "s_nationkey", F.col("s_name").alias("vendedor"))
     nations = tables["nation"].select("n_nationkey", F.col("n_name").alias("pais_origen_producto"))
-    origins = sellers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-
+    # Orders meet their customer first, which shuffles the narrow orders by customer and not the lines. The
+    # lines meet them next, while they are still narrow; the dimensions widen them last.
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     joined = (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(origins, F.col("l_suppkey") == F.col("s_suppkey"))
-        # Orders meet their customer first, so the wide line rows are shuffled once for both.
-        .join(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("cod_venta"))
+        lines.join(placed, F.col("l_orderkey") == F.col("cod_venta"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     )
-    cost = (F.col("_unit_cost") * F.col("_units")).cast("decimal(18,4)")
+    cost = (F.col("_unit_cost") * F.col("cantidad").cast("decimal(6,0)")).cast("decimal(18,4)")
     priced = joined.withColumn("costo_mn_total", cost)
     shaped = (
         priced.withColumn("margen_mn", (F.col("venta_neta_mn") - F.col("costo_mn_total")).cast("decimal(18,4)"))
