@@ -64,16 +64,12 @@ FORECAST_PRODUCTS_SCHEMA = T.StructType(
 
 
 def fc_serie_total(sales: DataFrame) -> DataFrame:
-    """Monthly totals of the whole fact."""
-    return (
-        sales.groupBy(month_start().alias("periodo"), "anno", "mes")
-        .agg(
-            money_sum("venta_neta_mn", 2).alias("venta_neta"),
-            money_sum("margen_mn", 2).alias("margen_neto"),
-            F.sum("cantidad").alias("unidades"),
-            F.count_distinct("cod_venta").alias("pedidos"),
-        )
-        .orderBy("periodo")
+    """Monthly totals of the whole fact, one row per month in no order."""
+    return sales.groupBy(month_start().alias("periodo"), "anno", "mes").agg(
+        money_sum("venta_neta_mn", 2).alias("venta_neta"),
+        money_sum("margen_mn", 2).alias("margen_neto"),
+        F.sum("cantidad").alias("unidades"),
+        F.count_distinct("cod_venta").alias("pedidos"),
     )
 
 
@@ -116,18 +112,15 @@ def fc_serie_productos(sales: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Monthly units per base product under its dominant brand, for products with enough months.
 
     The brand is found and the series summed from one (product, brand, month) aggregate, so the fact is
-    read and shuffled once. The window counts the months of one product.
+    read and shuffled once. The window counts the months of one product. The rows come in no order, as the
+    forecast operators need none.
     """
     units = _units_by_month(sales)
     brands = _dominant(units).select("producto", "marca")
     series = units.groupBy("producto", "periodo", "anno", "mes").agg(F.sum("unidades").alias("unidades"))
     months = F.count("*").over(Window.partitionBy("producto"))
     long_enough = series.withColumn("_months", months).filter(F.col("_months") >= cfg.min_series_months)
-    return (
-        long_enough.join(brands, "producto")
-        .select("producto", "marca", "periodo", "anno", "mes", "unidades")
-        .orderBy("producto", "periodo")
-    )
+    return long_enough.join(brands, "producto").select("producto", "marca", "periodo", "anno", "mes", "unidades")
 
 
 def zero_fill_grid(series: DataFrame, calendar: DataFrame | None = None, last: str | None = None) -> DataFrame:

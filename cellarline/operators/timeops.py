@@ -44,31 +44,29 @@ def serie_mensual(sales: DataFrame, anno: int | None = None) -> DataFrame:
     ).orderBy("periodo")
 
 
-def estacionalidad(sales: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Month revenue against the mean month of its year, as index and level.
-
-    The window sees the twelve months of a year, after aggregation.
-    """
+def _seasonal(sales: DataFrame, cfg: Settings) -> DataFrame:
+    # The window sees the twelve months of a year, after aggregation.
     monthly = sales.groupBy("anno", "mes").agg(money_sum("venta_neta_mn").alias("venta_mes"))
     mean = F.avg("venta_mes").over(Window.partitionBy("anno"))
     ratio = F.col("_ratio")
-    return (
-        monthly.withColumn("_ratio", safe_div(F.col("venta_mes"), mean))
-        .select(
-            "anno",
-            "mes",
-            F.date_format(month_start(), "MMM").alias("mes_label"),
-            "venta_mes",
-            round_ratio(ratio * 100.0, 0).alias("indice_estacional"),
-            first_match([(ratio > limit, text) for limit, text in cfg.season_levels], cfg.season_rest).alias("nivel"),
-        )
-        .orderBy("anno", "mes")
+    return monthly.withColumn("_ratio", safe_div(F.col("venta_mes"), mean)).select(
+        "anno",
+        "mes",
+        F.date_format(month_start(), "MMM").alias("mes_label"),
+        "venta_mes",
+        round_ratio(ratio * 100.0, 0).alias("indice_estacional"),
+        first_match([(ratio > limit, text) for limit, text in cfg.season_levels], cfg.season_rest).alias("nivel"),
     )
 
 
+def estacionalidad(sales: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Month revenue against the mean month of its year, as index and level."""
+    return _seasonal(sales, cfg).orderBy("anno", "mes")
+
+
 def estacionalidad_matrix(sales: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Seasonal index with one row per year, latest first, and columns m01..m12; 0 for a missing month."""
-    index = estacionalidad(sales, cfg)
+    index = _seasonal(sales, cfg)
     matrix = index.groupBy("anno").pivot("mes", list(range(1, 13))).agg(F.first("indice_estacional"))
     months = [F.coalesce(F.col(f"`{m}`"), F.lit(0.0)).alias(f"m{m:02d}") for m in range(1, 13)]
     return matrix.select("anno", *months).orderBy(F.desc("anno"))

@@ -17,11 +17,21 @@ from cellarline.sources.storage import files_signature, read_table, shared_dir,
 VERSION = 1
 
 
-def _known_copy(spark: SparkSession, pointer: str, schema: StructType) -> DataFrame | None:
+# Finished copies by their home folder; a home names one state of the input, so an entry never grows old.
+_copies: dict[str, str] = {}
+
+
+def _known_copy(spark: SparkSession, home: str, schema: StructType) -> DataFrame | None:
     try:
-        row = spark.read.schema("path string").parquet(pointer).first()
-        return read_table(spark, row["path"], schema) if row else None
+        if home not in _copies:
+            row = spark.read.schema("path string").parquet(f"{home}/current").first()
+            if row is None:
+                return None
+            _copies[home] = row["path"]
+        return read_table(spark, _copies[home], schema)
     except AnalysisException:
+        # There is no copy yet, or somebody has cleared the folder.
+        _copies.pop(home, None)
         return None
 
 
@@ -45,7 +55,7 @@ def derived_table(
         return build()
     state = files_signature(spark, [f"{folder}/{table}.parquet" for table in STAR_TABLES])
     home = f"{root}/{name}/v{VERSION}-{state}"
-    known = _known_copy(spark, f"{home}/current", schema)
+    known = _known_copy(spark, home, schema)
     if known is not None:
         return known
     path = f"{home}/rows-{uuid.uuid4().hex}"
