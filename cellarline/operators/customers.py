@@ -12,6 +12,7 @@ from cellarline.functions.exprs import (
     as_python_date,
     contains_any,
     days_since,
+    exact_sum,
     first_match,
     money_sum,
     month_start,
@@ -142,7 +143,7 @@ def _rfm(sales: DataFrame, anno: int | None, as_of: Day, cfg: Settings, *extra:
     metrics = in_year(sales, anno).groupBy("cliente").agg(
         F.max("fecha").alias("ultima_compra"),
         F.count_distinct("cod_venta").alias("frecuencia"),
-        F.sum(SALE).alias("total_pen"),
+        exact_sum(SALE).alias("total_pen"),
         *extra,
     )
     days = days_since(F.col("ultima_compra"), as_of)
@@ -160,7 +161,7 @@ def rfm_details(sales: DataFrame, anno: int | None = None, as_of: Day = None, cf
 def rfm_stats(sales: DataFrame, anno: int | None = None, as_of: Day = None, cfg: Settings = DEFAULTS) -> DataFrame:
     """Customers and money per segment; the customer without a name adds money but no count."""
     by_segment = _rfm(sales, anno, as_of, cfg).groupBy("segmento").agg(
-        F.count("cliente").alias("n_clientes"), money_sum("total_pen").alias("valor_pen")
+        F.count("cliente").alias("n_clientes"), F.round(F.sum("total_pen"), 0).cast("double").alias("valor_pen")
     )
     return by_segment.orderBy(F.desc("valor_pen"), "segmento")
 
@@ -192,7 +193,7 @@ def rfm_cross_sell(sales: DataFrame, anno: int | None = None, cfg: Settings = DE
     red, white, sparkling = _kinds(cfg)
     by_customer = in_year(sales, anno).groupBy("cliente").agg(
         F.bool_or(red).alias("red"), F.bool_or(white).alias("white"), F.bool_or(sparkling).alias("sparkling"),
-        F.sum(SALE).alias("_total"),
+        exact_sum(SALE).alias("_total"),
     )
     flags = tuple(F.col(c) for c in ("red", "white", "sparkling"))
     mixed = by_customer.withColumn("mix_type", _mix(cfg, flags, tuple(~f for f in flags)))
@@ -212,7 +213,7 @@ def rfm_mix_details(sales: DataFrame, anno: int | None = None, as_of: Day = None
     """
     names = ("tinto", "blanco", "espumoso")
     amounts = [
-        F.sum(F.when(kind, F.col(SALE)).otherwise(F.lit(0).cast("decimal(18,4)"))).alias(f"{name}_pen")
+        exact_sum(F.when(kind, F.col(SALE)).otherwise(F.lit(0).cast("decimal(18,4)"))).alias(f"{name}_pen")
         for name, kind in zip(names, _kinds(cfg), strict=True)
     ]
     base = _rfm(sales, anno, as_of, cfg, *amounts)
@@ -238,7 +239,7 @@ def retencion(sales: DataFrame, since: int | None = None, as_of: Day = None, cfg
     another. The window groups hold one row per customer and year. A null customer is one customer.
     """
     first = cfg.retention_from if since is None else since
-    yearly = sales.filter(F.col("anno") >= first).groupBy("cliente", "anno").agg(F.sum(SALE).alias("_sale"))
+    yearly = sales.filter(F.col("anno") >= first).groupBy("cliente", "anno").agg(exact_sum(SALE).alias("_sale"))
     # The list of years: as many entries as the calendar has, not as the data has rows.
     years = totals(yearly, list=F.sort_array(F.collect_set("anno")))["list"]
     own = Window.partitionBy("cliente").orderBy("anno")
@@ -296,8 +297,8 @@ def retencion_listado(sales: DataFrame, p1: int, p2: int, tipo: str) -> DataFram
     one, two = F.col("anno") == p1, F.col("anno") == p2
     both = sales.filter(F.col("anno").isin(p1, p2)).groupBy("cliente").agg(
         F.bool_or(one).alias("in1"), F.bool_or(two).alias("in2"),
-        F.sum(F.when(one, F.col(SALE))).cast("double").alias("v1"),
-        F.sum(F.when(two, F.col(SALE))).cast("double").alias("v2"),
+        exact_sum(F.when(one, F.col(SALE))).cast("double").alias("v1"),
+        exact_sum(F.when(two, F.col(SALE))).cast("double").alias("v2"),
     )
     wanted = {
         "nuevos": (~F.col("in1") & F.col("in2"), [F.col("v2").alias("venta")]),
@@ -331,8 +332,8 @@ def _expert_counts(sales: DataFrame, dims: tuple[str, ...], as_of: Day, vip_mone
     """
     rules, year = cfg.expert, as_python_date(as_of).year
     base = sales.groupBy("cliente", "anno", *dims).agg(
-        F.sum(SALE).alias("venta"),
-        F.sum(MARGIN).alias("margen"),
+        exact_sum(SALE).alias("venta"),
+        exact_sum(MARGIN).alias("margen"),
         F.count_distinct("cod_venta").alias("pedidos"),
         F.max("fecha").alias("ultima"),
     )
@@ -414,7 +415,7 @@ def cross_sell_opportunity(sales: DataFrame, anno: int, cfg: Settings = DEFAULTS
     by_customer = in_year(sales, anno).groupBy("cliente").agg(
         F.coalesce(F.bool_or(kind.contains(cfg.mix.red_exact)), no).alias("red"),
         F.coalesce(F.bool_or(kind.contains(cfg.mix.white_exact)), no).alias("white"),
-        F.sum(SALE).alias("sale"),
+        exact_sum(SALE).alias("sale"),
     )
     named = F.col("cliente").isNotNull()
     result = by_customer.agg(

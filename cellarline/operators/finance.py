@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellarline.functions.exprs import exact_sum
+
 # Rows of the account drill-down. Fixed value.
 DETAIL_ROWS = 1000
 
@@ -14,7 +16,7 @@ def _statement(ledger: DataFrame, accounts: str) -> DataFrame:
     wanted = F.substring("nro_cta", 1, 1).isin(*accounts)
     return ledger.filter(wanted).groupBy(
         F.col("nro_cta").alias("cuenta"), F.col("nombre_cuenta").alias("nombre"), "ejercicio", "periodo"
-    ).agg(F.sum("mto_debe").cast("double").alias("debe"), F.sum("mto_haber").cast("double").alias("haber"))
+    ).agg(exact_sum("mto_debe").cast("double").alias("debe"), exact_sum("mto_haber").cast("double").alias("haber"))
 
 
 def _with_year_before(ledger: DataFrame, anno: int | None) -> DataFrame:
@@ -40,9 +42,9 @@ def fin_flujo(ledger: DataFrame, anno: int | None = None) -> DataFrame:
     if anno is not None:
         cash = cash.filter(F.col("ejercicio") == anno)
     return cash.groupBy("ejercicio", "periodo").agg(
-        F.sum("mto_debe").cast("double").alias("ingresos"),
-        F.sum("mto_haber").cast("double").alias("egresos"),
-        F.sum(F.col("mto_debe") - F.col("mto_haber")).cast("double").alias("flujo_neto"),
+        exact_sum("mto_debe").cast("double").alias("ingresos"),
+        exact_sum("mto_haber").cast("double").alias("egresos"),
+        exact_sum(F.col("mto_debe") - F.col("mto_haber")).cast("double").alias("flujo_neto"),
     )
 
 

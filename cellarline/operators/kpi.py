@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellarline.functions.exprs import as_python_date, money_sum, percent, round_ratio, safe_div
+from cellarline.functions.exprs import as_python_date, exact_sum, money_sum, percent, round_ratio, safe_div
 
 METRICS = ("venta_neta", "margen", "pct_margen", "unidades", "clientes", "pedidos", "pedido_promedio")
 _COUNTS = ("clientes", "pedidos")
@@ -20,11 +20,11 @@ def _figures(names: dict[str, str] | None = None) -> list[Column]:
     columns = {
         "venta_neta": money_sum("venta_neta_mn"),
         "margen": money_sum("margen_mn"),
-        "pct_margen": percent(F.sum("margen_mn"), F.sum("venta_neta_mn")),
+        "pct_margen": percent(exact_sum("margen_mn"), exact_sum("venta_neta_mn")),
         "unidades": F.sum("cantidad"),
         "clientes": F.count_distinct("cliente"),
         "pedidos": orders,
-        "pedido_promedio": round_ratio(safe_div(F.sum("venta_neta_mn"), orders), 0),
+        "pedido_promedio": round_ratio(safe_div(exact_sum("venta_neta_mn"), orders), 0),
     }
     return [expr.alias(names.get(name, name)) for name, expr in columns.items()]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarline.config import DEFAULTS, NO_BRAND, NO_ORIGIN, NO_TYPE, Settings
-from cellarline.functions.exprs import first_match, money_sum, or_text, percent, round_ratio, safe_div
+from cellarline.functions.exprs import exact_sum, first_match, money_sum, or_text, percent, round_ratio, safe_div
 from cellarline.functions.frames import page, rank_rows, totals
 from cellarline.sources.fact import in_year
 
@@ -16,7 +16,7 @@ UNLIMITED_ROWS = 1000
 
 
 def _margin_pct() -> Column:
-    return percent(F.sum(MARGIN), F.sum(SALE))
+    return percent(exact_sum(MARGIN), exact_sum(SALE))
 
 
 def dim_pais(sales: DataFrame, anno: int | None = None, limit: int | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def dim_pais(sales: DataFrame, anno: int | None = None, limit: int | None = None
 def dim_tipo(sales: DataFrame, anno: int | None = None) -> DataFrame:
     """Revenue, units and share of all revenue per product type."""
     by_type = in_year(sales, anno).groupBy("nombre_tipo_bebida").agg(
-        F.sum(SALE).alias("_exact"), F.sum("cantidad").alias("unidades")
+        exact_sum(SALE).alias("_exact"), F.sum("cantidad").alias("unidades")
     )
     whole = totals(by_type, sale=F.sum("_exact"))
     return by_type.select(
@@ -62,7 +62,7 @@ def margen_marca(sales: DataFrame, limit: int | None = None, cfg: Settings = DEF
         _margin_pct().alias("margen_pct"),
         money_sum(SALE).alias("venta_neta"),
         F.sum("cantidad").alias("unidades"),
-        F.sum(SALE).alias("_exact"),
+        exact_sum(SALE).alias("_exact"),
     )
     kept = by_brand.filter(F.col("_exact") > cfg.brand_min_revenue).drop("_exact")
     return kept.orderBy(F.desc("margen_pct"), "marca_producto").limit(limit or cfg.brand_limit)
@@ -128,7 +128,7 @@ def market_share_tipo(sales: DataFrame, anno: int | None = None) -> DataFrame:
     """
     pairs = in_year(sales, anno).groupBy(
         or_text("pais_origen_producto", NO_ORIGIN).alias("pais"), or_text("nombre_tipo_bebida", NO_TYPE).alias("tipo")
-    ).agg(F.sum(SALE).alias("_exact"))
+    ).agg(exact_sum(SALE).alias("_exact"))
     country = F.sum("_exact").over(Window.partitionBy("pais"))
     return (
         pairs.withColumn("_country", country)
@@ -151,7 +151,7 @@ def dependencia_marca(sales: DataFrame, anno: int | None = None) -> DataFrame:
     """
     pairs = in_year(sales, anno).groupBy(
         or_text("pais_origen_producto", NO_ORIGIN).alias("pais"), or_text("marca_producto", NO_BRAND).alias("marca")
-    ).agg(F.sum(SALE).alias("_sale"))
+    ).agg(exact_sum(SALE).alias("_sale"))
     by_country = pairs.filter(F.col("_sale") > 0).groupBy("pais").agg(
         F.min(F.struct((-F.col("_sale")).alias("minus"), F.col("marca"))).alias("_top"), F.sum("_sale").alias("_total")
     )
@@ -172,7 +172,7 @@ def brand_type_fit(sales: DataFrame, anno: int | None = None, cfg: Settings = DE
     """
     pairs = in_year(sales, anno).groupBy(
         or_text("marca_producto", NO_BRAND).alias("marca"), or_text("nombre_tipo_bebida", NO_TYPE).alias("tipo")
-    ).agg(F.sum(SALE).alias("_sale"))
+    ).agg(exact_sum(SALE).alias("_sale"))
     brands = pairs.groupBy("marca").agg(F.sum("_sale").alias("_brand")).filter(F.col("_brand") > 0)
     top = brands.orderBy(F.desc("_brand"), "marca").limit(cfg.fit_brands)
     # The broadcast side has at most cfg.fit_brands rows.
@@ -278,7 +278,7 @@ def productos_detalle(sales: DataFrame) -> DataFrame:
 
 def vendedores(sales: DataFrame) -> DataFrame:
     """Sellers with revenue, orders and share of revenue."""
-    by_seller = sales.groupBy("vendedor").agg(F.sum(SALE).alias("_exact"), F.count_distinct("cod_venta").alias("pedidos"))
+    by_seller = sales.groupBy("vendedor").agg(exact_sum(SALE).alias("_exact"), F.count_distinct("cod_venta").alias("pedidos"))
     whole = totals(by_seller, sale=F.sum("_exact"))
     return by_seller.select(
         "vendedor",

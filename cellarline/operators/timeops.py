@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellarline.config import DEFAULTS, Settings
 from cellarline.functions.exprs import (
     as_python_date,
+    exact_sum,
     first_match,
     money_sum,
     month_start,
@@ -28,7 +29,7 @@ def serie_mensual(sales: DataFrame, anno: int | None = None) -> DataFrame:
         money_sum("margen_mn", 2).alias("margen_neto"),
         F.sum("cantidad").alias("unidades"),
         F.count_distinct("cod_venta").alias("pedidos"),
-        F.sum("venta_neta_mn").alias("_exact"),
+        exact_sum("venta_neta_mn").alias("_exact"),
     )
     period = month_start()
     return monthly.select(
@@ -95,7 +96,7 @@ def margen_marca_anno(sales: DataFrame, annos: Sequence[int]) -> DataFrame:
     The years are given, so the pivot needs no job of its own to find them.
     """
     yearly = sales.filter(F.col("anno").isin(*annos)).groupBy("marca_producto", "anno").agg(
-        percent(F.sum("margen_mn"), F.sum("venta_neta_mn")).alias("pct")
+        percent(exact_sum("margen_mn"), exact_sum("venta_neta_mn")).alias("pct")
     )
     matrix = yearly.groupBy("marca_producto").pivot("anno", list(annos)).agg(F.first("pct"))
     columns = [F.col(f"`{year}`").alias(f"margen_{year}") for year in annos]

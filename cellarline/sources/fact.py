@@ -7,7 +7,9 @@ plain equality and leaves each join's strategy to Spark: a side is broadcast onl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,47 +140,41 @@ def ledger(sales: DataFrame) -> DataFrame:
 
     A line debits receivables and credits revenue with the sale, debits cost of sales and credits stock
     with the cost; a finished order also debits cash. January lines leave period-0 (opening) rows.
+
+    One projection per kind of entry: a filter on the account removes the other branches from the plan,
+    each branch reads its own columns only, and no row is exploded.
     """
     nothing = F.lit(0).cast("decimal(18,4)")
-    sale, cost = F.col("venta_neta_mn"), F.col("costo_mn_total")
-
-    def entry(account: str, name: str, debit, credit, when=None, period=F.col("mes")):
-        row = F.struct(
-            F.lit(account).alias("nro_cta"),
-            F.lit(name).alias("nombre_cuenta"),
-            period.cast("bigint").alias("periodo"),
-            debit.alias("mto_debe"),
-            credit.alias("mto_haber"),
-        )
-        return row if when is None else F.when(when, row)
-
-    january = F.col("mes") == 1
-    opening = F.lit(0)
-    entries = F.array_compact(
-        F.array(
-            entry("1212", "Facturas por cobrar", sale, nothing),
-            entry("7011", "Ventas de mercaderías", nothing, sale),
-            entry("6911", "Costo de ventas", cost, nothing),
-            entry("2011", "Mercaderías", nothing, cost),
-            entry("10", "Efectivo", sale, nothing, F.col("estado_pedido") == "F"),
-            entry("1212", "Facturas por cobrar", sale, nothing, january, opening),
-            entry("6911", "Costo de ventas", cost, nothing, january, opening),
-        )
-    )
+    sale, cost, month = F.col("venta_neta_mn"), F.col("costo_mn_total"), F.col("mes")
     order = F.col("cod_venta").cast("string")
-    return sales.withColumn("_e", F.explode(entries)).select(
-        "_e.nro_cta",
-        "_e.nombre_cuenta",
-        F.col("anno").alias("ejercicio"),
-        "_e.periodo",
-        "_e.mto_debe",
-        "_e.mto_haber",
-        F.col("fecha").alias("fec_mov"),
-        F.concat(F.lit("R-"), order).alias("reg_ctb"),
-        F.concat(F.lit("Venta "), order).alias("glosa"),
-        F.lit("01").alias("tip_doc"),
-        order.alias("nro_doc"),
-        F.when(F.col("_e.nro_cta") != "2011", F.col("cliente")).alias("cliente"),
-        F.col("vendedor").alias("proveedor"),
-        F.lit("PEN").alias("mda_origen"),
-    )
+
+    def entries(lines: DataFrame, account: str, name: str, debit: Column, credit: Column, period: Column = month) -> DataFrame:
+        columns = {
+            "nro_cta": F.lit(account),
+            "nombre_cuenta": F.lit(name),
+            "ejercicio": F.col("anno"),
+            "periodo": period.cast("bigint"),
+            "mto_debe": debit,
+            "mto_haber": credit,
+            "fec_mov": F.col("fecha"),
+            "reg_ctb": F.concat(F.lit("R-"), order),
+            "glosa": F.concat(F.lit("Venta "), order),
+            "tip_doc": F.lit("01"),
+            "nro_doc": order,
+            "cliente": F.lit(None).cast("string") if account == "2011" else F.col("cliente"),
+            "proveedor": F.col("vendedor"),
+            "mda_origen": F.lit("PEN"),
+        }
+        return lines.select(*[value.alias(name) for name, value in columns.items()])
+
+    january = sales.filter(month == 1)
+    book = [
+        entries(sales, "1212", "Facturas por cobrar", sale, nothing),
+        entries(sales, "7011", "Ventas de mercaderías", nothing, sale),
+        entries(sales, "6911", "Costo de ventas", cost, nothing),
+        entries(sales, "2011", "Mercaderías", nothing, cost),
+        entries(sales.filter(F.col("estado_pedido") == "F"), "10", "Efectivo", sale, nothing),
+        entries(january, "1212", "Facturas por cobrar", sale, nothing, F.lit(0)),
+        entries(january, "6911", "Costo de ventas", cost, nothing, F.lit(0)),
+    ]
+    return reduce(DataFrame.unionByName, book)
