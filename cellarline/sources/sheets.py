@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,17 @@ def _name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def read_raw_csv(spark: SparkSession, path: str, width: int, separator: str = ",") -> DataFrame:
+    """A sheet saved as one CSV file: text columns c1..c<width> and an increasing ``row_no`` from 1.
+
+    The numbers follow the file's order and have no gap within the first input split, where the header is;
+    behind it they may jump. Lines without any character are skipped and not numbered.
+    """
+    cells = ", ".join(f"c{n} string" for n in range(1, width + 1))
+    raw = spark.read.schema(cells).option("sep", separator).option("quote", '"').option("escape", '"').csv(path)
+    return raw.select((F.monotonically_increasing_id() + 1).alias("row_no"), "*")
+
+
 def promote_header(raw: DataFrame, header_row: int, row_no: str = "row_no") -> DataFrame:
     """Name the columns after the cells of row ``header_row`` and keep the rows below it.
 
