@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -49,34 +50,38 @@ def materialize_views(
     cfg: Settings = DEFAULTS,
     only: tuple[str, ...] | None = None,
     base_path: str | None = None,
+    at_once: int = 4,
 ) -> list[tuple[str, str, str, float]]:
     """Write the views under ``root`` and return (view, path, "ok" or the error, seconds) per view.
 
-    The base is written first and the others read the written copy; ``base_path`` names a copy that is
-    already there. A view that fails leaves the others alone.
+    The base is written first and the others read the written copy; ``base_path`` names a copy of ``sales``
+    that is already there and is then not written again. The other views do not depend on each other:
+    ``at_once`` of them are handed to Spark together, so that small ones do not leave the executors idle.
+    A view that fails leaves the others alone.
     """
     spark = sales.sparkSession
-    report = []
 
-    def refresh(view: str, build: Callable[[], DataFrame]) -> None:
+    def refresh(view: str, build: Callable[[], DataFrame]) -> tuple[str, str, str, float]:
         path, start = twin_path(root, view), time.perf_counter()
         try:
             write_truncate(build(), path, partition_by=("anno",) if view == BASE else ())
             state = "ok"
         except Exception as error:
             state = f"error: {type(error).__name__}"
-        report.append((view, path, state, time.perf_counter() - start))
-
-    source = sales
-    if base_path is None and (only is None or BASE in only):
-        refresh(BASE, lambda: sales)
-        if report[-1][2] == "ok":
-            source = spark.read.schema(sales.schema).parquet(report[-1][1])
-    elif base_path is not None:
-        source = spark.read.schema(sales.schema).parquet(base_path)
-    for view, build in view_definitions(source, as_of, cfg).items():
-        if view != BASE and (only is None or view in only):
-            refresh(view, build)
+        return view, path, state, time.perf_counter() - start
+
+    report = []
+    if only is None or BASE in only:
+        report.append(refresh(BASE, lambda: sales) if base_path is None else (BASE, base_path, "ok", 0.0))
+        if report[0][2] == "ok":
+            sales = spark.read.schema(sales.schema).parquet(report[0][1])
+    views = {
+        view: build
+        for view, build in view_definitions(sales, as_of, cfg).items()
+        if view != BASE and (only is None or view in only)
+    }
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        report += pool.map(refresh, views, views.values())
     return report
 
 

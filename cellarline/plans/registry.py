@@ -14,7 +14,7 @@ from cellarline.operators import customers, finance, forecast, kpi, products, ti
 from cellarline.plans import materialize
 from cellarline.plans.dashboard import dashboard_bundle
 from cellarline.plans.sample import ACCOUNT, AS_OF, CFG, PERIOD, YEAR, YEARS
-from cellarline.plans.warehouse import derived_table, sales_table
+from cellarline.plans.warehouse import derived_table, sales_path, sales_table
 from cellarline.sources import fact, sheets, storage
 from cellarline.streaming.incremental import append_stream
 
@@ -286,7 +286,9 @@ def _export_csv(spark, folder):
 def _materialize_views(spark, folder):
     """Refresh all views on the written fact and count what each table holds."""
     sales = sales_table(spark, folder)
-    report = materialize.materialize_views(sales, scratch(spark, "views"), AS_OF, CFG)
+    report = materialize.materialize_views(
+        sales, scratch(spark, "views"), AS_OF, CFG, base_path=sales_path(spark, folder)
+    )
     counts = [
         (spark.read.parquet(path) if state == "ok" else spark.range(0)).agg(F.count("*").alias("filas")).select(
             F.lit(view).alias("vista"), F.lit(state).alias("estado"), "filas"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cellarline.sources.fact import SALES_SCHEMA, STAR_TABLES, read_star, sales_fact
-from cellarline.sources.storage import files_signature, read_table, shared_dir, write_truncate
+from cellarline.sources.storage import files_signature, path_exists, read_table, shared_dir, write_truncate
 
 # Raise it with every change of what a derived table holds, so that older copies are not taken.
 VERSION = 1
@@ -21,47 +21,58 @@ VERSION = 1
 _copies: dict[str, str] = {}
 
 
-def _known_copy(spark: SparkSession, home: str, schema: StructType) -> DataFrame | None:
-    try:
-        if home not in _copies:
+def _known_copy(spark: SparkSession, home: str) -> str | None:
+    if home not in _copies:
+        try:
             row = spark.read.schema("path string").parquet(f"{home}/current").first()
-            if row is None:
-                return None
-            _copies[home] = row["path"]
-        return read_table(spark, _copies[home], schema)
-    except AnalysisException:
-        # There is no copy yet, or somebody has cleared the folder.
-        _copies.pop(home, None)
+        except AnalysisException:
+            return None
+        if row is None:
+            return None
+        _copies[home] = row["path"]
+    if not path_exists(spark, _copies[home]):
+        # Somebody has cleared the folder.
+        del _copies[home]
         return None
+    return _copies[home]
 
 
-def derived_table(
+def derived_path(
     spark: SparkSession,
     folder: str,
     name: str,
-    schema: StructType,
     build: Callable[[], DataFrame],
     partition_by: tuple[str, ...] = (),
-) -> DataFrame:
-    """``build()`` as a written table under the folder that ``spark.checkpoint.dir`` names.
+) -> str | None:
+    """The path of ``build()`` as a written table under the folder that ``spark.checkpoint.dir`` names.
 
     The copy is named after the names, sizes and change times of the star's files, so changed input gets a
     new one. A pointer is written only behind a finished copy: a half-written one is never read, and of two
-    sessions that build at once either copy may be used. On a cluster without the setting the frame is
-    returned as it is.
+    sessions that build at once either copy may be used. On a cluster without the setting there is none.
     """
     root = shared_dir(spark)
     if root is None:
-        return build()
+        return None
     state = files_signature(spark, [f"{folder}/{table}.parquet" for table in STAR_TABLES])
     home = f"{root}/{name}/v{VERSION}-{state}"
-    known = _known_copy(spark, home, schema)
-    if known is not None:
-        return known
-    path = f"{home}/rows-{uuid.uuid4().hex}"
-    write_truncate(build(), path, partition_by=partition_by)
-    spark.range(1).select(F.lit(path).alias("path")).coalesce(1).write.mode("overwrite").parquet(f"{home}/current")
-    return read_table(spark, path, schema)
+    path = _known_copy(spark, home)
+    if path is None:
+        path = f"{home}/rows-{uuid.uuid4().hex}"
+        write_truncate(build(), path, partition_by=partition_by)
+        spark.range(1).select(F.lit(path).alias("path")).coalesce(1).write.mode("overwrite").parquet(f"{home}/current")
+    return path
+
+
+def derived_table(
+    spark: SparkSession, folder: str, name: str, schema: StructType, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """``build()`` read from its written copy, or as it is where nothing can be written."""
+    path = derived_path(spark, folder, name, build)
+    return build() if path is None else read_table(spark, path, schema)
+
+
+def sales_path(spark: SparkSession, folder: str) -> str | None:
+    return derived_path(spark, folder, "sales", lambda: sales_fact(read_star(spark, folder)), partition_by=("anno",))
 
 
 def sales_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,6 +82,5 @@ def sales_table(spark: SparkSession, folder: str) -> DataFrame:
     the written rows give readers column pruning, row-group skipping and year pruning, and an executor that
     is lost later costs no join.
     """
-    return derived_table(
-        spark, folder, "sales", SALES_SCHEMA, lambda: sales_fact(read_star(spark, folder)), partition_by=("anno",)
-    )
+    path = sales_path(spark, folder)
+    return sales_fact(read_star(spark, folder)) if path is None else read_table(spark, path, SALES_SCHEMA)
