@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cellarline.session import size_shuffles
 from cellarline.sources.fact import SALES_SCHEMA, STAR_TABLES, read_star, sales_fact
-from cellarline.sources.storage import files_signature, path_exists, read_table, shared_dir, write_truncate
+from cellarline.sources.storage import files_state, path_exists, read_table, shared_dir, write_truncate
 
 # Raise it with every change of what a derived table holds, so that older copies are not taken.
 VERSION = 1
@@ -53,7 +54,8 @@ def derived_path(
     root = shared_dir(spark)
     if root is None:
         return None
-    state = files_signature(spark, [f"{folder}/{table}.parquet" for table in STAR_TABLES])
+    state, size = files_state(spark, [f"{folder}/{table}.parquet" for table in STAR_TABLES])
+    size_shuffles(spark, size)
     home = f"{root}/{name}/v{VERSION}-{state}"
     path = _known_copy(spark, home)
     if path is None:

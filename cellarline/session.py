@@ -32,3 +32,22 @@ def local_session(app: str = "cellarline", cores: int | str | None = None, memor
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+# Input file bytes per shuffle partition, and the most partitions a driver should plan.
+BYTES_PER_PARTITION = 256 << 20
+MOST_PARTITIONS = 50_000
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Start shuffles of large input with enough partitions to fit in memory.
+
+    AQE joins partitions that turn out small but never splits a plain aggregation's, so the first number
+    must suit the largest shuffle. It is only raised, and not touched where the user has set it.
+    """
+    if spark.conf.get(INITIAL_PARTITIONS, None) is not None:
+        return
+    wanted = min(input_bytes // BYTES_PER_PARTITION, MOST_PARTITIONS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL_PARTITIONS, str(wanted))

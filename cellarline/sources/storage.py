@@ -74,15 +74,17 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
-def files_signature(spark: SparkSession, paths: list[str]) -> str:
-    """A name for the present content of ``paths`` from their number of files, bytes and change times.
+def files_state(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
+    """A name for the present content of ``paths``, and its bytes.
 
-    It asks the file system, not the files: two calls per path, however many files a path holds.
+    The name comes from the number of files, their bytes and the change times. It asks the file system,
+    not the files: two calls per path, however many files a path holds.
     """
-    digest = hashlib.sha256()
+    digest, size = hashlib.sha256(), 0
     for path in paths:
         system, target = _hadoop_path(spark, path)
         summary, status = system.getContentSummary(target), system.getFileStatus(target)
         mark = (status.getPath().toString(), summary.getFileCount(), summary.getLength(), status.getModificationTime())
         digest.update(repr(mark).encode())
-    return digest.hexdigest()[:24]
+        size += summary.getLength()
+    return digest.hexdigest()[:24], size

@@ -127,3 +127,17 @@ def test_failing_source_leaves_the_others(spark):
     done = []
     states = sync_sources({"a": lambda: 1 / 0, "b": lambda: done.append(1)})
     assert states == {"a": "error: ZeroDivisionError", "b": "ok"} and done == [1]
+
+
+def test_shuffles_are_sized_by_the_input(spark):
+    from cellarline.session import INITIAL_PARTITIONS, size_shuffles
+
+    try:
+        size_shuffles(spark, 1 << 30)
+        assert spark.conf.get(INITIAL_PARTITIONS, None) is None  # 4 partitions are enough
+        size_shuffles(spark, 100 << 40)
+        assert spark.conf.get(INITIAL_PARTITIONS) == "50000"
+        size_shuffles(spark, 10 << 30)
+        assert spark.conf.get(INITIAL_PARTITIONS) == "50000"
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS)
