@@ -240,16 +240,15 @@ def retencion(sales: DataFrame, since: int | None = None, as_of: Day = None, cfg
     """
     first = cfg.retention_from if since is None else since
     yearly = sales.filter(F.col("anno") >= first).groupBy("cliente", "anno").agg(exact_sum(SALE).alias("_sale"))
-    # The list of years: as many entries as the calendar has, not as the data has rows.
+    # The list of years has as many entries as the calendar. It stays a subquery: as a column it would
+    # travel with every row through the shuffles below.
     years = totals(yearly, list=F.sort_array(F.collect_set("anno")))["list"]
     own = Window.partitionBy("cliente").orderBy("anno")
-    placed = yearly.withColumn("_years", years).withColumn(
-        "_n", F.array_position("_years", F.col("anno")).cast("bigint")
-    )
+    numbered = yearly.withColumn("_n", F.array_position(years, F.col("anno")).cast("bigint"))
     known = F.lag("_n").over(own) == F.col("_n") - 1
     stays = F.lead("_n").over(own) == F.col("_n") + 1
-    history = placed.select(
-        "_years", "_n", "_sale", F.coalesce(known, F.lit(False)).alias("known"), F.coalesce(stays, F.lit(False)).alias("stays")
+    history = numbered.select(
+        "_n", "_sale", F.coalesce(known, F.lit(False)).alias("known"), F.coalesce(stays, F.lit(False)).alias("stays")
     )
     zero = F.lit(0).cast("decimal(38,4)")
     sale = F.coalesce("_sale", zero).cast("decimal(38,4)")
@@ -268,13 +267,13 @@ def retencion(sales: DataFrame, since: int | None = None, as_of: Day = None, cfg
         effect(F.col("_n"), F.lit(1), F.col("known"), none, zero),
         effect(F.col("_n") + 1, none, none, ~F.col("stays"), F.when(F.col("stays"), zero).otherwise(sale)),
     )
-    by_year = history.select("_years", F.inline(effects)).groupBy("_years", "n").agg(
+    by_year = history.select(F.inline(effects)).groupBy("n").agg(
         F.sum("active").alias("active"), F.sum("kept").alias("kept"), F.sum("lost").alias("lost"), F.sum("money").alias("money")
     )
-    count = F.size("_years")
+    count = F.size(years)
     valid = by_year.filter((F.col("n") >= 2) & (F.col("n") <= count))
-    named = valid.withColumn("_year", F.element_at("_years", F.col("n").cast("int"))).withColumn(
-        "_before", F.element_at("_years", (F.col("n") - 1).cast("int"))
+    named = valid.withColumn("_year", F.element_at(years, F.col("n").cast("int"))).withColumn(
+        "_before", F.element_at(years, (F.col("n") - 1).cast("int"))
     )
     # The running year, when it is the last one, is compared with the calendar year before it.
     running = F.lit(as_python_date(as_of).year)

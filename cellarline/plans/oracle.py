@@ -350,9 +350,9 @@ def customers_sql() -> dict[str, str]:
         "rfm_mix_details": with_(rfm_cte("gy", amounts)) + f"""SELECT cliente, {dbl('total')} AS total_pen, ultima_compra, frecuencia,
             {money_columns}, segmento, {mix_amounts} AS mix_type FROM r""",
         "retencion": retention,
-        "retencion_nuevos": years + f"SELECT b.cliente, b.v AS venta FROM b LEFT JOIN a ON {same} WHERE a.v IS NULL",
-        "retencion_retenidos": years + f"SELECT b.cliente, b.v AS venta, a.v AS venta_anterior FROM b JOIN a ON {same}",
-        "retencion_perdidos": years + f"SELECT a.cliente, a.v AS venta FROM a LEFT JOIN b ON {same} WHERE b.v IS NULL",
+        "retencion_listado_nuevos": years + f"SELECT b.cliente, b.v AS venta FROM b LEFT JOIN a ON {same} WHERE a.v IS NULL",
+        "retencion_listado_retenidos": years + f"SELECT b.cliente, b.v AS venta, a.v AS venta_anterior FROM b JOIN a ON {same}",
+        "retencion_listado_perdidos": years + f"SELECT a.cliente, a.v AS venta FROM a LEFT JOIN b ON {same} WHERE b.v IS NULL",
         "frecuencia_compra": with_("f AS (SELECT cliente, count(DISTINCT cod_venta) AS pedidos FROM gy GROUP BY 1)")
         + f"SELECT CASE {' '.join(cases)} END AS rango_frecuencia, count(cliente) AS cantidad_clientes FROM f GROUP BY 1",
         "analisis_experto": expert_rows,

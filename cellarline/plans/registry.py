@@ -149,9 +149,9 @@ on_fact("rfm_stats", customers.rfm_stats, True, None, AS_OF, CFG)
 on_fact("rfm_cross_sell", customers.rfm_cross_sell, True, YEAR, CFG)
 on_fact("rfm_mix_details", customers.rfm_mix_details, True, YEAR, AS_OF, CFG)
 on_fact("retencion", customers.retencion, True, None, AS_OF, CFG)
-on_fact("retencion_nuevos", customers.retencion_listado, True, YEAR - 1, YEAR, "nuevos")
-on_fact("retencion_retenidos", customers.retencion_listado, True, YEAR - 1, YEAR, "retenidos")
-on_fact("retencion_perdidos", customers.retencion_listado, True, YEAR - 1, YEAR, "perdidos")
+on_fact("retencion_listado_nuevos", customers.retencion_listado, True, YEAR - 1, YEAR, "nuevos")
+on_fact("retencion_listado_retenidos", customers.retencion_listado, True, YEAR - 1, YEAR, "retenidos")
+on_fact("retencion_listado_perdidos", customers.retencion_listado, True, YEAR - 1, YEAR, "perdidos")
 on_fact("frecuencia_compra", customers.frecuencia_compra, True, YEAR, CFG)
 on_fact("analisis_experto", customers.analisis_experto, True, AS_OF, CFG)
 on_fact("analisis_clientes_wide", customers.analisis_clientes_wide, False, AS_OF, CFG)
