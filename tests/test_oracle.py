@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cellarline.plans.oracle import all_sql
+from cellarline.plans.registry import all_queries
 from tests.conftest import DATA
 from tools.compare import differences
 
@@ -23,13 +25,18 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_the_entry_registers_them_all():
+    assert set(all_queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_agrees_with_sql(spark, duck, name):
-    got = entry.queries()[name](spark, DATA).toPandas()
-    assert differences(got, duck.execute(entry.oracle_sql()[name]).df()) == []
+    got = all_queries()[name](spark, DATA).toPandas()
+    assert differences(got, duck.execute(all_sql()[name]).df()) == []
 
 
 def test_entry(spark):
