@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarline.llm import langid, quality, secrets
+from cellarline.llm import langid, quality, secrets, simhash
 from cellarline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_digest(read(spark, folder, "documents"))
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_digest(read(spark, folder, "documents"))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.held_out_languages(read(spark, folder, "documents"))
 
@@ -28,6 +32,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
         "op5_secrets": op5_secrets,
+        "op6_simhash": op6_simhash,
         "op10_language": op10_language,
     }
 
