@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarline.llm import langid, quality, secrets, simhash
+from cellarline.llm import langid, quality, secrets, simhash, substrings
 from cellarline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_digest(read(spark, folder, "documents"))
 
 
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.substring_digest(read(spark, folder, "documents"))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.held_out_languages(read(spark, folder, "documents"))
 
@@ -33,9 +37,12 @@ def llm_queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op5_secrets": op5_secrets,
         "op6_simhash": op6_simhash,
+        "op7_substrings": op7_substrings,
         "op10_language": op10_language,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_substrings": substrings.SQL,
+    }
