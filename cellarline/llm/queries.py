@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarline.llm import langid, quality, secrets, simhash, substrings
+from cellarline.llm import embeddings, langid, quality, secrets, simhash, substrings
 from cellarline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.held_out_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op2_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.embedding_links(read(spark, folder, "embeddings"))
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_digest(read(spark, folder, "documents"))
 
@@ -35,6 +39,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
+        "op2_embeddings": op2_embeddings,
         "op5_secrets": op5_secrets,
         "op6_simhash": op6_simhash,
         "op7_substrings": op7_substrings,
@@ -44,5 +49,6 @@ def llm_queries() -> dict[str, Query]:
 
 def llm_sql() -> dict[str, str]:
     return {
+        "op2_embeddings": embeddings.SQL,
         "op7_substrings": substrings.SQL,
     }
