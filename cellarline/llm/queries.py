@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarline.llm import embeddings, langid, quality, secrets, simhash, substrings
+from cellarline.llm import embeddings, langid, lines, quality, secrets, simhash, substrings
 from cellarline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.substring_digest(read(spark, folder, "documents"))
 
 
+def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_digest(read(spark, folder, "documents"))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.held_out_languages(read(spark, folder, "documents"))
 
@@ -43,6 +47,7 @@ def llm_queries() -> dict[str, Query]:
         "op5_secrets": op5_secrets,
         "op6_simhash": op6_simhash,
         "op7_substrings": op7_substrings,
+        "op9_lines": op9_lines,
         "op10_language": op10_language,
     }
 
@@ -51,4 +56,5 @@ def llm_sql() -> dict[str, str]:
     return {
         "op2_embeddings": embeddings.SQL,
         "op7_substrings": substrings.SQL,
+        "op9_lines": lines.SQL,
     }
