@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cellarline.sources.storage import require_shared_dir
 
@@ -27,7 +28,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(
+    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
+) -> DataFrame:
     """``step`` over Arrow batches, which Spark bounds by rows and bytes; one batch in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +44,3 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
 def doc_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, as ``id`` and ``text``; other columns of any name stay out."""
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-
-
-def bucket_of(key: Column, parts: int) -> Column:
-    return F.pmod(F.crc32(key.cast("string")), F.lit(parts))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarline.llm import embeddings, langid, lines, quality, secrets, simhash, substrings
+from cellarline.llm import decontaminate, embeddings, langid, licenses, lines, quality, secrets, simhash, substrings
 from cellarline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.embedding_links(read(spark, folder, "embeddings"))
 
 
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_notices(read(spark, folder, "documents"))
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_digest(read(spark, folder, "documents"))
 
@@ -32,6 +36,10 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.substring_digest(read(spark, folder, "documents"))
 
 
+def op8_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_digest(read(spark, folder, "documents"))
 
@@ -44,9 +52,11 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
         "op2_embeddings": op2_embeddings,
+        "op4_licenses": op4_licenses,
         "op5_secrets": op5_secrets,
         "op6_simhash": op6_simhash,
         "op7_substrings": op7_substrings,
+        "op8_contamination": op8_contamination,
         "op9_lines": op9_lines,
         "op10_language": op10_language,
     }
