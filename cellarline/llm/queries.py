@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarline.llm import decontaminate, embeddings, langid, licenses, lines, quality, secrets, simhash, substrings
+from cellarline.llm import decontaminate, embeddings, langid, licenses, lines, pieces, quality, secrets, simhash, substrings
 from cellarline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.embedding_links(read(spark, folder, "embeddings"))
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded_documents(read(spark, folder, "documents"))
+
+
 def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_notices(read(spark, folder, "documents"))
 
@@ -52,6 +56,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
         "op2_embeddings": op2_embeddings,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_licenses": op4_licenses,
         "op5_secrets": op5_secrets,
         "op6_simhash": op6_simhash,
