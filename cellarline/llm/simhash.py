@@ -60,35 +60,33 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def ball(radius: int, blocks: int) -> list[int]:
-    """Masks of up to half the block's share of ``radius`` flipped bits, as signed longs."""
-    width, reach = BITS // blocks, -(-(radius // blocks) // 2)
+def ball(width: int, reach: int) -> list[int]:
+    """Masks of up to ``reach`` flipped bits, as signed longs."""
     masks = [sum(1 << k for k in bits) for n in range(reach + 1) for bits in combinations(range(width), n)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
 def variants(found: DataFrame, radius: int, blocks: int) -> DataFrame:
     """``block``, ``variant``, ``fp``: the ball around each block of each fingerprint."""
-    width = BITS // blocks
-    cut = found.select("fp", F.explode(F.array(*[F.lit(k) for k in range(blocks)])).alias("block"))
-    part = F.expr(f"shiftrightunsigned(fp, block * {width})")
-    if width < BITS:
-        part = part.bitwiseAND(F.lit((1 << width) - 1))
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(radius, blocks)])
-    cut = cut.select("fp", "block", part.alias("part"), F.explode(masks).alias("mask"))
-    return cut.select("block", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
+    reach, out = -(-(radius // blocks) // 2), None
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    for block, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+        part = F.shiftrightunsigned("fp", low)
+        if high - low < BITS:
+            part = part.bitwiseAND(F.lit((1 << high - low) - 1))
+        masks = F.array(*[F.lit(m).cast("long") for m in ball(high - low, reach)])
+        rows = found.select(F.lit(block).alias("block"), part.alias("part"), F.explode(masks).alias("mask"), "fp")
+        rows = rows.select("block", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def linked(found: DataFrame, radius: int, blocks: int = 2) -> DataFrame:
-    """Edges ``a``, ``b`` between the distinct fingerprints in column ``fp``: a spanning forest of all links.
+    """Edges ``a``, ``b`` between the different fingerprints in column ``fp``: a spanning forest of all links.
 
     The fingerprints of a variant are read in sorted order, a batch at a time. Only those of one variant are in
     memory, eight bytes each, and what a fingerprint reaches leaves the comparison.
     """
-    width = BITS // blocks
-    if width * blocks != BITS:
-        raise ValueError("blocks must divide 64")
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         last = None
@@ -131,7 +129,7 @@ def linked(found: DataFrame, radius: int, blocks: int = 2) -> DataFrame:
         if held and (edges := group(np.concatenate(held))):
             yield out(edges)
 
-    dealt = variants(found.select("fp").distinct(), radius, blocks).repartition("block", "variant")
+    dealt = variants(found.select("fp"), radius, blocks).repartition("block", "variant")
     return dealt.sortWithinPartitions("block", "variant").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellarline.llm import quality
+from cellarline.llm import decontaminate, lines, pieces, quality, simhash
 from cellarline.llm.common import read, stored
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Fingerprints of five-word shingles that differ in at most this many of 64 bits are near copies (a similarity of 0.9),
+#: met on three blocks of 21 or 22 bits.
+NEAR_BITS, NEAR_BLOCKS = 6, 3
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +19,36 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.score(docs, model, name="_score").where("_score >= 0.5").select(*docs.columns)
 
 
-STAGES = [("quality classifier", classify_quality)]
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that repeat an earlier one; ``n_chars`` is that of the new text."""
+    found = lines.dedup_lines(docs, similarity=0.8).select(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id; rows without an id stay."""
+    found = simhash.near_duplicates(docs, shingle=5, radius=NEAR_BITS, blocks=NEAR_BLOCKS)
+    copies = stored(found.where("id <> component").select(F.col("id").alias("_copy")).distinct(), "copies")
+    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` and the text decoded from them, of every document."""
+    return pieces.encoded_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 #: The classifier is fitted by iteration and the encoder folds over words: SQL cannot say either.
 ORACLE_SQL = None
