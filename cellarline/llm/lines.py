@@ -5,9 +5,8 @@ the line), has a Jaccard similarity of at least ``similarity``; lines are judged
 is itself removed still counts. Lines without words are never compared and stay.
 
 Tokens are put in order of rarity. Counting goes into a table of fixed size by token hash, so the order needs no
-dictionary that grows with the corpus. A place no fuller than others holds rare tokens only; among those longer words
-count as rarer, and the hash settles ties. Any total order keeps the prefix filter exact. Lines with equal sets are one before the join, named by a 64-bit hash of the set. Sets meet on
-the tokens of their prefixes; pairs pass the length and the positional filter; only then are the tokens of both sides
+dictionary that grows with the corpus; the hash settles ties. Any total order keeps the prefix filter exact. Lines with equal sets are one before the join, named by a 64-bit hash of the set. Sets meet on
+the tokens of their prefixes, which are long enough for similar ones to share three; pairs pass the length and the positional filter; only then are the tokens of both sides
 fetched from their documents and the similarity is checked on integers.
 
 Null and empty texts have no lines to compare and come back as they are. Rows with a null id keep all lines and take
@@ -23,19 +22,12 @@ from pyspark.sql import functions as F
 
 from cellarline.llm.common import doc_texts, stored
 
-BLANKS = r"[\x20\x09-\x0D]+"
-#: Places of the table of token counts, one byte each.
+BLANKS = r"[\x20\x09-\x0D]"
+#: Places of the table of token counts, a rank of 7 bits each, and the bits of a token's hash behind its rank in a key.
 PLACES = 1 << 16
-#: A token's key: rank of its place, then shortness, then this many bits of its hash.
-SHORT_BITS, HASH_BITS = 6, 50
-
-
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, BLANKS), lambda w: w != "")
-
-
-def place_of(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(PLACES)).cast("int")
+HASH_BITS = 56
+#: Tokens that two prefixes must share; the prefixes are longer by one less.
+SHARED = 3
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -43,50 +35,56 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.where("id IS NOT NULL").select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def token_set(line: Column) -> Column:
+    """Sorted hashes of the line's distinct tokens."""
+    hashes = F.transform(F.split(line, BLANKS), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))))
+
+
 def rarity_ranks(docs: DataFrame) -> Column:
-    """A byte for each place: 0 up to twice the mean count, then growing with its logarithm.
+    """Array with a rank for each place, growing with the logarithm of its count.
 
     All words are counted by Spark; the driver gets one row for each of the PLACES.
     """
-    words = docs.where("id IS NOT NULL").select(F.explode(words_of(F.col("text"))).alias("w"))
-    counts = words.groupBy(place_of(F.col("w")).alias("place")).agg(F.count("*").alias("n")).collect()
+    words = docs.where("id IS NOT NULL").select(F.explode(F.split("text", BLANKS)).alias("w")).where("w <> ''")
+    place = F.pmod(F.xxhash64("w"), F.lit(PLACES)).alias("place")
+    counts = words.groupBy(place).agg(F.count("*").alias("n")).collect()
     mean = max(1.0, sum(row["n"] for row in counts) / PLACES)
-    ranks = bytearray(PLACES)
+    ranks = [0] * PLACES
     for row in counts:
-        ranks[row["place"]] = min(127, max(0, int(4 * math.log2(row["n"] / mean / 2)) + 1))
-    return F.lit(bytes(ranks))
-
+        ranks[row["place"]] = min(127, max(0, int(8 * math.log2(4 * row["n"] / mean))))
+    # Spark folds this into one array value.
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
-def token_keys(line: Column, ranks: Column) -> Column:
-    """The line's distinct tokens as longs in order of rarity."""
 
-    def key(word: Column) -> Column:
-        rank = F.ascii(F.substring(ranks, place_of(word) + 1, F.lit(1)).cast("string")).cast("long")
-        short = (1 << SHORT_BITS) - 1 - F.least(F.length(word), F.lit((1 << SHORT_BITS) - 1))
-        front = F.shiftleft(F.shiftleft(rank, SHORT_BITS).bitwiseOR(short.cast("long")), HASH_BITS)
-        return front.bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+def by_rarity(tokens: Column, ranks: Column) -> Column:
+    """The tokens as longs in order of rarity: rank, then hash."""
+    rank = lambda h: F.get(ranks, F.pmod(h, F.lit(PLACES)).cast("int"))
+    mask = F.lit((1 << HASH_BITS) - 1)
+    return F.sort_array(F.transform(tokens, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(h.bitwiseAND(mask))))
 
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), key)))
 
-
-def candidates(sets: DataFrame, permille: int) -> DataFrame:
-    """Pairs ``k``, ``k2`` of sets that share a prefix token and pass the length and positional filters."""
-    prefix_end = F.col("size") - F.expr(f"({permille} * size + 999) div 1000") + 1
+def candidates(sets: DataFrame, ranks: Column, permille: int) -> DataFrame:
+    """Pairs ``k``, ``k2`` of sets that share enough prefix tokens and pass the length and positional filters."""
+    prefix_end = F.expr(f"cast(size - ({permille} * size + 999) div 1000 + {SHARED} as int)")
     # 31 bits of the hash do for meeting: who meets by chance fails the check.
-    short = F.transform(F.slice("tokens", 1, prefix_end.cast("int")), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    lines = sets.select("k", "size", short.alias("prefix"))
+    short = lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    prefix = F.transform(F.slice(by_rarity(F.col("tokens"), ranks), 1, prefix_end), short)
+    lines = sets.select("k", "size", prefix.alias("prefix"))
     lines = lines.groupBy("k").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     posts = lines.select(F.posexplode("prefix").alias("at", "token"), "k", "size")
     a, b = posts.alias("a"), posts.alias("b")
     least = F.expr(f"({permille} * (a.size + b.size) + {999 + permille}) div {1000 + permille}")
     rest = F.least(F.expr("a.size - a.at"), F.expr("b.size - b.at"))
+    # Each of the shared tokens but the first may stand behind others that are common: the first in order decides.
     meet = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.k") < F.col("b.k"))
         & F.expr(f"1000 * a.size >= {permille} * b.size AND 1000 * b.size >= {permille} * a.size")
-        & (rest >= least)
+        & (rest + SHARED - 1 >= least)
     )
-    return a.join(b, meet).select(F.col("a.k").alias("k"), F.col("b.k").alias("k2")).distinct()
+    met = a.join(b, meet).select(F.col("a.k").alias("k"), F.col("b.k").alias("k2"), F.least(least, F.lit(SHARED)).alias("needed"))
+    return met.groupBy("k", "k2").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("k", "k2")
 
 
 def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
@@ -95,13 +93,13 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     if not 0 < permille <= 1000:
         raise ValueError("similarity is above 0 and at most 1")
     ranks = rarity_ranks(docs)
-    keyed = exploded(docs).select("id", "line_no", F.xxhash64("line").alias("lh"), token_keys(F.col("line"), ranks).alias("tokens"))
-    sets = keyed.select("id", "line_no", "lh", F.xxhash64("tokens").alias("k"), F.size("tokens").cast("long").alias("size"), "tokens").where("size > 0")
-
+    keyed = exploded(docs).select("id", "line_no", F.xxhash64("line").alias("lh"), token_set(F.col("line")).alias("tokens"))
+    size = F.size("tokens").cast("long").alias("size")
+    sets = keyed.select("id", "line_no", "lh", F.xxhash64("tokens").alias("k"), size, "tokens").where("size > 0")
     lines = stored(sets.select("id", "line_no", "lh", "k"), "lines")
     place = F.min(F.struct("id", "line_no")).alias("place")
     firsts = stored(lines.groupBy("k").agg(place).select("k", "place.id", "place.line_no"), "first-lines")
-    pairs = stored(candidates(sets, permille), "line-pairs")
+    pairs = stored(candidates(sets, ranks, permille), "line-pairs")
 
     first, second = firsts.alias("f"), firsts.withColumnsRenamed({"k": "g", "id": "id2", "line_no": "line2"})
     # Both ends with their places, the later one as ``k2``.
@@ -116,7 +114,7 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     wanted_lines = docs.join(by_doc, F.col("id") == F.col("wid")).select(
         F.explode(F.transform("wanted", lambda n: F.get(F.split("text", "\n"), n))).alias("line")
     )
-    fetched = wanted_lines.select(token_keys(F.col("line"), ranks).alias("tokens"))
+    fetched = wanted_lines.select(token_set(F.col("line")).alias("tokens"))
     fetched = stored(fetched.select(F.xxhash64("tokens").alias("k"), "tokens").dropDuplicates(["k"]), "line-sets")
     ours, theirs = fetched.withColumnRenamed("tokens", "t1"), fetched.withColumnsRenamed({"k": "g", "tokens": "t2"})
     checked = placed.join(ours, "k").join(theirs, F.col("k2") == F.col("g"))
