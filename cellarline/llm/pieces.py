@@ -1,15 +1,15 @@
-"""SentencePiece encoding and decoding as a relational lattice.
+"""SentencePiece encoding and decoding with a relational lattice of words.
 
 Text becomes units that no piece reaches across: a run of word marks with what follows it, and control characters by
-themselves. Every different unit is encoded once for a range of documents: its bounded substrings are exploded and
-equi-joined to the piece table, the edges are grouped by unit, and a higher-order ``aggregate`` folds over them. For a
-unigram model the fold is Viterbi. A model of the BPE type is defined by merges in the order of scores, which the best
-path does not reproduce; for it the fold merges over the same edges, so that ids are those of the model's own library.
-Units of more than ``LONG`` characters, on which a fold would be quadratic, go through the same steps with a heap or an
-array inside a task.
+themselves. The units that make up most of a corpus are few: the ``frequent`` most used ones are encoded as a lattice by
+Spark. Their bounded substrings are exploded and equi-joined to the piece table, the edges are grouped by unit, and a
+higher-order ``aggregate`` folds over them. Their ids are a table of bounded size, which is broadcast. Other units are
+rare, each is met a few times only: they are encoded by the same rule inside the task that meets them, as dealing every
+rare word of a corpus to a lattice and back took more shuffle and time than the text itself.
 
-Documents are dealt by ranges of ids. The texts of a range travel compressed, the ids of its units travel to it, and
-both meet in one task, so no dictionary of the corpus is broadcast and no row is made per word.
+For a unigram model the rule is Viterbi. A model of the BPE type is defined by merges in the order of scores, which the
+best path does not reproduce; for it the fold merges over the same edges, so that ids are those of the model's own
+library.
 
 Null texts have null ids and null decoded text; empty texts have no ids. Rows with a null id and repeated rows are
 encoded like others. Characters outside the pieces are encoded as their bytes (or as unknown, if the model has no
@@ -20,25 +20,23 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellarline.llm.common import doc_texts
+from cellarline.llm.common import doc_texts, map_batches, stored
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-LONG = 256
-#: Ids of documents in one range, and ranges that share the encoding of a unit.
-RANGE_IDS = 4096
-SHARED_RANGES = 1024
+#: Units of the broadcast table, and the most characters of one.
+FREQUENT_UNITS, FREQUENT_CHARS = 1 << 16, 64
 #: Most pieces of a model; the piece table is broadcast.
 MOST_PIECES = 1 << 20
 
@@ -177,8 +175,8 @@ def unit_ids(unit: Column, edges: Column, model: Model) -> Column:
     return F.flatten(bind(cuts, places))
 
 
-def long_ids(unit: str, model: Model) -> list[int]:
-    """The same for one long unit: merges by a heap, or the best path over an array."""
+def rare_ids(unit: str, model: Model) -> list[int]:
+    """The same for one unit inside a task: merges by a heap, or the best path over an array."""
     n, pieces = len(unit), model.pieces
     cuts = list(range(n + 1))
     if model.kind == BPE:
@@ -224,14 +222,14 @@ def long_ids(unit: str, model: Model) -> list[int]:
     return out
 
 
-def encode_units(units: DataFrame, model: Model, keep: str) -> DataFrame:
-    """``unit``, ``group``, ``keep``, ``ids``; the rows of ``units`` are different in (unit, group) and dealt by both."""
+def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
+    """``unit``, ``ids`` of the different units in ``units``."""
     spark = units.sparkSession
     rows = [(piece, k, score) for piece, (k, score) in model.pieces.items()]
-    table = spark.createDataFrame(pa.table({k: list(v) for k, v in zip(("piece", "id", "score"), zip(*rows, strict=True), strict=True)}))
+    names = ("piece", "id", "score")
+    table = spark.createDataFrame(pa.table({n: list(v) for n, v in zip(names, zip(*rows, strict=True), strict=True)}))
     table = table.select("piece", F.col("id").cast("int").alias("id"), "score")
-    short = units.where(F.length("unit") <= LONG)
-    starts = short.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("unit"))))
+    starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
     most = F.least(F.lit(model.longest), F.length("unit") - F.col("start") + 1)
     spans = starts.withColumn("size", F.explode(F.sequence(F.lit(1), most)))
     spans = spans.withColumn("span", F.substring("unit", F.col("start"), F.col("size")))
@@ -239,97 +237,71 @@ def encode_units(units: DataFrame, model: Model, keep: str) -> DataFrame:
     found = spans.join(F.broadcast(table), F.col("span") == F.col("piece"), "left")
     found = found.where(F.col("id").isNotNull() | ((F.col("start") == 1) & (F.col("size") == 1)))
     edge = F.struct((F.col("start") * 64 + F.col("size")).alias("key"), F.struct("score", "id").alias("value"))
-    edges = found.groupBy("unit", "group").agg(
-        F.first(keep).alias(keep), F.map_from_entries(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges")
-    )
-    done = edges.select("unit", "group", keep, unit_ids(F.col("unit"), F.col("edges"), model).alias("ids"))
+    edges = found.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    return edges.select("unit", unit_ids(F.col("unit"), F.col("edges"), model).alias("ids"))
 
-    def encode_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [long_ids(unit, model) for unit in batch.column("unit").to_pylist()]
-            columns = [*(batch.column(c) for c in ("unit", "group", keep)), pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["unit", "group", keep, "ids"])
 
-    long = units.where(F.length("unit") > LONG).select("unit", "group", keep)
-    kind = {f.name: f.dataType.simpleString() for f in units.schema}
-    schema = f"unit string, group {kind['group']}, `{keep}` {kind[keep]}, ids array<int>"
-    return done.union(long.mapInArrow(encode_long, schema))
+# Documents
 
 
-# Documents
+def frequent_units(texts: DataFrame, model: Model, most: int) -> DataFrame:
+    """``unit`` of about the ``most`` most used units; every task names its own favourites, so what it sends is bounded."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                total.update(units_of(text or "", shared.value))
+            if len(total) > 8 * most:
+                total = Counter(dict(total.most_common(2 * most)))
+        favourites = [(u, n) for u, n in total.most_common(2 * most) if n > 1 and len(u) <= FREQUENT_CHARS]
+        for at in range(0, len(favourites), 10_000):
+            units, counts = zip(*favourites[at : at + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(counts)], ["unit", "n"])
+
+    counts = texts.select("text").mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.desc("n"), "unit").limit(most).select("unit")
 
 
 def encode(
-    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", range_ids: int = RANGE_IDS
+    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT_UNITS
 ) -> DataFrame:
     """``id``, ``ids`` (array), ``decoded`` of each row of ``docs``."""
-    spread = F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(SHARED_RANGES))
     texts = doc_texts(docs, id_col, text_col)
+    context = docs.sparkSession.sparkContext
+    top = stored(frequent_units(texts, model, frequent), "units")
+    known = lattice_ids(top.repartition("unit"), model).toPandas()
+    table = {unit: np.array(ids, np.int32) for unit, ids in zip(known["unit"], known["ids"], strict=True)}
+    shared, encoded = context.broadcast(model), context.broadcast(table)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model, table, rare = shared.value, encoded.value, {}
+        sizes, tokens, decoded = [], [], []
+        texts = batch.column("text").to_pylist()
+        for text in texts:
+            units = units_of(text or "", model)
+            for unit in set(units).difference(rare):
+                ids = table.get(unit)
+                rare[unit] = np.array(rare_ids(unit, model), np.int32) if ids is None else ids
+            ids = np.concatenate([NOTHING, *map(rare.__getitem__, units)])
+            tokens.append(ids)
+            sizes.append(len(ids))
+            decoded.append(None if text is None else decode_ids(ids.tolist(), model))
+            if len(rare) > MOST_HELD:
+                rare.clear()
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        nulls = pa.array([text is None for text in texts])
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tokens)), mask=nulls)
+        return pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+
     kind = texts.schema["id"].dataType.simpleString()
-    chunk = F.coalesce(F.floor(F.try_divide(F.col("id").cast("bigint"), F.lit(range_ids))), spread).cast("bigint")
-    texts = texts.withColumn("chunk", chunk)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return map_batches(texts, step, f"id {kind}, ids array<int>, decoded string")
 
-    def by_chunk(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-        chunks = batch.column("chunk").to_numpy()
-        for value in np.unique(chunks):
-            yield int(value), batch.filter(pa.array(chunks == value)).select(["id", "text"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for value, part in by_chunk(batch):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as writer:
-                    writer.write_batch(part)
-                blob = squeeze.compress(sink.getvalue().to_pybytes())
-                yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([blob])], ["chunk", "blob"])
-
-    def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value, part in by_chunk(batch):
-                known: set[str] = set()
-                for text in part.column("text").to_pylist():
-                    known.update(units_of(text or "", shared.value))
-                if known:
-                    columns = [pa.array(list(known)), pa.array(np.full(len(known), value))]
-                    yield from pa.Table.from_arrays(columns, ["unit", "chunk"]).to_batches(10_000)
-
-    units = texts.mapInArrow(distinct_units, "unit string, chunk bigint")
-    # A unit of frequent use is encoded once for every SHARED_RANGES ranges, so a list of ranges is bounded.
-    group = F.floor(F.col("chunk") / SHARED_RANGES).alias("group")
-    grouped = units.groupBy("unit", group).agg(F.collect_set("chunk").alias("chunks"))
-    encoded = encode_units(grouped, model, "chunks").select(F.explode("chunks").alias("chunk"), "unit", "ids")
-    packed = texts.mapInArrow(pack, "chunk bigint, blob binary")
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        lists = right["ids"].combine_chunks()
-        flat = lists.flatten().to_numpy()
-        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        first = np.concatenate([[0], ends]).astype(np.int64)
-        place = {unit: k for k, unit in enumerate(right["unit"].to_pylist())}
-        parts = []
-        for blob in left["blob"].to_pylist():
-            part = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
-            sizes, tokens, texts_out, nulls = [], [], [], []
-            for text in part["text"].to_pylist():
-                at = np.fromiter(map(place.__getitem__, units_of(text or "", shared.value)), np.int64)
-                many = first[at + 1] - first[at]
-                within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                ids = flat[np.repeat(first[at], many) + within]
-                tokens.append(ids)
-                sizes.append(len(ids))
-                nulls.append(text is None)
-                texts_out.append(None if text is None else decode_ids(ids.tolist(), shared.value))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            values = pa.array(np.concatenate([*tokens, np.zeros(0, np.int32)]).astype(np.int32))
-            ids_out = pa.ListArray.from_arrays(offsets, values, mask=pa.array(nulls))
-            parts.append(pa.table([part["id"], ids_out, pa.array(texts_out, pa.string())], ["id", "ids", "decoded"]))
-        schema = pa.schema([("id", parts[0].schema.field("id").type if parts else pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-        return pa.concat_tables(parts) if parts else schema.empty_table()
-
-    together = packed.groupBy("chunk").cogroup(encoded.groupBy("chunk"))
-    return together.applyInArrow(assemble, f"id {kind}, ids array<int>, decoded string")
+NOTHING = np.zeros(0, np.int32)
+#: Units whose ids a task keeps while it goes through a batch.
+MOST_HELD = 1 << 18
 
 
 def decode_ids(ids: list[int], model: Model) -> str:
