@@ -23,6 +23,11 @@ def totals(df: DataFrame, **aggregates: Column) -> Column:
     return df.agg(F.struct(*fields, keep_columns).alias("_totals")).scalar()
 
 
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of a sorted frame; None (and 0) means all of them."""
+    return df.limit(limit) if limit else df
+
+
 def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "ranking", limit: int | None = None) -> DataFrame:
     """Number the rows of ``df`` 1..n in ``order`` (which must end in a unique key), sorted.
 

@@ -20,14 +20,11 @@ from cellarline.functions.exprs import (
     round_ratio,
     safe_div,
 )
-from cellarline.functions.frames import page, rank_rows, totals
+from cellarline.functions.frames import first_rows, page, rank_rows, totals
 from cellarline.sources.fact import in_year
 
 Day = dt.date | str | None
 SALE, MARGIN = "venta_neta_mn", "margen_mn"
-# "No limit" of the yearly ranking and size of the materialized one. Fixed values.
-UNLIMITED_ROWS = 1000
-MATERIALIZED_ROWS = 500
 
 
 def _loyalty_label(orders: str, money: str, cfg: Settings) -> Column:
@@ -102,27 +99,25 @@ def _year_stats(sales: DataFrame, anno: int | None, as_of: Day) -> DataFrame:
     )
 
 
-def top_clientes_year(sales: DataFrame, anno: int | None = None, limit: int = 500, as_of: Day = None) -> DataFrame:
-    """Customers of a year (0: all; None: the running year) by revenue.
+def top_clientes_year(sales: DataFrame, anno: int | None = None, limit: int | None = None, as_of: Day = None) -> DataFrame:
+    """Customers of a year (0: all; None: the running year) by revenue; all of them or the first ``limit``.
 
     The share and the customer count are over all customers, not over the listed ones.
     """
     anno = as_python_date(as_of).year if anno is None else anno
     stats = _year_stats(sales, anno, as_of)
     whole = totals(stats, sale=F.sum("venta_neta"), rows=F.count("*"))
-    return (
-        stats.withColumn("total_clientes", whole["rows"])
-        .withColumn("share_pct", percent(F.col("venta_neta"), whole["sale"]))
-        .orderBy(F.desc("venta_neta"), "cliente")
-        .limit(limit if limit > 0 else UNLIMITED_ROWS)
+    shared = stats.withColumn("total_clientes", whole["rows"]).withColumn(
+        "share_pct", percent(F.col("venta_neta"), whole["sale"])
     )
+    return first_rows(shared.orderBy(F.desc("venta_neta"), "cliente"), limit)
 
 
-def top_clientes_anno_mat(sales: DataFrame, as_of: Day = None) -> DataFrame:
-    """The table of the running year's first customers."""
+def top_clientes_anno_mat(sales: DataFrame, as_of: Day = None, limit: int | None = None) -> DataFrame:
+    """The table of the running year's customers, or of the first ``limit``."""
     year = as_python_date(as_of).year
     stats = _year_stats(sales, year, as_of).withColumn("anno", F.lit(year).cast("bigint"))
-    return stats.orderBy(F.desc("venta_neta"), "cliente").limit(MATERIALIZED_ROWS)
+    return first_rows(stats.orderBy(F.desc("venta_neta"), "cliente"), limit)
 
 
 def rfm_basic(sales: DataFrame, as_of: Day = None, limit: int | None = None, cfg: Settings = DEFAULTS) -> DataFrame:

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellarline.functions.exprs import exact_sum
-
-# Rows of the account drill-down. Fixed value.
-DETAIL_ROWS = 1000
+from cellarline.functions.frames import first_rows
 
 
 def _statement(ledger: DataFrame, accounts: str) -> DataFrame:
@@ -48,8 +46,10 @@ def fin_flujo(ledger: DataFrame, anno: int | None = None) -> DataFrame:
     )
 
 
-def fin_detalle(ledger: DataFrame, anno: int, cta: str, periodo: int | None = None, limit: int = DETAIL_ROWS) -> DataFrame:
-    """The entries behind one account, oldest first."""
+def fin_detalle(
+    ledger: DataFrame, anno: int, cta: str, periodo: int | None = None, limit: int | None = None
+) -> DataFrame:
+    """The entries behind one account, oldest first; all of them unless ``limit`` asks for the first."""
     found = ledger.filter((F.col("ejercicio") == anno) & (F.col("nro_cta") == cta))
     if periodo is not None:
         found = found.filter(F.col("periodo") == periodo)
@@ -64,8 +64,8 @@ def fin_detalle(ledger: DataFrame, anno: int, cta: str, periodo: int | None = No
         F.col("mto_haber").alias("haber"),
         F.col("mda_origen").alias("moneda"),
     )
-    first = entries.orderBy("fecha", "registro", "entidad", "debe", "haber", "glosa", "doc_tipo", "doc_numero").limit(limit)
-    return first.withColumns({name: F.col(name).cast("double") for name in ("debe", "haber")})
+    ordered = entries.orderBy("fecha", "registro", "entidad", "debe", "haber", "glosa", "doc_tipo", "doc_numero")
+    return first_rows(ordered, limit).withColumns({name: F.col(name).cast("double") for name in ("debe", "haber")})
 
 
 def ledger_profile_years(ledger: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def ledger_profile_years(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("ejercicio").agg(F.count("*").alias("filas")).orderBy("ejercicio")
 
 
-def ledger_profile_accounts(ledger: DataFrame, limit: int = 20) -> DataFrame:
-    """Rows per (account, name), the first ``limit`` accounts."""
+def ledger_profile_accounts(ledger: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows per (account, name) by account, all of them unless ``limit`` asks for the first."""
     rows = ledger.groupBy("nro_cta", "nombre_cuenta").agg(F.count("*").alias("filas"))
-    return rows.orderBy("nro_cta", "nombre_cuenta").limit(limit)
+    return first_rows(rows.orderBy("nro_cta", "nombre_cuenta"), limit)

@@ -25,13 +25,12 @@ from cellarline.config import (
     Settings,
 )
 from cellarline.functions.exprs import money_sum, month_start, or_text, round_ratio
+from cellarline.functions.frames import first_rows
 
 # (values oldest first, horizon) -> three sequences of length horizon: P50, P10, P90.
 Model = Callable[[Sequence[float], int], tuple[Sequence[float], Sequence[float], Sequence[float]]]
 
 QUANTILES = (0.1, 0.5, 0.9)
-# Rows of the catalog-wide rollup. Fixed value.
-ROLLUP_ROWS = 20
 
 FORECAST_TOTAL_SCHEMA = T.StructType(
     [
@@ -311,8 +310,8 @@ def forecast_catalogo(table: DataFrame) -> DataFrame:
     return pairs.distinct().orderBy("marca", "producto")
 
 
-def forecast_rollup_3m(table: DataFrame, limit: int = ROLLUP_ROWS) -> DataFrame:
-    """Whole bottles per product over the horizon, products with most first; a null counts as 0."""
+def forecast_rollup_3m(table: DataFrame, limit: int | None = None) -> DataFrame:
+    """Whole bottles per product over the horizon, products with most first, all or ``limit``; a null counts as 0."""
 
     def bottles(name: str) -> Column:
         return round_ratio(F.sum(F.coalesce(name, F.lit(0.0))), 0)
@@ -323,4 +322,4 @@ def forecast_rollup_3m(table: DataFrame, limit: int = ROLLUP_ROWS) -> DataFrame:
         bottles("fc_hi").cast("bigint").alias("fc_hi"),
         F.sum(F.coalesce("fc_uds", F.lit(0.0))).alias("_exact"),
     )
-    return by_product.orderBy(F.desc(F.round("_exact", 6)), "producto").limit(limit).drop("_exact")
+    return first_rows(by_product.orderBy(F.desc(F.round("_exact", 6)), "producto"), limit).drop("_exact")

@@ -73,8 +73,14 @@ def _cut_of(anno: int, as_of: dt.date) -> str | None:
     return as_of.strftime("%m-%d") if anno == as_of.year else None
 
 
-def kpi_year(sales: DataFrame, anno: int, as_of: dt.date | str | None = None) -> DataFrame:
-    """Two rows, ``anno`` and the year before; the running year is compared up to the same day."""
+def kpi_year(sales: DataFrame, anno: int | None, as_of: dt.date | str | None = None) -> DataFrame:
+    """Two rows, ``anno`` and the year before; the running year is compared up to the same day.
+
+    Without a year (None or 0) there is one row over all years, under year 0.
+    """
+    if not anno:
+        whole = [F.lit("current").alias("periodo"), F.lit(0).cast("bigint").alias("anno")]
+        return sales.agg(*_figures()).select(*whole, *METRICS)
     both = _two_years(sales, anno, _cut_of(anno, as_python_date(as_of)))
     sides = [
         F.struct(
@@ -100,9 +106,9 @@ def kpi_ytd(sales: DataFrame, as_of: dt.date | str | None = None) -> DataFrame:
 
 
 def kpi_yoy_delta(sales: DataFrame, anno: int, as_of: dt.date | str | None = None) -> DataFrame:
-    """Per metric the change in % against the year before and its direction.
+    """Per metric the change against the year before, absolute and in %, and its direction.
 
-    Without a previous value, or with zero, there is no change and the direction is ``neutral``.
+    Without a previous value, or with zero, there is no change in % and the direction is ``neutral``.
     """
     both = _two_years(sales, anno, _cut_of(anno, as_python_date(as_of)))
     rows = [
@@ -120,6 +126,7 @@ def kpi_yoy_delta(sales: DataFrame, anno: int, as_of: dt.date | str | None = Non
         "metrica",
         "actual",
         "anterior",
+        (F.col("actual") - before).alias("delta"),
         F.when(~missing, percent(now - before, before)).alias("delta_pct"),
         F.when(missing, "neutral").when(now >= before, "up").otherwise("down").alias("direccion"),
     )

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from cellarline.config import DEFAULTS, NO_BRAND, NO_ORIGIN, NO_TYPE, Settings
 from cellarline.functions.exprs import exact_sum, first_match, money_sum, or_text, percent, round_ratio, safe_div
-from cellarline.functions.frames import page, rank_rows, totals
+from cellarline.functions.frames import first_rows, page, rank_rows, totals
 from cellarline.sources.fact import in_year
 
 SALE, MARGIN = "venta_neta_mn", "margen_mn"
-# "No limit" of the yearly rankings. Fixed value.
-UNLIMITED_ROWS = 1000
 
 
 def _margin_pct() -> Column:
@@ -46,18 +44,18 @@ def dim_tipo(sales: DataFrame, anno: int | None = None) -> DataFrame:
     ).orderBy(F.desc("venta_neta"), "nombre_tipo_bebida")
 
 
-def dim_marca(sales: DataFrame, anno: int | None = None, limit: int | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
-    """The brands with most revenue."""
+def dim_marca(sales: DataFrame, anno: int | None = None, limit: int | None = None) -> DataFrame:
+    """Brands by revenue: all of them, or the first ``limit`` (``Settings.brand_limit`` on the first page)."""
     by_brand = in_year(sales, anno).groupBy("marca_producto").agg(
         money_sum(SALE).alias("venta_neta"),
         money_sum(MARGIN).alias("margen_neto"),
         F.sum("cantidad").alias("unidades"),
     )
-    return by_brand.orderBy(F.desc("venta_neta"), "marca_producto").limit(limit or cfg.brand_limit)
+    return first_rows(by_brand.orderBy(F.desc("venta_neta"), "marca_producto"), limit)
 
 
 def margen_marca(sales: DataFrame, limit: int | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
-    """The brands with the best margin % among those above a revenue limit."""
+    """Brands above a revenue limit by margin %: all of them, or the first ``limit``."""
     by_brand = sales.groupBy("marca_producto").agg(
         _margin_pct().alias("margen_pct"),
         money_sum(SALE).alias("venta_neta"),
@@ -65,7 +63,7 @@ def margen_marca(sales: DataFrame, limit: int | None = None, cfg: Settings = DEF
         exact_sum(SALE).alias("_exact"),
     )
     kept = by_brand.filter(F.col("_exact") > cfg.brand_min_revenue).drop("_exact")
-    return kept.orderBy(F.desc("margen_pct"), "marca_producto").limit(limit or cfg.brand_limit)
+    return first_rows(kept.orderBy(F.desc("margen_pct"), "marca_producto"), limit)
 
 
 def segmento_precio_costo(sales: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -233,17 +231,14 @@ def top_productos(sales: DataFrame, limit: int | None = None) -> DataFrame:
     return rank_rows(shared, order, limit=limit)
 
 
-def top_productos_year(sales: DataFrame, anno: int = 0, limit: int = 500) -> DataFrame:
-    """Products of a year (0: all) by revenue, with the number of products behind the list."""
+def top_productos_year(sales: DataFrame, anno: int = 0, limit: int | None = None) -> DataFrame:
+    """Products of a year (0: all) by revenue, all or the first ``limit``, with the number of products behind the list."""
     stats = in_year(sales, anno).groupBy(
         "producto", or_text("marca_producto", NO_BRAND).alias("marca"), or_text("nombre_tipo_bebida", NO_TYPE).alias("tipo")
     ).agg(money_sum(SALE).alias("venta_neta"), money_sum(MARGIN).alias("margen"), _margin_pct().alias("pct_margen"))
     whole = totals(stats, rows=F.count("*"))
-    return (
-        stats.withColumn("total_productos", whole["rows"])
-        .orderBy(F.desc("venta_neta"), "producto", "marca", "tipo")
-        .limit(limit if limit > 0 else UNLIMITED_ROWS)
-    )
+    counted = stats.withColumn("total_productos", whole["rows"])
+    return first_rows(counted.orderBy(F.desc("venta_neta"), "producto", "marca", "tipo"), limit)
 
 
 def _shares(stats: DataFrame, *order: str) -> DataFrame:

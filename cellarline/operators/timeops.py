@@ -90,11 +90,13 @@ def yoy_mensual(sales: DataFrame, anno: int) -> DataFrame:
     ).orderBy("mes")
 
 
-def margen_marca_anno(sales: DataFrame, annos: Sequence[int]) -> DataFrame:
-    """Margin % per brand with one column ``margen_<year>`` for each of ``annos``.
+def margen_marca_anno(sales: DataFrame, annos: Sequence[int] | None = None) -> DataFrame:
+    """Margin % per brand with one column ``margen_<year>`` for each of ``annos``, or for every year there is.
 
-    The years are given, so the pivot needs no job of its own to find them.
+    Years that are given save the small job that finds them.
     """
+    if annos is None:
+        annos = [row["anno"] for row in sales.select("anno").where("anno IS NOT NULL").distinct().orderBy("anno").collect()]
     yearly = sales.filter(F.col("anno").isin(*annos)).groupBy("marca_producto", "anno").agg(
         percent(exact_sum("margen_mn"), exact_sum("venta_neta_mn")).alias("pct")
     )

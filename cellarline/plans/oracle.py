@@ -12,6 +12,11 @@ from cellarline.plans.sample import ACCOUNT, AS_OF, CFG, PERIOD, YEAR, YEARS
 
 DAY = f"DATE '{AS_OF.isoformat()}'"
 THIS = AS_OF.year
+# Key columns and measures of wider frames, as they appear in the long rows of the first page and of the views.
+TOP_CLIENTES = ("cliente segmento_rfm ultima_compra", "ranking pedidos venta_neta share_pct dias_sin_compra")
+VENDEDORES = ("vendedor", "venta_neta pedidos share_pct")
+SEGMENTOS = ("segmento", "unidades pct_volumen venta_neta margen_pct")
+TOP_CLIENTES_ANNO = ("cliente ultima_compra anno", "venta_neta pedidos unidades dias_sin_compra")
 METRICS = ("venta_neta", "margen", "pct_margen", "unidades", "clientes", "pedidos", "pedido_promedio")
 
 SALES = """sales AS (
@@ -155,11 +160,10 @@ def products_sql() -> dict[str, str]:
             FROM sales GROUP BY 1""",
         "dim_tipo": with_() + f"""SELECT tipo AS nombre_tipo_bebida, {money('venta')} AS venta_neta, {big('sum(cantidad)')} AS unidades,
             {pct('sum(venta)', '(SELECT sum(venta) FROM sales)')} AS pct_venta FROM sales GROUP BY 1""",
-        "dim_marca": with_() + f"""SELECT marca AS marca_producto, {money('venta')} AS venta_neta, {money('margen')} AS margen_neto,
-            {big('sum(cantidad)')} AS unidades FROM sales GROUP BY 1 ORDER BY venta_neta DESC, 1 LIMIT {CFG.brand_limit}""",
-        "margen_marca": with_() + f"""SELECT marca AS marca_producto, {MARGIN} AS margen_pct, {money('venta')} AS venta_neta,
-            {big('sum(cantidad)')} AS unidades FROM sales GROUP BY 1 HAVING sum(venta) > {CFG.brand_min_revenue}
-            ORDER BY margen_pct DESC, 1 LIMIT {CFG.brand_limit}""",
+        "dim_marca_all": with_() + f"""SELECT marca AS marca_producto, {money('venta')} AS venta_neta, {money('margen')} AS margen_neto,
+            {big('sum(cantidad)')} AS unidades FROM sales GROUP BY 1""",
+        "margen_marca_all": with_() + f"""SELECT marca AS marca_producto, {MARGIN} AS margen_pct, {money('venta')} AS venta_neta,
+            {big('sum(cantidad)')} AS unidades FROM sales GROUP BY 1 HAVING sum(venta) > {CFG.brand_min_revenue}""",
         "segmento_precio_costo": with_() + f"""SELECT {cost_case} AS segmento, {big('sum(cantidad)')} AS unidades,
             {pct('sum(cantidad)', '(SELECT sum(cantidad) FROM sales WHERE cantidad > 0)')} AS pct_volumen,
             {money('venta')} AS venta_neta, {MARGIN} AS margen_pct FROM sales WHERE cantidad > 0 GROUP BY 1""",
@@ -189,7 +193,7 @@ def products_sql() -> dict[str, str]:
             row_number() OVER (ORDER BY unidades DESC, producto, nombre_tipo_bebida) AS ranking FROM p""",
         "top_productos_year": with_(f"""p AS (SELECT producto, {marca} AS marca, {tipo} AS tipo, {money('venta')} AS venta_neta,
             {money('margen')} AS margen, {MARGIN} AS pct_margen FROM gy GROUP BY ALL)""")
-        + """SELECT *, (SELECT count(*) FROM p) AS total_productos FROM p ORDER BY venta_neta DESC, producto, marca, tipo LIMIT 500""",
+        + """SELECT *, (SELECT count(*) FROM p) AS total_productos FROM p""",
         "productos_all": with_(f"""p AS (SELECT producto, {marca} AS marca, {money('venta')} AS venta_neta FROM gy GROUP BY 1, 2
             HAVING round(sum(venta), 0) > 0)""")
         + f"SELECT *, {pct('venta_neta', '(SELECT sum(venta_neta) FROM p)')} AS share_pct FROM p",
@@ -221,7 +225,7 @@ def time_sql() -> dict[str, str]:
     )
     deltas = " UNION ALL ".join(
         f"""SELECT '{m}' AS metrica, {dbl('c.' + m)} AS actual, {dbl('p.' + m)} AS anterior,
-            {pct(f'c.{m} - p.{m}', f'p.{m}')} AS delta_pct,
+            {dbl(f'c.{m} - p.{m}')} AS delta, {pct(f'c.{m} - p.{m}', f'p.{m}')} AS delta_pct,
             CASE WHEN coalesce(p.{m}, 0) = 0 THEN 'neutral' WHEN c.{m} >= p.{m} THEN 'up' ELSE 'down' END AS direccion FROM c, p"""
         for m in METRICS
     )
@@ -239,6 +243,7 @@ def time_sql() -> dict[str, str]:
         "kpi_global": with_() + f"SELECT {figures(view)} FROM sales",
         "kpi_year": with_() + kpi_rows(YEAR),
         "kpi_year_running": with_() + kpi_rows(THIS),
+        "kpi_year_all": with_() + f"SELECT 'current' AS periodo, 0::BIGINT AS anno, {figures()} FROM g",
         "kpi_ytd": year_to_date("sales"),
         "kpi_ytd_live": year_to_date("g"),
         "kpi_yoy_delta": with_(
@@ -337,9 +342,9 @@ def customers_sql() -> dict[str, str]:
         "top_clientes": with_(base) + ranking,
         "top_clientes_first": with_(base) + ranking + " ORDER BY ranking LIMIT 20",
         "top_clientes_year": with_(f"c AS ({year_stats('gy')})") + f"""SELECT *, (SELECT count(*) FROM c) AS total_clientes,
-            {pct('venta_neta', '(SELECT sum(venta_neta) FROM c)')} AS share_pct FROM c ORDER BY venta_neta DESC, cliente LIMIT 500""",
+            {pct('venta_neta', '(SELECT sum(venta_neta) FROM c)')} AS share_pct FROM c""",
         "top_clientes_anno_mat": with_(f"c AS ({year_stats(f'(SELECT * FROM sales WHERE anno = {THIS})')})")
-        + f"SELECT *, {big(THIS)} AS anno FROM c ORDER BY venta_neta DESC, cliente LIMIT 500",
+        + f"SELECT *, {big(THIS)} AS anno FROM c",
         "rfm_basic": with_(base) + f"""SELECT cliente, ultima_compra, pedidos AS frecuencia, venta_neta AS valor_monetario, dias_sin_compra,
             {loyalty('pedidos', 'venta_neta')} AS segmento_rfm FROM c""",
         "rfm_details": with_(rfm_cte("g")) + f"SELECT {rfm_columns} FROM r",
@@ -396,11 +401,10 @@ def finance_sql() -> dict[str, str]:
             {dbl('sum(debe - haber)')} AS flujo_neto FROM l WHERE cta LIKE '10%' AND ejercicio = {YEAR} GROUP BY 1, 2""",
         "fin_detalle": with_(ledger) + f"""SELECT fecha, 'R-' || cod_venta AS registro, 'Venta ' || cod_venta AS glosa, '01' AS doc_tipo,
             CAST(cod_venta AS VARCHAR) AS doc_numero, coalesce(cliente, vendedor) AS entidad, {dbl('debe')} AS debe,
-            {dbl('haber')} AS haber, 'PEN' AS moneda FROM l WHERE ejercicio = {YEAR} AND cta = '{ACCOUNT}' AND periodo = {PERIOD}
-            ORDER BY fecha, registro, entidad, l.debe, l.haber LIMIT 1000""",
+            {dbl('haber')} AS haber, 'PEN' AS moneda FROM l WHERE ejercicio = {YEAR} AND cta = '{ACCOUNT}' AND periodo = {PERIOD}""",
         "ledger_profile_years": with_(ledger) + "SELECT ejercicio, count(*) AS filas FROM l GROUP BY 1",
         "ledger_profile_accounts": with_(ledger)
-        + "SELECT cta AS nro_cta, nombre AS nombre_cuenta, count(*) AS filas FROM l GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 20",
+        + "SELECT cta AS nro_cta, nombre AS nombre_cuenta, count(*) AS filas FROM l GROUP BY 1, 2",
     }
 
 
@@ -474,8 +478,7 @@ def forecast_sql() -> dict[str, str]:
         "read_forecast_total": total_table,
         "read_forecast_productos": own + "SELECT * FROM t WHERE producto = 'red widget'",
         "forecast_catalogo": own + f"SELECT DISTINCT marca, producto FROM t WHERE tipo = {text(TAG_FORECAST)}",
-        "forecast_rollup_3m": own + f"""SELECT producto, {rollup} FROM t GROUP BY 1
-            ORDER BY round(sum(coalesce(t.fc_uds, 0.0)), 6) DESC, producto LIMIT 20""",
+        "forecast_rollup_3m": own + f"""SELECT producto, {rollup} FROM t GROUP BY 1""",
         "write_truncate": total_table,
         "export_csv": own + f"SELECT * FROM t WHERE tipo = {text(TAG_FORECAST)}",
     }
@@ -495,54 +498,82 @@ def source_sql() -> dict[str, str]:
       FROM lineitem LEFT JOIN o ON o_orderkey = l_orderkey AND NOT blank)"""
     number = "CASE WHEN value IS NULL OR isnan(value) THEN '' WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"
     events = f"""SELECT coalesce(CAST(event_id AS VARCHAR), '') AS event_id, coalesce(strftime(ts, '%d/%m/%Y'), '') AS ts,
-      coalesce(CAST(user_id AS VARCHAR), '') AS user_id, coalesce(event_type, '') AS event_type, {number} AS value FROM events"""
-    views = {
-        "ventas_dashboard": "SELECT count(*) FROM sales",
-        "kpi_global": "SELECT 1",
-        "serie_mensual": "SELECT count(DISTINCT periodo) FROM sales",
-        "dimension_pais": "SELECT count(DISTINCT pais) FROM sales",
-        "dimension_tipo": "SELECT count(DISTINCT tipo) FROM sales",
-        "dimension_marca": f"SELECT least({CFG.brand_limit}, count(DISTINCT marca)) FROM sales",
-        "top_clientes": "SELECT count(DISTINCT cliente) FROM sales",
-        "top_productos": "SELECT count(DISTINCT (producto, tipo)) FROM sales",
-        "vendedores": "SELECT count(DISTINCT vendedor) FROM sales",
-        "segmento_precio": f"SELECT count(*) FROM ({products_sql()['segmento_precio_costo']})",
-        "margen_marca": f"SELECT count(*) FROM ({products_sql()['margen_marca']})",
-        "rfm": "SELECT count(DISTINCT cliente) FROM sales",
-        "estacionalidad": "SELECT count(DISTINCT periodo) FROM sales",
-        "kpi_ytd": "SELECT 1",
-        "top_clientes_anno": f"SELECT least(500, count(DISTINCT cliente)) FROM sales WHERE anno = {THIS}",
-    }
+      coalesce(CAST(user_id AS VARCHAR), '') AS user_id, coalesce(event_type, '') AS event_type, {number} AS value,
+      coalesce(props, '') AS props FROM events"""
+    every = {**time_sql(), **products_sql(), **customers_sql()}
+
+    def top(name: str, order: str, limit: int) -> str:
+        return f"SELECT * FROM ({every[name]}) ORDER BY {order} LIMIT {limit}"
+
+    # Section or view -> its rows, key columns and measures.
+    figures_of = "venta_neta margen pct_margen unidades clientes pedidos pedido_promedio"
+    view_figures = "venta_neta_total margen_neto_total pct_margen_bruto unidades_total clientes_activos num_pedidos aov"
+    brand = (top("dim_marca_all", "venta_neta DESC, marca_producto", CFG.brand_limit), "marca_producto", "venta_neta margen_neto unidades")
+    margins = (top("margen_marca_all", "margen_pct DESC, marca_producto", CFG.brand_limit), "marca_producto", "margen_pct venta_neta unidades")
+    country = ("pais_origen_producto", "venta_neta margen_neto unidades pedidos clientes")
+    kind = (every["dim_tipo"], "nombre_tipo_bebida", "venta_neta unidades pct_venta")
+    ranked = ("producto nombre_tipo_bebida", "unidades venta_neta margen_neto margen_pct pct_total_uds ranking")
+    season = (every["estacionalidad"], "anno mes mes_label nivel", "venta_mes indice_estacional")
+    month = ("periodo anno mes periodo_label", "venta_neta margen_neto unidades pedidos aov")
+    rfm = ("cliente ultima_compra segmento_rfm", "frecuencia valor_monetario dias_sin_compra")
     sections = {
-        "kpis": "SELECT 2",
-        "serie": f"SELECT count(DISTINCT periodo) FROM sales WHERE anno = {YEAR}",
-        "pais": "SELECT least(10, count(DISTINCT pais)) FROM sales",
-        "tipo": views["dimension_tipo"],
-        "marca": views["dimension_marca"],
-        "top_cli": "SELECT least(500, count(DISTINCT cliente)) FROM sales",
-        "top_prd": "SELECT least(6, count(DISTINCT (producto, tipo))) FROM sales",
-        "vendedores": views["vendedores"],
-        "segmentos": views["segmento_precio"],
-        "margenes": views["margen_marca"],
-        "rfm": "SELECT least(8, count(DISTINCT cliente)) FROM sales",
-        "heat": views["estacionalidad"],
+        "kpis": (every["kpi_year"], "periodo anno", figures_of),
+        "serie": (every["serie_mensual_year"], *month),
+        "pais": (top("dim_pais", "venta_neta DESC, pais_origen_producto", 10), *country),
+        "tipo": kind,
+        "marca": brand,
+        "top_cli": (top("top_clientes", "ranking", 500), *TOP_CLIENTES),
+        "top_prd": (top("top_productos", "ranking", 6), *ranked),
+        "vendedores": (every["vendedores"], *VENDEDORES),
+        "segmentos": (every["segmento_precio_costo"], *SEGMENTOS),
+        "margenes": margins,
+        "rfm": (top("rfm_basic", "valor_monetario DESC, cliente", 8), *rfm),
+        "heat": season,
     }
+    previous = " ".join(f"{m}_prev" for m in METRICS)
+    views = {
+        "kpi_global": (every["kpi_global"], "", view_figures),
+        "serie_mensual": (every["serie_mensual"], *month),
+        "dimension_pais": (every["dim_pais"], *country),
+        "dimension_tipo": kind,
+        "dimension_marca": brand,
+        "top_clientes": (every["top_clientes"], *TOP_CLIENTES),
+        "top_productos": (every["top_productos"], *ranked),
+        "vendedores": sections["vendedores"],
+        "segmento_precio": sections["segmentos"],
+        "margen_marca": margins,
+        "rfm": (every["rfm_basic"], *rfm),
+        "estacionalidad": season,
+        "kpi_ytd": (every["kpi_ytd"], "anno fecha_corte", f"{figures_of} {previous}"),
+        "top_clientes_anno": (every["top_clientes_anno_mat"], *TOP_CLIENTES_ANNO),
+    }
+    base = f"""SELECT 'ventas_dashboard' AS seccion, concat_ws('|', CAST(anno AS VARCHAR), CAST(mes AS VARCHAR)) AS clave, 'venta' AS medida,
+        {dbl('round(sum(venta), 2)')} AS valor FROM sales GROUP BY anno, mes"""
+
+    def long(parts: dict[str, tuple[str, str, str]]) -> str:
+        found = []
+        for name, (sql, keys, measures) in parts.items():
+            key = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys.split()) or "''"
+            pairs = ", ".join(f"{{'m': '{m}', 'v': {dbl(m)}}}" for m in measures.split())
+            found.append(f"""SELECT '{name}' AS seccion, concat_ws('|', {key}) AS clave, u.m AS medida, u.v AS valor
+                FROM (SELECT *, unnest([{pairs}]) AS u FROM ({sql}))""")
+        return " UNION ALL ".join(found)
+
+    line = f"""cod_venta, cliente, fecha, mes, producto, marca AS marca_producto, tipo AS nombre_tipo_bebida,
+            pais AS pais_origen_producto, vendedor, cantidad, {dbl('venta')} AS venta_neta_mn, {dbl('costo')} AS costo_mn_total,
+            {dbl('margen')} AS margen_mn, estado AS estado_pedido, anno"""
     dims = products_sql()
     return {
-        "sales_fact": with_() + f"""SELECT cod_venta, cliente, fecha, mes, producto, marca AS marca_producto, tipo AS nombre_tipo_bebida,
-            pais AS pais_origen_producto, vendedor, cantidad, {dbl('venta')} AS venta_neta_mn, {dbl('costo')} AS costo_mn_total,
-            {dbl('margen')} AS margen_mn, anno FROM sales""",
-        "guarded_sales": with_() + f"SELECT cod_venta, pais AS pais_origen_producto, vendedor, {dbl('venta')} AS venta_neta_mn FROM g",
+        "sales_fact": with_() + f"SELECT {line} FROM sales",
+        "guarded_sales": with_() + f"SELECT {line} FROM g",
         "lower_columns": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
-        "year_window": with_() + f"""SELECT cod_venta, cliente, fecha, anno, mes, producto, {dbl('venta')} AS venta_neta_mn,
+        "year_window": with_() + f"""SELECT {line},
             CASE WHEN anno = {THIS} THEN 'Current' WHEN anno = {THIS - 1} THEN 'Previous' ELSE 'Older' END AS temporalidad
             FROM sales WHERE anno >= {THIS - 1}""",
-        "rfm_header_join": with_() + f"""SELECT cod_venta, cliente, fecha, {dbl('venta')} AS venta_neta_mn, CASE WHEN cod_venta % 10 = 0
+        "rfm_header_join": with_() + f"""SELECT {line}, CASE WHEN cod_venta % 10 = 0
             THEN {DEFAULT_EXCHANGE_RATE} ELSE (350 + cod_venta % 50) / 100.0::DOUBLE END::DOUBLE AS tc FROM g""",
-        "materialize_views": with_() + " UNION ALL ".join(
-            f"SELECT '{name}' AS vista, 'ok' AS estado, ({sql})::BIGINT AS filas" for name, sql in views.items()),
-        "dashboard_bundle": with_() + " UNION ALL ".join(
-            f"SELECT '{name}' AS seccion, ({sql})::BIGINT AS filas" for name, sql in sections.items()),
+        "materialize_views": f"{long(views)} UNION ALL ({with_()}{base})",
+        "dashboard_bundle": long(sections),
         "resolve_materialized": f"""SELECT pais_origen_producto AS nombre, venta_neta, unidades FROM ({dims['dim_pais']}) UNION ALL
             SELECT nombre_tipo_bebida, venta_neta, unidades FROM ({dims['dim_tipo']})""",
         "promote_header": f"WITH {sheet} SELECT row_no, {columns} FROM o",
@@ -557,8 +588,21 @@ def source_sql() -> dict[str, str]:
             {big('round_even(l_quantity / 2, 0)')} AS clave_inventario FROM lineitem""",
         "normalize_cells": events,
         "incremental_append": events,
+        "append_rows": events,
     }
 
 
 def all_sql() -> dict[str, str]:
-    return {**source_sql(), **time_sql(), **products_sql(), **customers_sql(), **finance_sql(), **forecast_sql()}
+    every = {**source_sql(), **time_sql(), **products_sql(), **customers_sql(), **finance_sql(), **forecast_sql()}
+
+    def first(name: str, order: str, limit: int) -> str:
+        return f"SELECT * FROM ({every[name]}) ORDER BY {order} LIMIT {limit}"
+
+    return {
+        **every,
+        "dim_marca": first("dim_marca_all", "venta_neta DESC, marca_producto", CFG.brand_limit),
+        "margen_marca": first("margen_marca_all", "margen_pct DESC, marca_producto", CFG.brand_limit),
+        "margen_marca_anno_all": every["margen_marca_anno"],
+        "top_productos_year_first": first("top_productos_year", "venta_neta DESC, producto, marca, tipo", 500),
+        "top_clientes_year_first": first("top_clientes_year", "venta_neta DESC, cliente", 500),
+    }

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellarline.functions.exprs import round_ratio
+from cellarline.functions.exprs import exact_sum, round_ratio
 from cellarline.operators import customers, finance, forecast, kpi, products, timeops
 from cellarline.plans import materialize
-from cellarline.plans.dashboard import dashboard_bundle
+from cellarline.plans.dashboard import dashboard_bundle, long_rows
 from cellarline.plans.sample import ACCOUNT, AS_OF, CFG, PERIOD, YEAR, YEARS
-from cellarline.plans.warehouse import derived_table, sales_path, sales_table
+from cellarline.plans.warehouse import derived_table, sales_path, sales_table, size_star
 from cellarline.sources import fact, sheets, storage
-from cellarline.streaming.incremental import append_stream
+from cellarline.streaming.incremental import append_new, append_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -64,13 +64,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @query("sales_fact")
 def _sales_fact(spark, folder):
-    return plain(fact.sales_fact(fact.read_star(spark, folder))).drop("estado_pedido")
+    size_star(spark, folder)
+    return plain(fact.sales_fact(fact.read_star(spark, folder)))
 
 
 @query("guarded_sales")
 def _guarded_sales(spark, folder):
-    rows = fact.guarded(sales_table(spark, folder))
-    return plain(rows.select("cod_venta", "pais_origen_producto", "vendedor", "venta_neta_mn"))
+    return plain(fact.guarded(sales_table(spark, folder)))
 
 
 @query("lower_columns")
@@ -81,15 +81,13 @@ def _lower_columns(spark, folder):
 
 @query("year_window")
 def _year_window(spark, folder):
-    rows = timeops.year_window(sales_table(spark, folder), AS_OF)
-    return plain(rows.select("cod_venta", "cliente", "fecha", "anno", "mes", "producto", "venta_neta_mn", "temporalidad"))
+    return plain(timeops.year_window(sales_table(spark, folder), AS_OF))
 
 
 @query("rfm_header_join")
 def _rfm_header_join(spark, folder):
     header = fact.order_header(fact.read_star(spark, folder))
-    rows = fact.with_exchange_rate(fact.guarded(sales_table(spark, folder)), header)
-    return plain(rows.select("cod_venta", "cliente", "fecha", "venta_neta_mn", "tc"))
+    return plain(fact.with_exchange_rate(fact.guarded(sales_table(spark, folder)), header))
 
 
 # Key figures and time
@@ -97,6 +95,7 @@ def _rfm_header_join(spark, folder):
 on_fact("kpi_global", kpi.kpi_global, False)
 on_fact("kpi_year", kpi.kpi_year, True, YEAR, AS_OF)
 on_fact("kpi_year_running", kpi.kpi_year, True, AS_OF.year, AS_OF)
+on_fact("kpi_year_all", kpi.kpi_year, True, None, AS_OF)
 on_fact("kpi_ytd", kpi.kpi_ytd, False, AS_OF)
 on_fact("kpi_ytd_live", kpi.kpi_ytd, True, AS_OF)
 on_fact("kpi_yoy_delta", kpi.kpi_yoy_delta, True, YEAR, AS_OF)
@@ -106,13 +105,16 @@ on_fact("estacionalidad", timeops.estacionalidad, False, CFG)
 on_fact("estacionalidad_matrix", timeops.estacionalidad_matrix, False, CFG)
 on_fact("yoy_mensual", timeops.yoy_mensual, False, YEAR)
 on_fact("margen_marca_anno", timeops.margen_marca_anno, False, YEARS)
+on_fact("margen_marca_anno_all", timeops.margen_marca_anno, False)
 
 # Products
 
 on_fact("dim_pais", products.dim_pais, False)
 on_fact("dim_tipo", products.dim_tipo, False)
-on_fact("dim_marca", products.dim_marca, False, cfg=CFG)
-on_fact("margen_marca", products.margen_marca, False, cfg=CFG)
+on_fact("dim_marca", products.dim_marca, False, limit=CFG.brand_limit)
+on_fact("dim_marca_all", products.dim_marca, False)
+on_fact("margen_marca", products.margen_marca, False, limit=CFG.brand_limit, cfg=CFG)
+on_fact("margen_marca_all", products.margen_marca, False, cfg=CFG)
 on_fact("segmento_precio_costo", products.segmento_precio_costo, False, CFG)
 on_fact("segmento_precio_venta", products.segmento_precio_venta, True, YEAR, CFG)
 on_fact("rentabilidad_origen", products.rentabilidad_origen, True, YEAR)
@@ -121,7 +123,8 @@ on_fact("dependencia_marca", products.dependencia_marca, True, YEAR)
 on_fact("brand_type_fit", products.brand_type_fit, True, YEAR, CFG)
 on_fact("productos_mix_pais", products.productos_mix_pais, True, YEAR, CFG)
 on_fact("top_productos", products.top_productos, False)
-on_fact("top_productos_year", products.top_productos_year, True, YEAR, 500)
+on_fact("top_productos_year", products.top_productos_year, True, YEAR)
+on_fact("top_productos_year_first", products.top_productos_year, True, YEAR, 500)
 on_fact("productos_all", products.productos_all, True, YEAR)
 on_fact("marcas_all", products.marcas_all, True, YEAR)
 on_fact("productos_detalle", products.productos_detalle, False)
@@ -141,7 +144,8 @@ on_fact(
 
 on_fact("top_clientes", customers.top_clientes, False, AS_OF, cfg=CFG)
 on_fact("top_clientes_first", customers.top_clientes, False, AS_OF, 20, CFG)
-on_fact("top_clientes_year", customers.top_clientes_year, True, YEAR, 500, AS_OF)
+on_fact("top_clientes_year", customers.top_clientes_year, True, YEAR, None, AS_OF)
+on_fact("top_clientes_year_first", customers.top_clientes_year, True, YEAR, 500, AS_OF)
 on_fact("top_clientes_anno_mat", customers.top_clientes_anno_mat, False, AS_OF)
 on_fact("rfm_basic", customers.rfm_basic, False, AS_OF, cfg=CFG)
 on_fact("rfm_details", customers.rfm_details, True, None, AS_OF, CFG)
@@ -239,13 +243,13 @@ _QUERIES["forecast_productos_global"] = lambda spark, folder: _product_forecast(
 def _stored_product_forecast(spark: SparkSession, folder: str) -> DataFrame:
     """The product table as the forecast batch leaves it; its readers do not forecast again."""
     schema = forecast.FORECAST_PRODUCTS_SCHEMA
-    return derived_table(spark, folder, "forecast_productos", schema, lambda: _product_forecast(spark, folder))
+    return derived_table(spark, folder, "forecast_productos", schema, lambda: _product_forecast(spark, folder), CFG)
 
 
 @query("read_forecast_total")
 def _read_forecast_total(spark, folder):
     schema = forecast.FORECAST_TOTAL_SCHEMA
-    table = derived_table(spark, folder, "forecast_total", schema, lambda: _total_forecast(spark, folder))
+    table = derived_table(spark, folder, "forecast_total", schema, lambda: _total_forecast(spark, folder), CFG)
     return forecast.read_forecast_total(table)
 
 
@@ -284,21 +288,13 @@ def _export_csv(spark, folder):
 
 @query("materialize_views")
 def _materialize_views(spark, folder):
-    """Refresh all views on the written fact and count what each table holds."""
-    sales = sales_table(spark, folder)
-    report = materialize.materialize_views(
-        sales, scratch(spark, "views"), AS_OF, CFG, base_path=sales_path(spark, folder)
-    )
-    counts = [
-        (spark.read.parquet(path) if state == "ok" else spark.range(0)).agg(F.count("*").alias("filas")).select(
-            F.lit(view).alias("vista"), F.lit(state).alias("estado"), "filas"
-        )
-        for view, path, state, _ in report
-    ]
-    union = counts[0]
-    for frame in counts[1:]:
-        union = union.unionByName(frame)
-    return union
+    """Refresh all views on the written fact and read what each table holds; the base as revenue per month."""
+    sales, root = sales_table(spark, folder), scratch(spark, "views")
+    materialize.materialize_views(sales, root, AS_OF, CFG, base_path=sales_path(spark, folder))
+    twins = {view: materialize.written_twin(spark, root, view) for view in materialize.view_definitions(sales, AS_OF, CFG)}
+    base = twins.pop(materialize.BASE).groupBy("anno", "mes").agg(exact_sum("venta_neta_mn").alias("_exact"))
+    base = base.select("anno", "mes", F.round("_exact", 2).cast("double").alias("venta"))
+    return long_rows(twins | {materialize.BASE: base})
 
 
 @query("resolve_materialized")
@@ -315,13 +311,8 @@ def _resolve_materialized(spark, folder):
 
 @query("dashboard_bundle")
 def _dashboard_bundle(spark, folder):
-    """The size of each of the twelve sections."""
-    frames = dashboard_bundle(sales_table(spark, folder), YEAR, AS_OF, CFG)
-    sizes = [df.agg(F.count("*").alias("filas")).select(F.lit(name).alias("seccion"), "filas") for name, df in frames.items()]
-    union = sizes[0]
-    for frame in sizes[1:]:
-        union = union.unionByName(frame)
-    return union
+    """The content of the twelve sections as long rows."""
+    return long_rows(dashboard_bundle(sales_table(spark, folder), YEAR, AS_OF, CFG))
 
 
 # Sheets
@@ -401,6 +392,7 @@ def _detail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _looked_up(spark: SparkSession, folder: str) -> DataFrame:
+    size_star(spark, folder)
     header = sheets.invoice_key(_clean_orders(spark, folder), first="Codigo Venta")
     # A later row repeats every order under another invoice; the first one must win.
     again = header.withColumn("row_no", F.col("row_no") + 1_000_000_000_000).withColumn("Factura", F.lit("repetida"))
@@ -437,16 +429,27 @@ def _inventory_key_movement(spark, folder):
 
 @query("normalize_cells")
 def _normalize_cells(spark, folder):
-    return sheets.normalize_cells(spark.read.parquet(f"{folder}/events.parquet").drop("props"))
+    return sheets.normalize_cells(spark.read.parquet(f"{folder}/events.parquet"))
 
 
 @query("incremental_append")
 def _incremental_append(spark, folder):
-    """Stream the event file into a table, run again without new files, and read the table."""
-    # A pattern, because the stream source takes folders: it matches one file as well as a folder of drops.
-    source = f"{folder}/events*.parquet"
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    """Two drops of events stream into a table; a third run finds nothing new. The table is read."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
     root = scratch(spark, "append")
+    for drop in (F.col("event_id") % 3 == 0, F.coalesce(F.col("event_id") % 3 != 0, F.lit(True)), None):
+        if drop is not None:
+            events.where(drop).write.mode("append").parquet(f"{root}/drops")
+        append_stream(spark, f"{root}/drops", events.schema, f"{root}/sink", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/sink")
+
+
+@query("append_rows")
+def _append_rows(spark, folder):
+    """The batch form: the sink holds the first rows, the rest is appended, a further call appends nothing."""
+    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("row_no", F.col("event_id") + 1)
+    sink = f"{scratch(spark, 'append')}/sink"
+    events.where("row_no <= 1000").write.parquet(sink)
     for _ in range(2):
-        append_stream(spark, source, schema, f"{root}/sink", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/sink").drop("props")
+        append_new(events, sink)
+    return sheets.normalize_cells(spark.read.parquet(sink).drop("row_no"))

@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cellarline.session import size_shuffles
 from cellarline.sources.fact import SALES_SCHEMA, STAR_TABLES, read_star, sales_fact
-from cellarline.sources.storage import files_state, path_exists, read_table, shared_dir, write_truncate
+from cellarline.sources.storage import current_rows, files_state, path_exists, read_table, shared_dir, write_truncate
 
 # Raise it with every change of what a derived table holds, so that older copies are not taken.
-VERSION = 1
+VERSION = 2
 
 
 # Finished copies by their home folder; a home names one state of the input, so an entry never grows old.
 _copies: dict[str, str] = {}
 
 
-def _known_copy(spark: SparkSession, home: str) -> str | None:
-    if home not in _copies:
-        try:
-            row = spark.read.schema("path string").parquet(f"{home}/current").first()
-        except AnalysisException:
-            return None
-        if row is None:
-            return None
-        _copies[home] = row["path"]
-    if not path_exists(spark, _copies[home]):
-        # Somebody has cleared the folder.
-        del _copies[home]
-        return None
-    return _copies[home]
+def star_state(spark: SparkSession, folder: str) -> tuple[str, int]:
+    """The state of the star's files in ``folder`` and their bytes."""
+    return files_state(spark, [f"{folder}/{table}.parquet" for table in STAR_TABLES])
+
+
+def size_star(spark: SparkSession, folder: str) -> None:
+    """Size shuffles for the star in ``folder``."""
+    size_shuffles(spark, star_state(spark, folder)[1])
 
 
 def derived_path(
@@ -44,32 +36,37 @@ def derived_path(
     name: str,
     build: Callable[[], DataFrame],
     partition_by: tuple[str, ...] = (),
+    parameters: object = None,
 ) -> str | None:
     """The path of ``build()`` as a written table under the folder that ``spark.checkpoint.dir`` names.
 
-    The copy is named after the names, sizes and change times of the star's files, so changed input gets a
-    new one. A pointer is written only behind a finished copy: a half-written one is never read, and of two
-    sessions that build at once either copy may be used. On a cluster without the setting there is none.
+    The copy is named after the state of the star's files and the ``parameters`` of ``build``, so changed input
+    or another parameter gets a new one. A pointer is written only behind a
+    finished copy: a half-written one is never read, and of two sessions that build at once either copy may be
+    used. On a cluster without the setting there is none.
     """
     root = shared_dir(spark)
     if root is None:
         return None
-    state, size = files_state(spark, [f"{folder}/{table}.parquet" for table in STAR_TABLES])
+    state, size = star_state(spark, folder)
     size_shuffles(spark, size)
-    home = f"{root}/{name}/v{VERSION}-{state}"
-    path = _known_copy(spark, home)
-    if path is None:
-        path = f"{home}/rows-{uuid.uuid4().hex}"
-        write_truncate(build(), path, partition_by=partition_by)
-        spark.range(1).select(F.lit(path).alias("path")).coalesce(1).write.mode("overwrite").parquet(f"{home}/current")
+    chosen = hashlib.sha256(repr(parameters).encode()).hexdigest()[:12]
+    home = f"{root}/{name}/v{VERSION}-{state}-{chosen}"
+    path = _copies.get(home)
+    if path is None or not path_exists(spark, path):
+        path = current_rows(spark, home)
+    if path is None or not path_exists(spark, path):
+        write_truncate(build(), home, partition_by=partition_by)
+        path = current_rows(spark, home)
+    _copies[home] = path
     return path
 
 
 def derived_table(
-    spark: SparkSession, folder: str, name: str, schema: StructType, build: Callable[[], DataFrame]
+    spark: SparkSession, folder: str, name: str, schema: StructType, build: Callable[[], DataFrame], parameters: object = None
 ) -> DataFrame:
     """``build()`` read from its written copy, or as it is where nothing can be written."""
-    path = derived_path(spark, folder, name, build)
+    path = derived_path(spark, folder, name, build, parameters=parameters)
     return build() if path is None else read_table(spark, path, schema)
 
 

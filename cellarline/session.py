@@ -34,20 +34,29 @@ def local_session(app: str = "cellarline", cores: int | str | None = None, memor
     return spark
 
 
-# Input file bytes per shuffle partition, and the most partitions a driver should plan.
+# Input file bytes per shuffle partition.
 BYTES_PER_PARTITION = 256 << 20
-MOST_PARTITIONS = 50_000
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+# Upper limit on what ``size_shuffles`` asks for; unset means none.
+MOST_PARTITIONS = "cellarline.mostShufflePartitions"
+
+# The value this library has set itself, by application: anything else in the setting is the user's.
+_own: dict[str, str] = {}
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
     """Start shuffles of large input with enough partitions to fit in memory.
 
     AQE joins partitions that turn out small but never splits a plain aggregation's, so the first number
-    must suit the largest shuffle. It is only raised, and not touched where the user has set it.
+    must suit the largest shuffle. It is only raised, by a later larger input too, and not touched where
+    the user has set it.
     """
-    if spark.conf.get(INITIAL_PARTITIONS, None) is not None:
+    app, now = spark.sparkContext.applicationId, spark.conf.get(INITIAL_PARTITIONS, None)
+    if now is not None and now != _own.get(app):
         return
-    wanted = min(input_bytes // BYTES_PER_PARTITION, MOST_PARTITIONS)
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+    wanted, most = input_bytes // BYTES_PER_PARTITION, spark.conf.get(MOST_PARTITIONS, None)
+    if most is not None:
+        wanted = min(wanted, int(most))
+    if wanted > int(now or spark.conf.get("spark.sql.shuffle.partitions")):
+        _own[app] = str(wanted)
         spark.conf.set(INITIAL_PARTITIONS, str(wanted))

@@ -47,12 +47,13 @@ def _name(column: str) -> Column:
 def read_raw_csv(spark: SparkSession, path: str, width: int, separator: str = ",") -> DataFrame:
     """A sheet saved as one CSV file: text columns c1..c<width> and an increasing ``row_no`` from 1.
 
-    The numbers follow the file's order and have no gap within the first input split, where the header is;
-    behind it they may jump. Lines without any character are skipped and not numbered.
+    The numbers follow the file's order, empty lines counted, and have no gap within the first input split, where
+    the header is; behind it they may jump, so they are no numbers for ``append_new``. A cell holds no line break.
     """
     cells = ", ".join(f"c{n} string" for n in range(1, width + 1))
-    raw = spark.read.schema(cells).option("sep", separator).option("quote", '"').option("escape", '"').csv(path)
-    return raw.select((F.monotonically_increasing_id() + 1).alias("row_no"), "*")
+    lines = spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("row_no"), "value")
+    cut = F.from_csv(F.regexp_replace("value", "\r$", ""), cells, {"sep": separator, "quote": '"', "escape": '"'})
+    return lines.select("row_no", cut.alias("cut")).select("row_no", "cut.*")
 
 
 def promote_header(raw: DataFrame, header_row: int, row_no: str = "row_no") -> DataFrame:
@@ -100,13 +101,17 @@ def drop_blank_rows(df: DataFrame, ignore: Sequence[str] = ("row_no",)) -> DataF
     return df.filter(filled)
 
 
-def _text(column: str) -> Column:
+def _text(df: DataFrame, column: str) -> Column:
+    """A key part: a number as the sheet shows it (1234, not 1234.0)."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return _cell(_name(column), kind)
     return F.coalesce(_name(column).cast("string"), F.lit(""))
 
 
 def invoice_key(df: DataFrame, first: str, serie: str = "Serie", numero: str = "Numero", out: str = "Factura") -> DataFrame:
     """Add ``serie-numero`` where the row's first cell is not blank."""
-    key = F.concat(_text(serie), F.lit("-"), _text(numero))
+    key = F.concat(_text(df, serie), F.lit("-"), _text(df, numero))
     return df.withColumn(out, F.when(~_blank(_name(first)), key))
 
 
@@ -122,17 +127,19 @@ def lookup_first(
     """Bring ``value`` of the first header row (by ``row_no``) whose key text equals the detail row's.
 
     Without a match the text ``not_found`` is set; a blank key stays empty. The first header row per key is
-    an aggregate that combines before the shuffle. Blank keys take no part in the join: each gets a key of
+    an aggregate that combines before the shuffle; it is dealt by key and hash, so that the join deals both of its
+    sides anew and Spark can split a hot key. Blank keys take no part in the join: each gets a key of
     its own that matches nothing, so they spread over the tasks instead of meeting in one.
     """
-    firsts = header.filter(~_blank(_name(key))).groupBy(_text(key).alias("_key")).agg(
+    keyed_header = header.filter(~_blank(_name(key))).withColumn("_key", _text(header, key))
+    firsts = keyed_header.groupBy("_key", F.xxhash64("_key").alias("_hash")).agg(
         F.min_by(F.struct(_name(value).alias("value")), _name(row_no)).alias("_hit")
-    )
+    ).drop("_hash")
     blank = _blank(_name(key))
     # A text that starts with NUL matches no header key. The row's own hash follows, not a random number:
     # a task that runs again after a lost executor must send each row to the same place.
     spread = F.concat(F.lit("\u0000"), F.xxhash64(*[_name(c) for c in detail.columns]).cast("string"))
-    keyed = detail.withColumn("_key", F.when(blank, spread).otherwise(_text(key)))
+    keyed = detail.withColumn("_key", F.when(blank, spread).otherwise(_text(detail, key)))
     joined = keyed.join(firsts, "_key", "left")
     result = F.when(blank, F.lit(None)).when(F.col("_hit").isNull(), F.lit(not_found)).otherwise(F.col("_hit.value"))
     return joined.withColumn(out, result.cast("string")).drop("_key", "_hit")
@@ -146,9 +153,12 @@ def whole_number(column: Column) -> Column:
 def inventory_key_sales(
     df: DataFrame, first: str, factura: str = "Factura", codigo: str = "Codigo", cant: str = "Cant", out: str = "Clave_Inventario"
 ) -> DataFrame:
-    """Add invoice, product code and whole quantity in one text where the first cell is not blank."""
-    quantity = whole_number(F.coalesce(_name(cant).cast("double"), F.lit(0.0)))
-    key = F.concat(_text(factura), _text(codigo), quantity)
+    """Add invoice, product code and whole quantity in one text where the first cell is not blank.
+
+    A quantity that is missing or cannot be read as a number counts as 0.
+    """
+    quantity = whole_number(F.coalesce(_name(cant).try_cast("double"), F.lit(0.0)))
+    key = F.concat(_text(df, factura), _text(df, codigo), quantity)
     return df.withColumn(out, F.when(~_blank(_name(first)), key))
 
 
@@ -162,8 +172,8 @@ def inventory_key_movement(
     out: str = "Clave_Inventario",
 ) -> DataFrame:
     """Add ``serie-document``, product code and whole quantity in one text, as the sales key does."""
-    quantity = whole_number(F.coalesce(_name(cantidad).cast("double"), F.lit(0.0)))
-    key = F.concat(_text(serie), F.lit("-"), _text(nro_doc), _text(codigo), quantity)
+    quantity = whole_number(F.coalesce(_name(cantidad).try_cast("double"), F.lit(0.0)))
+    key = F.concat(_text(df, serie), F.lit("-"), _text(df, nro_doc), _text(df, codigo), quantity)
     return df.withColumn(out, F.when(~_blank(_name(first)), key))
 
 
@@ -174,7 +184,11 @@ def _cell(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         number = column.cast("double")
         integral = (number == F.floor(number)) & (F.abs(number) < 1e18)
-        text = F.when(integral, F.when(integral, number).cast("bigint").cast("string")).otherwise(number.cast("string"))
+        # Plain digits without exponent, where 38 digits can hold the number.
+        wide = number.try_cast("decimal(38,18)")
+        plain = F.when(wide.cast("double") == number, F.regexp_replace(wide.cast("string"), "0+$", ""))
+        text = F.when(integral, F.when(integral, number).cast("bigint").cast("string"))
+        text = text.otherwise(F.coalesce(plain, number.cast("string")))
         return F.when(number.isNull() | F.isnan(number), empty).otherwise(text)
     return F.coalesce(column.cast("string"), empty)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -13,17 +15,25 @@ def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+# The shared folder by application. ``getCheckpointDir`` names a folder of the session's own below it.
+_shared: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str | None:
-    """The folder all executors see, from ``spark.checkpoint.dir``.
+    """The folder all executors see, from ``spark.checkpoint.dir``; the same at every call of a session.
 
     Only a one-machine session without the setting gets a folder of its own; on a cluster None is returned.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _shared.get(context.applicationId) or context.getCheckpointDir()
     if not folder and _is_local(spark):
         folder = tempfile.mkdtemp(prefix="cellarline-")
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/cellarline" if folder else None
+    if not folder:
+        return None
+    _shared[context.applicationId] = folder
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/cellarline"
 
 
 def require_shared_dir(spark: SparkSession) -> str:
@@ -34,11 +44,42 @@ def require_shared_dir(spark: SparkSession) -> str:
 
 
 def write_truncate(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ()) -> None:
-    """Replace the table at ``path`` with ``df``."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Replace the table at ``path`` with ``df``; readers of the old rows keep them until the new ones are there.
+
+    The rows go to a folder of their own below ``path``; ``path/current`` then names it. A write that fails
+    leaves the pointer, and so the old rows, as they are. Read it with ``read_table``.
+    """
+    spark, rows = df.sparkSession, f"{path}/rows-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(rows)
+    point_to(spark, path, rows)
+
+
+def point_to(spark: SparkSession, path: str, rows: str) -> None:
+    """Let ``path`` mean the finished table at ``rows``. Pointers are numbered and the last one counts."""
+    number = len(_pointers(spark, path)) + 1
+    pointer = spark.range(1).selectExpr(f"'{rows}' AS rows").coalesce(1)
+    pointer.write.parquet(f"{path}/current-{number:09d}")
+
+
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """Finished pointers below ``path``, oldest first; one that was not finished has no ``_SUCCESS``."""
+    system, target = _hadoop_path(spark, path)
+    if not system.exists(target):
+        return []
+    names = [entry.getPath().getName() for entry in system.listStatus(target)]
+    found = sorted(name for name in names if name.startswith("current-"))
+    return [f"{path}/{name}" for name in found if path_exists(spark, f"{path}/{name}/_SUCCESS")]
+
+
+def current_rows(spark: SparkSession, path: str) -> str | None:
+    """The folder with the present rows of the table at ``path``, or None if no write of it was finished."""
+    pointers = _pointers(spark, path)
+    return spark.read.schema("rows string").parquet(pointers[-1]).first()["rows"] if pointers else None
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """The table at ``path``: what its pointer names, or plain Parquet files."""
+    path = current_rows(spark, path) or path
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
@@ -77,14 +118,23 @@ def export_csv(df: DataFrame, path: str) -> None:
 def files_state(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
     """A name for the present content of ``paths``, and its bytes.
 
-    The name comes from the number of files, their bytes and the change times. It asks the file system,
-    not the files: two calls per path, however many files a path holds.
+    The name comes from the path, length and change time of every file, in folders below too; change times of
+    folders, which some stores make up, play no part. A path that is a file costs one call; the files of all
+    folders are listed by Spark, and the driver gets three numbers.
     """
-    digest, size = hashlib.sha256(), 0
-    for path in paths:
+    marks, size, folders = [], 0, []
+    for path in sorted(paths):
         system, target = _hadoop_path(spark, path)
-        summary, status = system.getContentSummary(target), system.getFileStatus(target)
-        mark = (status.getPath().toString(), summary.getFileCount(), summary.getLength(), status.getModificationTime())
-        digest.update(repr(mark).encode())
-        size += summary.getLength()
-    return digest.hexdigest()[:24], size
+        status = system.getFileStatus(target)
+        if status.isDirectory():
+            folders.append(path)
+            continue
+        size += status.getLen()
+        marks.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    if folders:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+        mark = F.xxhash64("path", "length", F.col("modificationTime").cast("double")).cast("decimal(38,0)")
+        row = files.agg(F.count("*").alias("n"), F.sum("length").alias("size"), F.sum(mark).alias("marks")).first()
+        size += row["size"] or 0
+        marks.append((folders, row["n"], row["size"], str(row["marks"])))
+    return hashlib.sha256(repr(marks).encode()).hexdigest()[:24], size

@@ -108,3 +108,12 @@ def test_year_window_labels(sales):
 
 def test_guard_drops_null_and_empty_country(sales):
     assert guarded(sales(dict(pais=None), dict(pais=""), dict(pais="Chile"))).count() == 1
+
+
+def test_all_years_and_absolute_change(spark, sales):
+    df = sales(dict(fecha="2023-05-01", venta=50), dict(fecha="2024-05-01", venta=80), dict(fecha="2020-01-01", venta=7))
+    whole = kpi.kpi_year(df, None).collect()
+    assert [(r["periodo"], r["anno"], r["venta_neta"]) for r in whole] == [("current", 0, 137.0)]
+    assert kpi.kpi_year(df, 0).collect() == whole
+    deltas = by(kpi.kpi_yoy_delta(df, 2024, "2025-01-01"), "metrica")
+    assert (deltas["venta_neta"]["delta"], deltas["venta_neta"]["delta_pct"]) == (30.0, 60.0)

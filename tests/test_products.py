@@ -137,3 +137,12 @@ def test_rank_with_limit(sales):
     got = rows(products.top_productos(df, limit=3))
     assert [(r["ranking"], r["producto"]) for r in got] == [(1, "p9"), (2, "p8"), (3, "p7")]
     assert got[0]["pct_total_uds"] == 20.0
+
+
+def test_no_limit_means_all_rows(sales):
+    df = sales(*[dict(marca=f"M{n:02d}", producto=f"P{n}", venta=100 + n) for n in range(30)])
+    cfg = replace(DEFAULTS, brand_min_revenue=0)
+    for limit, count in ((None, 30), (0, 30), (8, 8)):
+        assert products.dim_marca(df, limit=limit).count() == count
+        assert products.margen_marca(df, limit=limit, cfg=cfg).count() == count
+        assert products.top_productos_year(df, 0, limit).count() == count

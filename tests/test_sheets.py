@@ -116,3 +116,51 @@ def test_raw_csv_keeps_filler_rows_and_order(spark, tmp_path):
     # Spark's CSV reader skips empty lines only; a line of separators is a row.
     assert got is not None and got.columns == ["row_no", " Serie ", "Numero", 'a, "b"']
     assert [(r["row_no"], r["Numero"]) for r in got.collect()] == [(4, "10"), (5, "11")]
+
+
+def test_numbers_without_exponent_and_in_keys(spark):
+    values = [12345678.5, 0.0005, 3.0, 1e17, 0.1, -2.25, float("nan"), None, 1e300]
+    got = sheets.normalize_cells(spark.createDataFrame([(v,) for v in values], "v double")).collect()
+    assert [r["v"] for r in got] == ["12345678.5", "0.0005", "3", "100000000000000000", "0.1", "-2.25", "", "", "1.0E300"]
+    keyed = sheets.invoice_key(spark.createDataFrame([("x", "A", 1234.0)], "c string, Serie string, Numero double"), first="c")
+    assert keyed.first()["Factura"] == "A-1234"
+
+
+def test_unreadable_quantity_counts_as_zero(spark):
+    rows = [("x", "F1", "P", ""), ("x", "F1", "P", "two"), ("x", "F1", "P", "2.5"), ("x", "F1", "P", None)]
+    df = spark.createDataFrame(rows, "c string, Factura string, Codigo string, Cant string")
+    assert [r["Clave_Inventario"] for r in sheets.inventory_key_sales(df, first="c").collect()] == ["F1P0", "F1P0", "F1P2", "F1P0"]
+
+
+def test_empty_lines_of_a_csv_count(spark, tmp_path):
+    path = tmp_path / "sheet.csv"
+    path.write_text('report\n\nCode,"Name, full"\n1,"a ""b"""\r\n\n2,c\n')
+    sheet = sheets.promote_header(sheets.read_raw_csv(spark, str(path), 2), 3)
+    assert sheet.columns == ["row_no", "Code", "Name, full"]
+    assert [tuple(r) for r in sheets.drop_blank_rows(sheet).orderBy("row_no").collect()] == [(4, "1", 'a "b"'), (6, "2", "c")]
+
+
+def test_hot_key_of_the_lookup_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        detail = spark.range(30_000).selectExpr("IF(id % 3 = 0, 'hot', 'k' || id) AS code", "'text ' || id AS other").repartition(8)
+        header = spark.range(30_000).selectExpr("id AS row_no", "IF(id = 7, 'hot', 'k' || id) AS code", "'F' || id AS Factura")
+        joined = sheets.lookup_first(detail, header, "code", "Factura")
+        rows = joined.groupBy().agg(F.count("*").alias("n"), F.sum((F.col("Factura") == "F7").cast("int")).alias("hot"))
+        assert rows.first().asDict() == {"n": 30_000, "hot": 10_000}
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

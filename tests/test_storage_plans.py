@@ -5,9 +5,11 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellarline.operators import products
-from cellarline.plans import materialize
+from cellarline.plans import materialize, warehouse
 from cellarline.plans.dashboard import dashboard_bundle
 from cellarline.plans.warehouse import sales_table
 from cellarline.sources import fact, storage
@@ -130,14 +132,63 @@ def test_failing_source_leaves_the_others(spark):
 
 
 def test_shuffles_are_sized_by_the_input(spark):
-    from cellarline.session import INITIAL_PARTITIONS, size_shuffles
+    from cellarline.session import INITIAL_PARTITIONS, MOST_PARTITIONS, size_shuffles
 
     try:
         size_shuffles(spark, 1 << 30)
         assert spark.conf.get(INITIAL_PARTITIONS, None) is None  # 4 partitions are enough
+        size_shuffles(spark, 10 << 30)
+        assert spark.conf.get(INITIAL_PARTITIONS) == "40"
         size_shuffles(spark, 100 << 40)
-        assert spark.conf.get(INITIAL_PARTITIONS) == "50000"
+        assert spark.conf.get(INITIAL_PARTITIONS) == "409600"  # a larger folder after a smaller one raises it
         size_shuffles(spark, 10 << 30)
-        assert spark.conf.get(INITIAL_PARTITIONS) == "50000"
+        assert spark.conf.get(INITIAL_PARTITIONS) == "409600"
+        spark.conf.set(INITIAL_PARTITIONS, "7")
+        size_shuffles(spark, 100 << 40)
+        assert spark.conf.get(INITIAL_PARTITIONS) == "7"  # the user's own value stays
+        spark.conf.unset(INITIAL_PARTITIONS)
+        spark.conf.set(MOST_PARTITIONS, "1000")
+        size_shuffles(spark, 100 << 40)
+        assert spark.conf.get(INITIAL_PARTITIONS) == "1000"
     finally:
         spark.conf.unset(INITIAL_PARTITIONS)
+        spark.conf.unset(MOST_PARTITIONS)
+
+
+def test_refresh_that_breaks_leaves_the_old_rows(spark, sales, tmp_path):
+    df, root = sales(dict(venta=10), dict(venta=20, cliente="B")), str(tmp_path)
+    materialize.materialize_views(df, root, TODAY, only=("kpi_global",))
+    path = materialize.twin_path(root, "kpi_global")
+    broken = df.select(F.raise_error(F.lit("stopped half way")).alias("x"))
+    with pytest.raises(Exception, match="stopped half way"):
+        storage.write_truncate(broken, path)
+    os.makedirs(f"{path}/current-000000002")  # a pointer that was never finished
+    assert materialize.written_twin(spark, root, "kpi_global").first()["venta_neta_total"] == 30
+    storage.write_truncate(df.limit(1).select("cliente"), path)
+    assert materialize.written_twin(spark, root, "kpi_global").columns == ["cliente"]
+    assert materialize.written_twin(spark, root, "rfm") is None
+
+
+def test_files_state_looks_at_files(spark, tmp_path):
+    folder = tmp_path / "table.parquet"
+    (folder / "year=1").mkdir(parents=True)
+    (folder / "year=1" / "part.bin").write_bytes(b"abcd")
+    os.utime(folder / "year=1" / "part.bin", (1_000_000, 1_000_000))
+    state, size = storage.files_state(spark, [str(folder)])
+    assert size == 4
+    os.utime(folder, (5_000_000, 5_000_000))
+    assert storage.files_state(spark, [str(folder)])[0] == state
+    (folder / "year=1" / "part.bin").write_bytes(b"efgh")
+    os.utime(folder / "year=1" / "part.bin", (2_000_000, 2_000_000))
+    assert storage.files_state(spark, [str(folder)])[0] != state
+
+
+def test_shared_dir_is_the_same_at_every_call(spark):
+    assert storage.shared_dir(spark) == storage.shared_dir(spark)
+
+
+def test_derived_tables_are_named_by_their_parameters(spark, tmp_path):
+    folder = str(tmp_path / "star")
+    shutil.copytree(DATA, folder)
+    build = lambda n: warehouse.derived_table(spark, folder, "probe", T.StructType([T.StructField("id", T.LongType())]), lambda: spark.range(n), n)  # noqa: E731, E501
+    assert [build(3).count(), build(5).count(), build(3).count()] == [3, 5, 3]
