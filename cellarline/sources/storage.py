@@ -56,24 +56,25 @@ def write_truncate(df: DataFrame, path: str, *, partition_by: tuple[str, ...] =
 
 def point_to(spark: SparkSession, path: str, rows: str) -> None:
     """Let ``path`` mean the finished table at ``rows``. Pointers are numbered and the last one counts."""
-    number = len(_pointers(spark, path)) + 1
+    begun = _pointers(spark, path)
+    number = int(begun[-1].rpartition("-")[2]) + 1 if begun else 1
     pointer = spark.range(1).selectExpr(f"'{rows}' AS rows").coalesce(1)
     pointer.write.parquet(f"{path}/current-{number:09d}")
 
 
 def _pointers(spark: SparkSession, path: str) -> list[str]:
-    """Finished pointers below ``path``, oldest first; one that was not finished has no ``_SUCCESS``."""
+    """Pointers below ``path``, oldest first, finished or not."""
     system, target = _hadoop_path(spark, path)
     if not system.exists(target):
         return []
     names = [entry.getPath().getName() for entry in system.listStatus(target)]
-    found = sorted(name for name in names if name.startswith("current-"))
-    return [f"{path}/{name}" for name in found if path_exists(spark, f"{path}/{name}/_SUCCESS")]
+    return [f"{path}/{name}" for name in sorted(names) if name.startswith("current-")]
 
 
 def current_rows(spark: SparkSession, path: str) -> str | None:
     """The folder with the present rows of the table at ``path``, or None if no write of it was finished."""
-    pointers = _pointers(spark, path)
+    # One that was not finished has no ``_SUCCESS``.
+    pointers = [pointer for pointer in _pointers(spark, path) if path_exists(spark, f"{pointer}/_SUCCESS")]
     return spark.read.schema("rows string").parquet(pointers[-1]).first()["rows"] if pointers else None
 
 
