@@ -183,7 +183,7 @@ def fit(
     # The statistics are behind the join: only labelled texts are looked at. The sample is bounded, so it is broadcast.
     joined = with_statistics(texts.join(F.broadcast(marks), "id")).select("id", "label", "stats").toPandas()
     joined = joined.sort_values(["id", "label"], kind="stable")
-    x = np.array(joined["stats"].tolist(), float).reshape(len(joined), -1)
+    x = np.array(joined["stats"].tolist(), float).reshape(len(joined), len(statistics(F.lit(""))))
     return fit_rules(x, joined["label"].to_numpy(float))
 
 
