@@ -5,9 +5,10 @@ the line), has a Jaccard similarity of at least ``similarity``; lines are judged
 is itself removed still counts. Lines without words are never compared and stay.
 
 Tokens are put in order of rarity. Counting goes into a table of fixed size by token hash, so the order needs no
-dictionary that grows with the corpus; the hash settles ties. Any total order keeps the prefix filter exact. Lines with equal sets are one before the join, named by a 64-bit hash of the set. Sets meet on
-the tokens of their prefixes, which are long enough for similar ones to share three; pairs pass the length and the positional filter; only then are the tokens of both sides
-fetched from their documents and the similarity is checked on integers.
+dictionary that grows with the corpus; the hash settles ties. Any total order keeps the prefix filter exact. Lines
+with equal sets are one before the join, named by a 64-bit hash of the set. Sets meet on the tokens of their prefixes;
+pairs pass the length and positional filters and one on 64-bit signatures, which no similar pair fails. Only then are
+the tokens of both sides fetched and the similarity is checked on integers.
 
 Null and empty texts have no lines to compare and come back as they are. Rows with a null id keep all lines and take
 none away. Rows that repeat an id share their places, and the later line of two with one place is not removed for it.
@@ -26,8 +27,8 @@ BLANKS = r"[\x20\x09-\x0D]"
 #: Places of the table of token counts, a rank of 7 bits each, and the bits of a token's hash behind its rank in a key.
 PLACES = 1 << 16
 HASH_BITS = 56
-#: Tokens that two prefixes must share; the prefixes are longer by one less.
-SHARED = 3
+#: Most names of sets that are broadcast to fetch their tokens (32 MB); beyond, the documents are joined.
+BROADCAST_SETS = 1 << 22
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -64,27 +65,74 @@ def by_rarity(tokens: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(tokens, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(h.bitwiseAND(mask))))
 
 
-def candidates(sets: DataFrame, ranks: Column, permille: int) -> DataFrame:
-    """Pairs ``k``, ``k2`` of sets that share enough prefix tokens and pass the length and positional filters."""
-    prefix_end = F.expr(f"cast(size - ({permille} * size + 999) div 1000 + {SHARED} as int)")
+def signature(tokens: Column) -> Column:
+    """64 bits, each the parity of the tokens that hash to it: two sets differ in at least as many tokens as bits."""
+    flip = lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))  # noqa: E731, E501
+    return F.aggregate(tokens, F.lit(0).cast("long"), flip)
+
+
+#: Words of the wide signature, for lines so long that 64 bits tell nothing.
+WIDE = 8
+
+
+def wide_signature(tokens: Column) -> Column:
+    """A signature of WIDE x 64 bits, as an array."""
+    own = lambda w: F.filter(tokens, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WIDE - 1)) == w)
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(WIDE - 1).cast("long")), lambda w: signature(own(w)))
+
+
+def with_prefix(sets: DataFrame, ranks: Column, permille: int) -> DataFrame:
+    """``sets`` with ``prefix`` and ``sig`` in place of the tokens."""
+    prefix_end = F.expr(f"cast(size - ({permille} * size + 999) div 1000 + 1 as int)")
     # 31 bits of the hash do for meeting: who meets by chance fails the check.
     short = lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     prefix = F.transform(F.slice(by_rarity(F.col("tokens"), ranks), 1, prefix_end), short)
-    lines = sets.select("k", "size", prefix.alias("prefix"))
-    lines = lines.groupBy("k").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    posts = lines.select(F.posexplode("prefix").alias("at", "token"), "k", "size")
+    return sets.withColumn("prefix", prefix).withColumn("sig", signature(F.col("tokens"))).drop("tokens")
+
+
+def candidates(lines: DataFrame, permille: int) -> DataFrame:
+    """Pairs ``k``, ``k2`` of sets that share a prefix token and pass the length, positional and signature filters."""
+    sets = lines.groupBy("k").agg(*[F.first(c).alias(c) for c in ("size", "sig", "prefix")])
+    posts = sets.select(F.posexplode("prefix").alias("at", "token"), "k", "size", "sig")
     a, b = posts.alias("a"), posts.alias("b")
     least = F.expr(f"({permille} * (a.size + b.size) + {999 + permille}) div {1000 + permille}")
     rest = F.least(F.expr("a.size - a.at"), F.expr("b.size - b.at"))
-    # Each of the shared tokens but the first may stand behind others that are common: the first in order decides.
     meet = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.k") < F.col("b.k"))
         & F.expr(f"1000 * a.size >= {permille} * b.size AND 1000 * b.size >= {permille} * a.size")
-        & (rest + SHARED - 1 >= least)
+        & (rest >= least)
+        & (F.expr("bit_count(a.sig ^ b.sig)") <= F.expr("a.size + b.size") - 2 * least)
     )
-    met = a.join(b, meet).select(F.col("a.k").alias("k"), F.col("b.k").alias("k2"), F.least(least, F.lit(SHARED)).alias("needed"))
-    return met.groupBy("k", "k2").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("k", "k2")
+    apart = F.expr("bit_count(a.sig ^ b.sig)").alias("apart")
+    return a.join(b, meet).select(F.col("a.k").alias("k"), F.col("b.k").alias("k2"), apart).distinct()
+
+
+def tokens_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``k``, ``tokens`` of the ``wanted`` sets: from a pass over all lines, or from the documents that first had them."""
+    if wanted.count() <= BROADCAST_SETS:
+        return sets.join(F.broadcast(wanted), "k", "left_semi").select("k", "tokens").dropDuplicates(["k"])
+    placed = wanted.join(firsts, "k").groupBy(F.col("id").alias("wid")).agg(F.collect_set("line_no").alias("wanted"))
+    line = F.explode(F.transform("wanted", lambda n: F.get(F.split("text", "\n"), n)))
+    found = docs.join(placed, F.col("id") == F.col("wid")).select(line.alias("line")).select(token_set(F.col("line")).alias("tokens"))
+    return found.select(F.xxhash64("tokens").alias("k"), "tokens").dropDuplicates(["k"])
+
+
+def close_enough(pairs: DataFrame, wide: DataFrame, permille: int) -> DataFrame:
+    """The ``pairs`` that the wide signatures do not rule out."""
+    ours, theirs = wide.withColumnsRenamed({"n": "n1", "w": "w1"}), wide.withColumnsRenamed({"k": "g", "n": "n2", "w": "w2"})
+    both = pairs.join(ours, "k").join(theirs, F.col("k2") == F.col("g"))
+    least = F.expr(f"({permille} * (n1 + n2) + {999 + permille}) div {1000 + permille}")
+    apart = F.expr("aggregate(zip_with(w1, w2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return both.where(apart <= F.col("n1") + F.col("n2") - 2 * least).select("k", "k2")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
+    """``k2`` of the ``pairs`` (``k``, ``k2``) whose sets reach the similarity."""
+    ours, theirs = sets.withColumnRenamed("tokens", "t1"), sets.withColumnsRenamed({"k": "g", "tokens": "t2"})
+    both = pairs.join(ours, "k").join(theirs, F.col("k2") == F.col("g"))
+    common = F.size(F.array_intersect("t1", "t2"))
+    return both.where(1000 * common >= permille * (F.size("t1") + F.size("t2") - common)).select("k2").distinct()
 
 
 def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
@@ -96,10 +144,11 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     keyed = exploded(docs).select("id", "line_no", F.xxhash64("line").alias("lh"), token_set(F.col("line")).alias("tokens"))
     size = F.size("tokens").cast("long").alias("size")
     sets = keyed.select("id", "line_no", "lh", F.xxhash64("tokens").alias("k"), size, "tokens").where("size > 0")
-    lines = stored(sets.select("id", "line_no", "lh", "k"), "lines")
+
+    lines = stored(with_prefix(sets, ranks, permille), "lines")
     place = F.min(F.struct("id", "line_no")).alias("place")
     firsts = stored(lines.groupBy("k").agg(place).select("k", "place.id", "place.line_no"), "first-lines")
-    pairs = stored(candidates(sets, ranks, permille), "line-pairs")
+    pairs = stored(candidates(lines, permille), "line-pairs")
 
     first, second = firsts.alias("f"), firsts.withColumnsRenamed({"k": "g", "id": "id2", "line_no": "line2"})
     # Both ends with their places, the later one as ``k2``.
@@ -108,23 +157,21 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     placed = stored(placed.select(
         F.when(swap, F.col("k2")).otherwise(F.col("k")).alias("k"),
         F.when(swap, F.col("k")).otherwise(F.col("k2")).alias("k2"),
+        "apart",
     ), "placed-pairs")
-    wanted = placed.select("k").union(placed.select("k2")).distinct().join(firsts, "k")
-    by_doc = wanted.groupBy(F.col("id").alias("wid")).agg(F.collect_set("line_no").alias("wanted"))
-    wanted_lines = docs.join(by_doc, F.col("id") == F.col("wid")).select(
-        F.explode(F.transform("wanted", lambda n: F.get(F.split("text", "\n"), n))).alias("line")
-    )
-    fetched = wanted_lines.select(token_set(F.col("line")).alias("tokens"))
-    fetched = stored(fetched.select(F.xxhash64("tokens").alias("k"), "tokens").dropDuplicates(["k"]), "line-sets")
-    ours, theirs = fetched.withColumnRenamed("tokens", "t1"), fetched.withColumnsRenamed({"k": "g", "tokens": "t2"})
-    checked = placed.join(ours, "k").join(theirs, F.col("k2") == F.col("g"))
-    common = F.size(F.array_intersect("t1", "t2"))
-    alike = 1000 * common >= permille * (F.size("t1") + F.size("t2") - common)
-    matched = checked.where(alike).select("k2").distinct().withColumn("matched", F.lit(True))
+    wanted = stored(placed.select("k").union(placed.select("k2")).distinct(), "wanted-sets")
+    fetched = stored(tokens_of(docs, sets, wanted, firsts), "line-sets")
+    # One earlier match is enough: the likeliest is looked at first, the others only where it fails.
+    likeliest = placed.groupBy("k2").agg(F.min(F.struct("apart", "k")).alias("m")).select("m.k", "k2")
+    at_once = stored(alike(likeliest, fetched, permille), "matched-lines")
+    wide = stored(fetched.select("k", F.size("tokens").cast("long").alias("n"), wide_signature(F.col("tokens")).alias("w")), "wide")
+    left = stored(close_enough(placed.select("k", "k2").join(at_once, "k2", "left_anti"), wide, permille), "left-pairs")
+    later_on = alike(left, fetched, permille)
+    matched = at_once.union(later_on).withColumn("matched", F.lit(True))
     fate = stored(firsts.join(matched, F.col("k") == F.col("k2"), "left").select("k", "id", "line_no", F.coalesce("matched", F.lit(False)).alias("matched")), "line-fate")
     fate = fate.select(F.col("k").alias("g"), F.col("id").alias("id1"), F.col("line_no").alias("line1"), "matched")
     later = F.struct("id", "line_no") > F.struct("id1", "line1")
-    return lines.join(fate, F.col("k") == F.col("g")).where(F.col("matched") | later).select("id", "line_no", "lh")
+    return lines.select("id", "line_no", "lh", "k").join(fate, F.col("k") == F.col("g")).where(F.col("matched") | later).select("id", "line_no", "lh")
 
 
 def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
