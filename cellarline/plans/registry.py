@@ -240,7 +240,7 @@ _QUERIES["forecast_productos"] = _product_forecast
 _QUERIES["forecast_productos_global"] = lambda spark, folder: _product_forecast(spark, folder, "global")
 
 
-def _stored_product_forecast(spark: SparkSession, folder: str) -> DataFrame:
+def stored_product_forecast(spark: SparkSession, folder: str) -> DataFrame:
     """The product table as the forecast batch leaves it; its readers do not forecast again."""
     schema = forecast.FORECAST_PRODUCTS_SCHEMA
     return derived_table(spark, folder, "forecast_productos", schema, lambda: _product_forecast(spark, folder), CFG)
@@ -255,17 +255,17 @@ def _read_forecast_total(spark, folder):
 
 @query("read_forecast_productos")
 def _read_forecast_productos(spark, folder):
-    return forecast.read_forecast_productos(_stored_product_forecast(spark, folder), "red widget")
+    return forecast.read_forecast_productos(stored_product_forecast(spark, folder), "red widget")
 
 
 @query("forecast_catalogo")
 def _forecast_catalogo(spark, folder):
-    return forecast.forecast_catalogo(_stored_product_forecast(spark, folder))
+    return forecast.forecast_catalogo(stored_product_forecast(spark, folder))
 
 
 @query("forecast_rollup_3m")
 def _forecast_rollup(spark, folder):
-    return forecast.forecast_rollup_3m(_stored_product_forecast(spark, folder))
+    return forecast.forecast_rollup_3m(stored_product_forecast(spark, folder))
 
 
 @query("write_truncate")
@@ -278,7 +278,7 @@ def _write_truncate(spark, folder):
 @query("export_csv")
 def _export_csv(spark, folder):
     path = scratch(spark, "forecast_productos_csv")
-    table = _stored_product_forecast(spark, folder)
+    table = stored_product_forecast(spark, folder)
     storage.export_csv(table.filter(F.col("tipo") == forecast.TAG_FORECAST), path)
     return spark.read.schema(forecast.FORECAST_PRODUCTS_SCHEMA).option("header", True).csv(path)
 
