@@ -17,8 +17,10 @@ SQL_SETTINGS = {
 }
 
 
-def local_session(app: str = "cellarline", cores: int | str | None = None, memory: str = "12g") -> SparkSession:
-    """A session for one machine (tests, bench). A cluster brings its own session."""
+def local_session(
+    app: str = "cellarline", cores: int | str | None = None, memory: str = "12g", settings: dict[str, str] | None = None
+) -> SparkSession:
+    """A session for one machine (tests, bench), with further ``settings``. A cluster brings its own session."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,7 +29,7 @@ def local_session(app: str = "cellarline", cores: int | str | None = None, memor
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
     )
-    for key, value in SQL_SETTINGS.items():
+    for key, value in (SQL_SETTINGS | (settings or {})).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
