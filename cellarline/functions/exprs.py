@@ -87,8 +87,3 @@ def contains_any(column: Column, patterns: Sequence[str]) -> Column:
 
 def or_text(column: str, text: str) -> Column:
     return F.coalesce(F.col(column), F.lit(text))
-
-
-def like_literal(text: str) -> str:
-    """Escape LIKE wildcards of a user-given text."""
-    return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
