@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,10 @@ class Model:
     bytes: tuple[int, ...]  # ids of the 256 byte pieces, or none
     unknown: int
     unknown_score: float
-    texts: tuple[str, ...]  # of every id
+    texts: tuple[str, ...]  # what every id reads as, but for bytes beyond ASCII
+    high_byte: np.ndarray  # of every id: is it such a byte?
     dummy_prefix: bool
+    scored: dict[str, float]  # normal pieces: score
 
     @property
     def longest(self) -> int:
@@ -103,8 +106,13 @@ def load_model(path: str = MODEL_FILE) -> Model:
     byte_ids = tuple(of_byte[f"<0x{b:02X}>"] for b in range(256)) if len(of_byte) == 256 else ()
     lowest = min((score for _, score in pieces.values()), default=0.0)
     shown = ["" if processor.is_control(k) else " ⁇ " if processor.is_unknown(k) else texts[k] for k in range(size)]
+    shown = [text.replace(MARK, " ") for text in shown]
+    for byte, k in enumerate(byte_ids[:128]):
+        shown[k] = chr(byte)
+    high = np.zeros(size, bool)
+    high[list(byte_ids[128:])] = True
     return Model(
-        trainer.get(3, UNIGRAM), pieces, byte_ids, processor.unk_id(), lowest - 10.0, tuple(shown), bool(normalizer.get(3, 1))
+        trainer.get(3, UNIGRAM), pieces, byte_ids, processor.unk_id(), lowest - 10.0, tuple(shown), high, bool(normalizer.get(3, 1)), {p: s for p, (_, s) in pieces.items()}
     )
 
 
@@ -113,6 +121,10 @@ CUT = "\x00-\x0c\x0e-\x1f"
 UNITS = re.compile(f"[{CUT}]|{MARK}*[^{MARK}{CUT}]+|{MARK}+")
 
 
+#: Characters up to which a list is faster than a heap.
+SHORT = 64
+
+
 def units_of(text: str, model: Model) -> list[str]:
     if not text:
         return []
@@ -175,10 +187,28 @@ def unit_ids(unit: Column, edges: Column, model: Model) -> Column:
     return F.flatten(bind(cuts, places))
 
 
+def merged_pieces(unit: str, scored: dict[str, float]) -> list[str]:
+    """Pieces of a short unit: the best adjacent pair, the leftmost of equals, is merged until none is a piece."""
+    none, score_of = float("-inf"), scored.get
+    parts = list(unit)
+    scores = [score_of(unit[k : k + 2], none) for k in range(len(unit) - 1)]
+    while scores and (best := max(scores)) != none:
+        k = scores.index(best)
+        parts[k] += parts.pop(k + 1)
+        del scores[k]
+        if k:
+            scores[k - 1] = score_of(parts[k - 1] + parts[k], none)
+        if k < len(scores):
+            scores[k] = score_of(parts[k] + parts[k + 1], none)
+    return parts
+
+
 def rare_ids(unit: str, model: Model) -> list[int]:
     """The same for one unit inside a task: merges by a heap, or the best path over an array."""
     n, pieces = len(unit), model.pieces
     cuts = list(range(n + 1))
+    if model.kind == BPE and n <= SHORT:
+        return ids_of(merged_pieces(unit, model.scored), model)
     if model.kind == BPE:
         after, before = list(range(1, n + 2)), list(range(-1, n))
         gone, heap = [False] * (n + 1), []
@@ -210,13 +240,16 @@ def rare_ids(unit: str, model: Model) -> list[int]:
         while cuts[-1]:
             cuts.append(start[cuts[-1]])
         cuts.reverse()
+    return ids_of([unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], model)
+
+
+def ids_of(parts: list[str], model: Model) -> list[int]:
     out: list[int] = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        found = pieces.get(unit[a:b])
-        if found:
+    for part in parts:
+        if found := model.pieces.get(part):
             out.append(found[0])
         elif model.bytes:
-            out += [model.bytes[x] for x in unit[a:b].encode()]
+            out += [model.bytes[x] for x in part.encode()]
         else:
             out.append(model.unknown)
     return out
@@ -272,7 +305,7 @@ def encode(
     context = docs.sparkSession.sparkContext
     top = stored(frequent_units(texts, model, frequent), "units")
     known = lattice_ids(top.repartition("unit"), model).toPandas()
-    table = {unit: np.array(ids, np.int32) for unit, ids in zip(known["unit"], known["ids"], strict=True)}
+    table = dict(zip(known["unit"], map(list, known["ids"]), strict=True))
     shared, encoded = context.broadcast(model), context.broadcast(table)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -283,11 +316,11 @@ def encode(
             units = units_of(text or "", model)
             for unit in set(units).difference(rare):
                 ids = table.get(unit)
-                rare[unit] = np.array(rare_ids(unit, model), np.int32) if ids is None else ids
-            ids = np.concatenate([NOTHING, *map(rare.__getitem__, units)])
+                rare[unit] = rare_ids(unit, model) if ids is None else ids
+            ids = np.fromiter(chain.from_iterable(map(rare.__getitem__, units)), np.int32)
             tokens.append(ids)
             sizes.append(len(ids))
-            decoded.append(None if text is None else decode_ids(ids.tolist(), model))
+            decoded.append(None if text is None else decode_ids(ids, model))
             if len(rare) > MOST_HELD:
                 rare.clear()
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
@@ -299,17 +332,20 @@ def encode(
     return map_batches(texts, step, f"id {kind}, ids array<int>, decoded string")
 
 
-NOTHING = np.zeros(0, np.int32)
 #: Units whose ids a task keeps while it goes through a batch.
-MOST_HELD = 1 << 18
+MOST_HELD = 1 << 19
 
 
-def decode_ids(ids: list[int], model: Model) -> str:
+def decode_ids(ids: np.ndarray, model: Model) -> str:
     """The text of ids: pieces with marks as blanks, bytes as UTF-8, without the blank that encoding put in front."""
+    if not model.high_byte[ids].any():
+        # ASCII bytes stand for themselves.
+        text = "".join(map(model.texts.__getitem__, ids.tolist()))
+        return text[1:] if model.dummy_prefix and text.startswith(" ") else text
     texts, byte_of = model.texts, {k: b for b, k in enumerate(model.bytes)}
     out: list[str] = []
     held = bytearray()
-    for k in ids:
+    for k in ids.tolist():
         if k in byte_of:
             held.append(byte_of[k])
             continue
@@ -319,7 +355,7 @@ def decode_ids(ids: list[int], model: Model) -> str:
         out.append(texts[k])
     if held:
         out.append(held.decode("utf-8", "replace"))
-    text = "".join(out).replace(MARK, " ")
+    text = "".join(out)
     return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
