@@ -27,19 +27,28 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash of every run of ``shingle`` words; a shorter text is one shingle, a blank one has none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.append(0, ends[:-1] + 1)[: len(words) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        found = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-        hashes = np.array(found, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)[: len(words) - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
@@ -66,17 +75,22 @@ def ball(width: int, reach: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def variants(found: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """``block``, ``variant``, ``fp``: the ball around each block of each fingerprint."""
-    reach, out = -(-(radius // blocks) // 2), None
+def layout(radius: int, blocks: int) -> tuple[int, list[tuple[int, int]]]:
+    """Radius of the ball around a block, and the bits (first, end) of each block."""
     edges = [BITS * k // blocks for k in range(blocks + 1)]
-    for block, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+    return -(-(radius // blocks) // 2), list(zip(edges, edges[1:], strict=False))
+
+
+def variants(found: DataFrame, radius: int, blocks: int, *more: str) -> DataFrame:
+    """``block``, ``variant``, ``fp``: the ball around each block of each fingerprint; ``more`` columns come along."""
+    (reach, bits), out = layout(radius, blocks), None
+    for block, (low, high) in enumerate(bits):
         part = F.shiftrightunsigned("fp", low)
         if high - low < BITS:
             part = part.bitwiseAND(F.lit((1 << high - low) - 1))
         masks = F.array(*[F.lit(m).cast("long") for m in ball(high - low, reach)])
-        rows = found.select(F.lit(block).alias("block"), part.alias("part"), F.explode(masks).alias("mask"), "fp")
-        rows = rows.select("block", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
+        rows = found.select(F.lit(block).alias("block"), part.alias("part"), F.explode(masks).alias("mask"), "fp", *more)
+        rows = rows.select("block", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"), "fp", *more)
         out = rows if out is None else out.union(rows)
     return out
 
@@ -156,6 +170,145 @@ def near_duplicates(
     return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """``id``, ``key`` (names the set of shingles), ``fp`` and ``n`` of that set; if ``whole``, the ``shingles`` too."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+        keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        fps, n = np.array([majority(s) for s in sets], np.uint64).view(np.int64), np.array([len(s) for s in sets], np.int32)
+        columns = {"id": batch.column("id"), "key": pa.array(keys), "fp": pa.array(fps), "n": pa.array(n)}
+        if whole:
+            ends = np.cumsum([0, *n]).astype(np.int32)
+            columns["shingles"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    texts = doc_texts(docs, id_col, text_col)
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, key bigint, fp bigint, n int"
+    return map_batches(texts, step, schema + ", shingles array<bigint>" * whole)
+
+
+def candidates(nodes: DataFrame, radius: int, blocks: int, similarity: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of keys, each once, of ``nodes`` (``key``, ``fp``, ``n``, ``class``) that are of different
+    classes, have fingerprints within ``radius`` and sizes that allow ``similarity``.
+
+    Sets of that similarity differ in size by a factor of at most 1 / ``similarity``, so only nodes of one cell of
+    sizes meet; those close below the end of a cell are in the next one too. A pair that meets under several variants
+    counts under one of them.
+    """
+    reach, bits = layout(radius, blocks)
+    scale = float(-4 * np.log(similarity)) if similarity < 1 else 1.0
+    home = F.floor(F.log("n") / scale).cast("int")
+    above = F.floor((F.log("n") - float(np.log(similarity))) / scale + 1e-9).cast("int")
+    cells = nodes.where("n > 0").withColumn("cell", F.explode(F.array_distinct(F.array(home, above)))).withColumn("home", F.col("cell") == home)
+
+    def first(block: int, variant: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether no earlier block brings the two together, and of this block's variants the present one is chosen."""
+        part = lambda x, k: (x >> np.uint64(bits[k][0])) & np.uint64((1 << bits[k][1] - bits[k][0]) - 1)
+        fresh = np.ones(len(a), bool)
+        for k in range(block):
+            fresh &= np.bitwise_count(part(a ^ b, k)) > 2 * reach
+        chosen, differ = np.minimum(part(a, block), part(b, block)), part(a ^ b, block)
+        half = np.bitwise_count(differ) // 2
+        for step in range(reach):
+            lowest = np.where(step < half, differ & (~differ + np.uint64(1)), np.uint64(0))
+            chosen, differ = chosen ^ lowest, differ ^ lowest
+        return fresh & (chosen.view(np.int64) == variant)
+
+    def group(block: int, variant: int, key: np.ndarray, fp: np.ndarray, n: np.ndarray, of: np.ndarray, own: np.ndarray) -> np.ndarray:
+        found, fp = [], fp.view(np.uint64)
+        for start in range(0, len(fp), 512):
+            i, j = np.nonzero(np.bitwise_count(fp[start : start + 512, None] ^ fp[None, start:]) <= radius)
+            i, j = i[i < j] + start, j[i < j] + start
+            good = (of[i] != of[j]) & (own[i] | own[j])
+            good &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
+            i, j = i[good], j[good]
+            good = first(block, variant, fp[i], fp[j])
+            found.append(np.column_stack([key[i[good]], key[j[good]]]))
+        return np.concatenate(found)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            block, variant, cell, *rest = (c.to_numpy() for c in table.columns)
+            starts = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(variant) != 0) | (np.diff(cell) != 0)])
+            ends = np.append(starts[1:], len(block))
+            for k in np.flatnonzero(ends - starts > 1).tolist():
+                s, e = starts[k], ends[k]
+                pairs = group(int(block[s]), int(variant[s]), *(c[s:e] for c in rest))
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+        name = lambda batch, k: [batch.column(c)[k].as_py() for c in range(3)]
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = name(batch, batch.num_rows - 1)
+            if name(held[0], 0) == last:
+                continue
+            # Only the last group can go on in the next batch.
+            same = np.logical_and.reduce([batch.column(c).to_numpy() == v for c, v in enumerate(last)])
+            begin = int(np.argmax(same))
+            yield from out(pa.Table.from_batches([*held[:-1], batch.slice(0, begin)]))
+            held = [batch.slice(begin)]
+        if held:
+            yield from out(pa.Table.from_batches(held))
+
+    order = ("block", "variant", "cell")
+    dealt = variants(cells, radius, blocks, "cell", "key", "n", "class", "home").select(*order, "key", "fp", "n", "class", "home")
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(meet, "a bigint, b bigint")
+
+
+def near_copies(
+    docs: DataFrame,
+    *,
+    shingle: int = 5,
+    similarity: float = 0.8,
+    radius: int = 14,
+    blocks: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``id``, ``key``, ``component`` (smallest id reachable) of each row with an id.
+
+    Links are pairs of sets of shingles with a Jaccard similarity of ``similarity``, counted exactly; fingerprints of
+    the sets only retrieve them. Close fingerprints are linked and verified first, by a spanning forest, so that a
+    group of near copies is one class before all pairs within ``radius`` of different classes are looked at.
+    """
+    found = stored(shingle_sets(docs, shingle, id_col, text_col, False).where("id IS NOT NULL"), "sets")
+    nodes = stored(found.groupBy("key").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n")), "set-nodes")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stored(pairs, f"{name}-pairs")
+        wanted = stored(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), f"{name}-wanted")
+        ids = wanted.join(nodes, "key").select(F.col("node").alias("_id")).distinct()
+        texts = docs.join(ids, docs[id_col] == ids["_id"], "left_semi")
+        whole = shingle_sets(texts, shingle, id_col, text_col, True).select("key", "shingles").join(wanted, "key", "left_semi")
+        whole = stored(whole.dropDuplicates(["key"]), f"{name}-shingles")
+        one = pairs.join(whole.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = one.join(whole.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        good = common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9
+        return stored(both.where(good).select("a", "b"), f"{name}-links")
+
+    of = nodes.groupBy("fp").agg(F.min("key").alias("key"))
+    edges = linked(of, min(radius, 6), 3)
+    left = edges.join(of, edges["a"] == of["fp"]).select(F.col("key").alias("a"), "b")
+    close = left.join(of, left["b"] == of["fp"]).select("a", F.col("key").alias("b"))
+    close = verified(close, "close")
+    reached = components(close)
+    classes = nodes.join(reached, nodes["key"] == reached["id"], "left")
+    classes = stored(classes.select("key", "fp", "n", F.coalesce("component", "key").alias("class")), "close-classes")
+    far = verified(candidates(classes, radius, blocks, similarity), "far")
+    named = nodes.join(components(close.union(far)), nodes["key"] == F.col("id"), "left").select(
+        "key", "node", F.coalesce("component", "key").alias("class")
+    )
+    named = stored(named, "set-classes")
+    smallest = named.groupBy("class").agg(F.min("node").alias("component"))
+    return found.select("id", "key").join(named.join(smallest, "class").select("key", "component"), "key").select("id", "key", "component")
+
+
 def simhash_digest(docs: DataFrame) -> DataFrame:
     """Fingerprints of 4-word shingles and components of links at 4 or fewer bits."""
     found = near_duplicates(docs, shingle=4, radius=4)

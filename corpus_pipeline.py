@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from cellarline.llm import decontaminate, lines, pieces, quality, simhash
 from cellarline.llm.common import read, stored
 
-#: Fingerprints of five-word shingles that differ in at most this many of 64 bits are near copies (a similarity of 0.9),
-#: met on three blocks of 21 or 22 bits.
-NEAR_BITS, NEAR_BLOCKS = 6, 3
+#: Texts whose sets of five-word shingles have this Jaccard similarity are near copies. They are retrieved by fingerprints
+#: that differ in at most so many of 64 bits (about 10 at 0.8), met on five blocks of 12 or 13 bits.
+NEAR_SIMILARITY, NEAR_BITS, NEAR_BLOCKS = 0.8, 14, 5
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; rows without an id stay."""
-    found = simhash.near_duplicates(docs, shingle=5, radius=NEAR_BITS, blocks=NEAR_BLOCKS)
+    found = simhash.near_copies(docs, shingle=5, similarity=NEAR_SIMILARITY, radius=NEAR_BITS, blocks=NEAR_BLOCKS)
     copies = stored(found.where("id <> component").select(F.col("id").alias("_copy")).distinct(), "copies")
     return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
 

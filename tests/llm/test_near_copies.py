@@ -192,3 +192,60 @@ def test_forest_recall_against_brute_force():
         of.append([set(leaves[rows == k].tolist()) for k in range(len(x))])
     assert len(close) > 500
     assert np.mean([bool(p & q) for p, q in zip(*of, strict=True)]) > 0.97
+
+
+# Near copies by exact similarity
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def planted(seed, copies):
+    """Texts and copies of them with words replaced, from a similarity of 1 to well below 0.8."""
+    rng, rows = random.Random(seed), []
+    for k in range(copies):
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 150, 400]))]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(3):
+            other = list(words)
+            for _ in range(rng.randrange(1, 2 + len(words) // 40)):
+                other[rng.randrange(len(other))] = f"changed{rng.randrange(10**6)}"
+            rows.append((10 * k + 1 + c, " ".join(other)))
+    return rows
+
+
+def test_candidates_are_all_pairs_once(spark):
+    random.seed(11)
+    centres = [random.getrandbits(64) for _ in range(5)]
+    fps = sorted({c ^ sum(1 << b for b in random.sample(range(64), random.randrange(13))) for c in centres for _ in range(12)})
+    rows = [(k, f - (1 << 64) if f >> 63 else f, random.choice([1, 7, 8, 9, 10, 100, 124, 125, 126]), k % 7) for k, f in enumerate(fps)]
+    table = spark.createDataFrame(rows, "key long, fp long, n int, class long")
+    for radius, blocks in [(14, 5), (6, 3), (9, 2), (3, 1)]:
+        got = [tuple(sorted(r)) for r in simhash.candidates(table, radius, blocks, 0.8).collect()]
+        want = [
+            (a[0], b[0]) for a in rows for b in rows
+            if a[0] < b[0] and a[3] != b[3] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= radius
+            and min(a[2], b[2]) >= 0.8 * max(a[2], b[2])
+        ]
+        assert sorted(got) == sorted(want)
+
+
+def test_copies_just_above_the_similarity_go(spark):
+    rows = planted(12, 40)
+    near = [(a, b) for a, s in rows for b, t in rows if a < b and a // 10 == b // 10 and jaccard(s, t) >= 0.8]
+    narrow = [1 for a, b in near if jaccard(dict(rows)[a], dict(rows)[b]) < 0.9]
+    root = reachable([i for i, _ in rows], near)
+    got = {r["id"]: r["component"] for r in simhash.near_copies(documents(spark, rows)).collect()}
+    assert all(root[i] == root[c] for i, c in got.items())  # nothing below 0.8 is linked
+    missed = [i for i, _ in rows if got[i] != root[i]]
+    assert len(narrow) > 20 and len(missed) <= 2
+    old = {r["id"]: r["component"] for r in simhash.near_duplicates(documents(spark, rows), shingle=5, radius=6, blocks=3).collect()}
+    assert sum(old[i] != root[i] for i, _ in rows) > 10
+
+
+def test_near_copies_of_awkward_rows(spark):
+    got = simhash.near_copies(documents(spark, AWKWARD)).collect()
+    assert sorted((r["id"], r["component"]) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (6, 5), (7, 7)]
+    assert simhash.near_copies(documents(spark, [])).count() == 0
