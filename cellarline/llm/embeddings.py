@@ -11,8 +11,10 @@ than ``block`` nodes are cut into blocks, and every pair of blocks is a task of
 Only counts and a spanning forest leave a task, never all pairs. A pair that shares several leaves counts in the first
 one only: nodes carry the list of their leaves.
 
-Vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors of another length
-than the first of the sample. Rows with a null id are dropped, as nothing could name them. Rows that repeat an id count
+Only vectors of equal length can link, so every length that occurs has leaves of its own, and a forest fitted on its
+own part of the sample if it has more rows than a leaf; the vectors of a rarer length are one leaf.
+
+Vectors that are null, zero or hold null or non-finite components link with nothing. Rows with a null id are dropped, as nothing could name them. Rows that repeat an id count
 as one vector each for ``n_links`` of others; the id appears once for every such row.
 """
 
@@ -31,6 +33,8 @@ from cellarline.llm.graph import components
 
 #: Expected number of sampled vectors that the thresholds are fitted on.
 SAMPLE_ROWS = 20_000
+#: Expected number of them, at least, of each length that needs a forest.
+LENGTH_ROWS = 1_000
 DIRECTIONS = 256
 
 
@@ -180,31 +184,45 @@ def near_vectors(
     total = nodes.count()
     if total == 0:
         return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
-    every = max(1, total // sample_rows)
-    sampled = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("node", "v").toPandas().sort_values("node")
-    if sampled.empty:
-        sampled = nodes.orderBy("node").limit(1).select("node", "v").toPandas()
-    size = len(sampled["v"].iloc[0])
-    same = sampled[sampled["v"].map(len) == size]
-    unit = unit_vectors(pa.array(same["v"].tolist(), pa.list_(pa.float64())), size)
-    depth = max(0, int(np.ceil(np.log2(total / leaf_rows)))) if total > leaf_rows else 0
-    forest = spark.sparkContext.broadcast(fit_forest(unit, trees, depth, spill, seed))
+    # There are at most total / leaf_rows lengths of more rows than a leaf.
+    lengths = nodes.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("rows")).where(F.col("rows") > leaf_rows)
+    large = {row["size"]: row["rows"] for row in lengths.collect()}
+    forests = {}
+    if large:
+        every = [(size, max(1, min(total // sample_rows, count // LENGTH_ROWS))) for size, count in large.items()]
+        taken = nodes.join(spark.createDataFrame(every, "size int, every bigint"), F.size("v") == F.col("size"))
+        taken = taken.where(F.pmod(F.xxhash64("node"), F.col("every")) == 0)
+        sampled = taken.select("size", "node", "v").toPandas().sort_values("node")
+        for size, count in large.items():
+            same = sampled.loc[sampled["size"] == size, "v"].tolist()
+            unit = unit_vectors(pa.array(same, pa.list_(pa.float64())), size)
+            forests[size] = fit_forest(unit, trees, int(np.ceil(np.log2(count / leaf_rows))), spill, seed)
+    shared = spark.sparkContext.broadcast(forests)
 
     def to_leaves(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, leaves = leaves_of(forest.value, unit_vectors(batch.column("v"), size))
-        ends = np.searchsorted(at, np.arange(batch.num_rows + 1))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaves))
-        columns = [batch.column(c) for c in ("node", "n", "v")]
-        return pa.RecordBatch.from_arrays([*columns, lists], ["node", "n", "v", "leaves"])
+        sizes, parts = batch.column("size").to_numpy(), []
+        for size in np.unique(sizes).tolist():
+            part = batch.filter(pa.array(sizes == size))
+            if size in shared.value:
+                at, leaves = leaves_of(shared.value[size], unit_vectors(part.column("v"), size))
+            else:
+                at = np.arange(part.num_rows)
+                leaves = np.ones(part.num_rows, np.int64)
+            ends = np.searchsorted(at, np.arange(part.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaves))
+            parts.append(pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "leaves"]))
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     placed = map_batches(
-        nodes.where(F.size("v") == size), to_leaves, "node bigint, n bigint, v array<double>, leaves array<bigint>"
+        nodes.select(F.size("v").alias("size"), "node", "n", "v"),
+        to_leaves,
+        "size int, node bigint, n bigint, v array<double>, leaves array<bigint>",
     )
     placed = stored(placed, "leaves")
     # Leaves that are too large for one task; there are at most total x leaves per vector / block of them.
-    counts = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("rows"))
-    blocks = stored(counts.select("leaf", F.ceil(F.col("rows") / block).cast("int").alias("blocks")).where("blocks > 1"), "large")
-    dealt = placed.select("node", "n", "v", "leaves", F.explode("leaves").alias("leaf")).join(blocks, "leaf", "left")
+    counts = placed.select("size", F.explode("leaves").alias("leaf")).groupBy("size", "leaf").agg(F.count("*").alias("rows"))
+    blocks = stored(counts.select("size", "leaf", F.ceil(F.col("rows") / block).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    dealt = placed.select("size", "node", "n", "v", "leaves", F.explode("leaves").alias("leaf")).join(blocks, ["size", "leaf"], "left")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # The block meets itself and every other one: pair (p, q) with p <= q is one task's work.
     pairs = F.transform(
@@ -216,7 +234,7 @@ def near_vectors(
     dealt = dealt.withColumn("side", F.when(F.col("blocks").isNull(), 0).otherwise(mine))
 
     def link(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, p, q = (k.as_py() for k in key)
+        size, leaf, p, q = (k.as_py() for k in key)
         table = pa.Table.from_batches(list(batches)).combine_chunks().sort_by("node")
         if len(table) < 2:
             return
@@ -239,8 +257,8 @@ def near_vectors(
         count = np.concatenate([links[used].astype(np.int64), np.zeros(len(tree), np.int64)])
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(to), pa.array(count)], ["a", "b", "links"])
 
-    packed = dealt.select("leaf", "pair.p", "pair.q", "node", "n", "v", "leaves", "side")
-    found = packed.groupBy("leaf", "p", "q").applyInArrow(link, "a bigint, b bigint, links bigint")
+    packed = dealt.select("size", "leaf", "pair.p", "pair.q", "node", "n", "v", "leaves", "side")
+    found = packed.groupBy("size", "leaf", "p", "q").applyInArrow(link, "a bigint, b bigint, links bigint")
     found = stored(found, "links")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     reached = components(found.select("a", "b"))

@@ -172,6 +172,22 @@ def test_embedding_links(spark, block):
     assert {r["id"]: (r["n_links"], r["component"]) for r in got} == want
 
 
+@pytest.mark.parametrize(("leaf_rows", "block"), [(20, 16), (256, 2048)])
+def test_every_length_has_its_links(spark, leaf_rows, block):
+    rng = np.random.default_rng(18)
+    rows = [(0, [1.0, 2.0, 3.0], 0), (1, [1.0], 0), (2, [5.0] * 300, 0)]
+    for first, length, count in [(100, 16, 40), (200, 24, 40), (300, 3, 6)]:
+        base = rng.normal(size=(count, length))
+        x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.05])
+        rows += [(first + k, [float(z) for z in v], 0) for k, v in enumerate(x)]
+    links = cosines(rows, 0.95)
+    assert {len(rows[i][1]) for i, _ in links} == {3, 16, 24}
+    root = reachable(range(len(rows)), links)
+    want = {rows[i][0]: (sum(a == i for a, _ in links), rows[root[i]][0]) for i in range(len(rows))}
+    got = embeddings.near_vectors(vectors(spark, rows), leaf_rows=leaf_rows, block=block, spill=0.1).collect()
+    assert {r["id"]: (r["n_links"], r["component"]) for r in got} == want
+
+
 def test_embeddings_without_vectors(spark):
     assert embeddings.embedding_links(vectors(spark, [])).count() == 0
     got = embeddings.embedding_links(vectors(spark, [(1, None, 1), (2, [0.0], 1)])).collect()
