@@ -7,12 +7,16 @@ the least similar case, and more for any other. A retrieved pair counts if the w
 the template's shingles.
 
 Words are lower-cased and lose punctuation at their ends. Texts are scanned whole; null and empty texts and those of
-fewer words than a shingle have no findings. Repeated rows are scanned one by one. Templates of fewer than five words
-are refused, as they have no shingle.
+fewer words than a notice have no findings. Repeated rows are scanned one by one. Templates of fewer than five words
+have no shingle and are refused; such notices are given as ``short``, each one shingle of its own length.
+
+The scan knows the texts of ``TEMPLATES`` and ``SHORT`` only. Where templates are alike (a header of the LGPL holds most
+of the GPL's), a place has a row for each that it contains enough of; ``containment`` tells them apart.
 """
 
 from __future__ import annotations
 
+import pkgutil
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,14 +75,47 @@ TEMPLATES = {
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-4.0 short notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0 short notice": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0 notice": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights "
+        "to this software to the public domain worldwide. This software is distributed without any warranty."
+    ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+        "your option) any later version."
+    ),
+    "LGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
 }
+# Whole texts, by the names of their files.
+for _file in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0"):
+    TEMPLATES[f"{_file} text"] = pkgutil.get_data(__package__, f"license_texts/{_file}.txt").decode()
+
+#: Notices of fewer words than a shingle.
+SHORT = {"All rights reserved notice": "All rights reserved."}
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hash of every run of five words."""
-    n = len(words) - SHINGLE + 1
+def shingles(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """Hash of every run of ``width`` words."""
+    n = len(words) - width + 1
     out = np.zeros(max(n, 0), np.uint64)
-    for k in range(SHINGLE if n > 0 else 0):
+    for k in range(width if n > 0 else 0):
         out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
     return out
@@ -110,6 +147,17 @@ def index_templates(templates: dict[str, str], bands: int) -> list[SizeClass]:
     return out
 
 
+def index_short(short: dict[str, str]) -> list[tuple[str, int, np.uint64]]:
+    """(name, words, the one shingle) of each short notice."""
+    hasher, out = NormalHasher(), []
+    for name, text in short.items():
+        words = hasher(text)
+        if not 0 < len(words) < SHINGLE:
+            raise ValueError(f"a short notice has 1 to {SHINGLE - 1} words: {name}")
+        out.append((name, len(words), shingles(words, len(words))[0]))
+    return out
+
+
 def place(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(0xFFFF)).astype(np.int64)
 
@@ -137,7 +185,7 @@ def retrieved(values: np.ndarray, index: list[SizeClass], bands: int) -> list[np
 
 
 def find_notices(
-    texts: list[str | None], index: list[SizeClass], bands: int, containment: float
+    texts: list[str | None], index: list[SizeClass], bands: int, containment: float, short: list[tuple[str, int, np.uint64]] = ()
 ) -> list[tuple[int, str, int, int, float]]:
     """(text, template, first word, end, containment) of every place, overlapping ones of a template as one."""
     found: dict[tuple[int, str], list[list]] = {}
@@ -155,6 +203,13 @@ def find_notices(
                     if len(own) and share >= containment:
                         place_of = [int(own[0] - starts[text]), int(own[-1] - starts[text]) + SHINGLE, share]
                         found.setdefault((first + text, size.names[template]), []).append(place_of)
+        for name, width, value in short:
+            begins = np.flatnonzero(shingles(words, width) == value)
+            owner = np.searchsorted(starts, begins, "right") - 1
+            for begin, text in zip(begins.tolist(), owner.tolist(), strict=True):
+                if begin + width <= ends[text]:
+                    start = begin - int(starts[text])
+                    found.setdefault((first + text, name), []).append([start, start + width, 1.0])
     out = []
     for (text, name), places in sorted(found.items()):
         last = None
@@ -170,18 +225,25 @@ def find_notices(
 def scan(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
+    short: dict[str, str] | None = None,
     *,
     bands: int = BANDS,
     containment: float = CONTAINMENT,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``id``, ``license``, ``start``, ``end`` (words), ``containment``: a row for each place a template stands at."""
-    shared = docs.sparkSession.sparkContext.broadcast(index_templates(templates or TEMPLATES, bands))
+    """``id``, ``license``, ``start``, ``end`` (words), ``containment``: a row for each place a template stands at.
+
+    ``short`` are notices of fewer than five words, looked for as they stand; with neither given all known ones are.
+    """
+    if templates is None and short is None:
+        templates, short = TEMPLATES, SHORT
+    shared = docs.sparkSession.sparkContext.broadcast((index_templates(templates or {}, bands), index_short(short or {})))
     texts = doc_texts(docs, id_col, text_col)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = find_notices(batch.column("text").to_pylist(), shared.value, bands, containment)
+        index, brief = shared.value
+        found = find_notices(batch.column("text").to_pylist(), index, bands, containment, brief)
         if not found:
             return None
         at, name, start, end, share = zip(*found, strict=True)

@@ -113,3 +113,16 @@ def test_two_places_are_two_rows(spark):
     notice = licenses.TEMPLATES["MIT notice"]
     got = licenses.license_notices(documents(spark, [(1, f"{notice} {prose(1, 30)} {notice}")])).collect()
     assert sorted((r["first_word"], r["end_word"]) for r in got) == [(0, 5), (35, 40)]
+
+
+def test_short_notices_and_further_licenses(spark):
+    split = [(7, "All rights"), (8, "reserved. " + prose(8, 9))]
+    rows = [(1, "All rights reserved."), (2, f"{prose(2, 40)}\nALL RIGHTS RESERVED\n{prose(3, 9)} all rights reserved."), *split]
+    rows += [(20 + k, licenses.TEMPLATES[n]) for k, n in enumerate(("GPL-3 text", "Apache-2.0 text", "LGPL-2.1", "AGPL-3.0", "CC-BY-SA-4.0 notice"))]
+    got = [(r["doc_id"], r["license"], r["first_word"], r["end_word"]) for r in licenses.license_notices(documents(spark, rows).repartition(1)).collect()]
+    notice = "All rights reserved notice"
+    assert sorted(g for g in got if g[1] == notice) == [(1, notice, 0, 3), (2, notice, 40, 43), (2, notice, 52, 55)]
+    named = {(i, name) for i, name, _, _ in got}
+    assert {(20, "GPL-3 text"), (21, "Apache-2.0 text"), (22, "LGPL-2.1"), (23, "AGPL-3.0"), (24, "CC-BY-SA-4.0 notice")} <= named
+    with pytest.raises(ValueError):
+        licenses.scan(documents(spark, []), short={"long": "five words are a shingle"})
