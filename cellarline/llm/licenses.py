@@ -6,7 +6,8 @@ the template of at least a sixth; with 48 bands of one row each the two collide
 the least similar case, and more for any other. A retrieved pair counts if the window holds at least ``containment`` of
 the template's shingles.
 
-Words are lower-cased and lose punctuation at their ends. Texts are scanned whole; null and empty texts and those of
+Words are lower-cased and lose punctuation at their ends; those of punctuation only, such as comment marks, are left out
+of the shingles but count in the places reported. Texts are scanned whole; null and empty texts and those of
 fewer words than a notice have no findings. Repeated rows are scanned one by one. Templates of fewer than five words
 have no shingle and are refused; such notices are given as ``short``, each one shingle of its own length.
 
@@ -132,9 +133,9 @@ class SizeClass:
 
 
 def index_templates(templates: dict[str, str], bands: int) -> list[SizeClass]:
-    hasher, by_least = NormalHasher(), {}
+    hasher, by_least = NormalHasher(marks_zero=True), {}
     for name, text in templates.items():
-        own = np.unique(shingles(hasher(text)))
+        own = np.unique(shingles(spoken(hasher(text))))
         if not len(own):
             raise ValueError(f"a template needs {SHINGLE} words: {name}")
         by_least.setdefault(1 << len(own).bit_length() - 1, []).append((name, own))
@@ -147,11 +148,15 @@ def index_templates(templates: dict[str, str], bands: int) -> list[SizeClass]:
     return out
 
 
+def spoken(words: np.ndarray) -> np.ndarray:
+    return words[words != 0]
+
+
 def index_short(short: dict[str, str]) -> list[tuple[str, int, np.uint64]]:
     """(name, words, the one shingle) of each short notice."""
-    hasher, out = NormalHasher(), []
+    hasher, out = NormalHasher(marks_zero=True), []
     for name, text in short.items():
-        words = hasher(text)
+        words = spoken(hasher(text))
         if not 0 < len(words) < SHINGLE:
             raise ValueError(f"a short notice has 1 to {SHINGLE - 1} words: {name}")
         out.append((name, len(words), shingles(words, len(words))[0]))
@@ -189,7 +194,13 @@ def find_notices(
 ) -> list[tuple[int, str, int, int, float]]:
     """(text, template, first word, end, containment) of every place, overlapping ones of a template as one."""
     found: dict[tuple[int, str], list[list]] = {}
-    for first, words, starts, ends in joined(texts, SHINGLE):
+    for first, whole, whole_starts, whole_ends in joined(texts, SHINGLE, marks_zero=True):
+        # Marks go, the zeros between texts stay; ``kept`` has the place each word had.
+        gap = np.ones(len(whole), bool)
+        for start, end in zip(whole_starts.tolist(), whole_ends.tolist(), strict=True):
+            gap[start:end] = False
+        kept = np.flatnonzero(gap | (whole != 0))
+        words, starts, ends = whole[kept], np.searchsorted(kept, whole_starts), np.searchsorted(kept, whole_ends)
         values = shingles(words)
         for size, rows in zip(index, retrieved(values, index, bands), strict=True):
             for window, template in rows.tolist():
@@ -201,15 +212,16 @@ def find_notices(
                     own = inside[(owner == text) & (inside + SHINGLE <= ends[text])]
                     share = len(np.unique(values[own])) / len(size.sets[template])
                     if len(own) and share >= containment:
-                        place_of = [int(own[0] - starts[text]), int(own[-1] - starts[text]) + SHINGLE, share]
+                        last = kept[own[-1] + SHINGLE - 1] + 1
+                        place_of = [int(kept[own[0]] - whole_starts[text]), int(last - whole_starts[text]), share]
                         found.setdefault((first + text, size.names[template]), []).append(place_of)
         for name, width, value in short:
             begins = np.flatnonzero(shingles(words, width) == value)
             owner = np.searchsorted(starts, begins, "right") - 1
             for begin, text in zip(begins.tolist(), owner.tolist(), strict=True):
                 if begin + width <= ends[text]:
-                    start = begin - int(starts[text])
-                    found.setdefault((first + text, name), []).append([start, start + width, 1.0])
+                    place_of = [int(p - whole_starts[text]) for p in (kept[begin], kept[begin + width - 1] + 1)]
+                    found.setdefault((first + text, name), []).append([*place_of, 1.0])
     out = []
     for (text, name), places in sorted(found.items()):
         last = None

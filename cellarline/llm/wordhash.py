@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,24 +14,29 @@ EDGES = b".,;:!?\"'()[]{}<>*"
 
 
 class NormalHasher:
-    """64-bit hashes of words, lower-cased and without punctuation at their ends; words known are hashed once."""
+    """64-bit hashes of words, lower-cased and without punctuation at their ends; words known are hashed once.
 
-    def __init__(self) -> None:
+    With ``marks_zero`` words of punctuation and symbols only, such as comment marks, are zero.
+    """
+
+    def __init__(self, marks_zero: bool = False) -> None:
         self.known: dict[bytes, int] = {}
+        self.marks_zero = marks_zero
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").lower().encode().split()
         known = self.known
         for word in set(words).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word.strip(EDGES) or word)
+            mark = self.marks_zero and all(unicodedata.category(c)[0] in "PS" for c in word.decode())
+            known[word] = 0 if mark else xxhash.xxh64_intdigest(word.strip(EDGES) or word)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def joined(texts: list[str | None], gap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def joined(texts: list[str | None], gap: int, marks_zero: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, word hashes, starts, ends) for groups of whole texts, ``gap`` zeros behind each text."""
     at = 0
     while at < len(texts):
-        hasher, parts, starts, ends, filled, size, first = NormalHasher(), [], [], [], 0, 0, at
+        hasher, parts, starts, ends, filled, size, first = NormalHasher(marks_zero), [], [], [], 0, 0, at
         space = np.zeros(gap, np.uint64)
         while at < len(texts) and (at == first or size < CHUNK):
             size += len(texts[at] or "")

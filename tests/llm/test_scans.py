@@ -126,3 +126,16 @@ def test_short_notices_and_further_licenses(spark):
     assert {(20, "GPL-3 text"), (21, "Apache-2.0 text"), (22, "LGPL-2.1"), (23, "AGPL-3.0"), (24, "CC-BY-SA-4.0 notice")} <= named
     with pytest.raises(ValueError):
         licenses.scan(documents(spark, []), short={"long": "five words are a shingle"})
+
+
+@pytest.mark.parametrize("mark", ["# ", "// ", " * ", "-- ", ";; "])
+def test_commented_headers(mark):
+    words = licenses.TEMPLATES["Apache-2.0"].split()
+    text = "\n".join(mark + " ".join(words[k : k + 9]) for k in range(0, len(words), 9)) + f"\n{mark}\n{mark}All rights\n{mark}reserved.\nx = 1"
+    found = licenses.find_notices([None, "a - b", text, " * * ", text], licenses.index_templates(licenses.TEMPLATES, 48), 48, 0.8, licenses.index_short(licenses.SHORT))
+    lines = -(-len(words) // 9)
+    at = len(words) + lines + 2  # of "All", behind an empty comment line
+    for doc in (2, 4):
+        assert [f[1:] for f in found if f[0] == doc and f[1] == "Apache-2.0"] == [("Apache-2.0", 1, len(words) + lines, 1.0)]
+        assert [f[2:] for f in found if f[0] == doc and f[1] in licenses.SHORT] == [(at, at + 4, 1.0)]
+    assert {f[0] for f in found} == {2, 4}
