@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarline.llm import decontaminate, embeddings, langid, licenses, lines, pieces, quality, secrets, simhash, substrings
+from cellarline.llm import (
+    decontaminate,
+    embeddings,
+    langid,
+    licenses,
+    lines,
+    packing,
+    phrases,
+    pieces,
+    quality,
+    secrets,
+    simhash,
+    spelling,
+    substrings,
+)
 from cellarline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +66,18 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.held_out_languages(read(spark, folder, "documents"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocation_digest(read(spark, folder, "documents"))
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(read(spark, folder, "documents"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_digest(read(spark, folder, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -64,6 +90,9 @@ def llm_queries() -> dict[str, Query]:
         "op8_contamination": op8_contamination,
         "op9_lines": op9_lines,
         "op10_language": op10_language,
+        "op11_phrases": op11_phrases,
+        "op12_packing": op12_packing,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -72,4 +101,5 @@ def llm_sql() -> dict[str, str]:
         "op2_embeddings": embeddings.SQL,
         "op7_substrings": substrings.SQL,
         "op9_lines": lines.SQL,
+        "op11_phrases": phrases.SQL,
     }

@@ -33,7 +33,7 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = [name.split("_")[0] for name in llm_queries()]
-    assert names == [f"op{n}" for n in range(1, 11)]
+    assert names == [f"op{n}" for n in range(1, 14)]
     assert set(llm_queries()) | {"pipeline"} <= set(entry.queries())
 
 
