@@ -589,6 +589,10 @@ def source_sql() -> dict[str, str]:
         "normalize_cells": events,
         "incremental_append": events,
         "append_rows": events,
+        "csv_rows": """SELECT row_number() OVER (ORDER BY event_id) AS row_no, CAST(event_id AS VARCHAR) AS event_id,
+            '"' || event_type || '", ' || props || chr(10) || 'fin' AS nota, CAST(user_id AS VARCHAR) AS user_id FROM events""",
+        "transactional_append": """SELECT 'events' AS fuente, event_id AS clave, 'ok' AS estado FROM events WHERE event_id IS NOT NULL
+            UNION ALL SELECT 'orders', o_orderkey, 'error' FROM orders WHERE o_orderkey % 3 = 0""",
     }
 
 

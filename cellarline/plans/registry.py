@@ -16,7 +16,9 @@ from cellarline.plans.dashboard import dashboard_bundle, long_rows
 from cellarline.plans.sample import ACCOUNT, AS_OF, CFG, PERIOD, YEAR, YEARS
 from cellarline.plans.warehouse import derived_table, sales_path, sales_table, size_star
 from cellarline.sources import fact, sheets, storage
+from cellarline.sources.csvscan import read_cells
 from cellarline.streaming.incremental import append_new, append_stream
+from cellarline.streaming.transactional import append_source, compact, read_committed, sync_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -453,3 +455,46 @@ def _append_rows(spark, folder):
     for _ in range(2):
         append_new(events, sink)
     return sheets.normalize_cells(spark.read.parquet(sink).drop("row_no"))
+
+
+@query("csv_rows")
+def _csv_rows(spark, folder):
+    """Events as CSV files with quotes and line breaks in a cell, numbered on reading; the numbers feed the append."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    note = F.concat(F.lit('"'), "event_type", F.lit('", '), "props", F.lit("\nfin"))
+    root = scratch(spark, "csv")
+    rows = events.select(F.col("event_id").cast("string"), note.alias("nota"), F.col("user_id").cast("string"))
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows.orderBy(events["event_id"]).write.options(**options).csv(f"{root}/sheet")
+    sheet = read_cells(spark, f"{root}/sheet", 3)
+    for part in (sheet.where("row_no <= 1000"), sheet, sheet):
+        append_new(part, f"{root}/sink")
+    names = {"c1": "event_id", "c2": "nota", "c3": "user_id"}
+    return spark.read.parquet(f"{root}/sink").withColumnsRenamed(names)
+
+
+@query("transactional_append")
+def _transactional_append(spark, folder):
+    """Two drops of two tables; the second drop of the orders fails. The rows each ledger names, with the last report."""
+    root, drops = scratch(spark, "append"), {}
+    for name, key in (("events", "event_id"), ("orders", "o_orderkey")):
+        table = spark.read.parquet(f"{folder}/{name}.parquet").select(F.col(key).cast("bigint").alias("clave"))
+        drops[name] = [table.where(F.coalesce(first, F.lit(False))) for first in (F.col("clave") % 3 == 0, F.col("clave") % 3 != 0)]
+    schema = drops["events"][0].schema
+    odd = F.when(F.col("clave") % 3 == 0, F.col("clave")).otherwise(F.raise_error(F.lit("fila no valida")).cast("bigint"))
+    changes = {"events": lambda df: df, "orders": lambda df: df.select(odd.alias("clave"))}
+    for number in (0, 1, None):
+        for name, parts in drops.items():
+            if number is not None:
+                parts[number].write.parquet(f"{root}/{name}/drops/{number}")
+        jobs = {
+            name: lambda name=name: append_source(spark, f"{root}/{name}/drops/*", schema, f"{root}/{name}/sink", changes[name])
+            for name in drops
+        }
+        report = sync_report(spark, jobs)
+    for name in drops:
+        compact(spark, f"{root}/{name}/sink", schema, least=2)
+    states = report.select(F.col("fuente").alias("de"), "estado")
+    rows = [read_committed(spark, f"{root}/{name}/sink", schema).select(F.lit(name).alias("fuente"), "clave") for name in drops]
+    both = rows[0].unionByName(rows[1])
+    return both.join(states, F.col("fuente") == F.col("de")).select("fuente", "clave", "estado")

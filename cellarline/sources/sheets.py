@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellarline.config import NOT_FOUND
+from cellarline.sources.csvscan import read_cells
 
 # Header rows and columns of the three known exports.
 SALES_HEADER_ROW = 6
@@ -45,15 +46,11 @@ def _name(column: str) -> Column:
 
 
 def read_raw_csv(spark: SparkSession, path: str, width: int, separator: str = ",") -> DataFrame:
-    """A sheet saved as one CSV file: text columns c1..c<width> and an increasing ``row_no`` from 1.
+    """A sheet saved as CSV: text columns c1..c<width> and ``row_no`` 1..n without gaps, empty lines counted.
 
-    The numbers follow the file's order, empty lines counted, and have no gap within the first input split, where
-    the header is; behind it they may jump, so they are no numbers for ``append_new``. A cell holds no line break.
+    Cells may hold line breaks in quotes, and the files are read in as many splits as there are.
     """
-    cells = ", ".join(f"c{n} string" for n in range(1, width + 1))
-    lines = spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("row_no"), "value")
-    cut = F.from_csv(F.regexp_replace("value", "\r$", ""), cells, {"sep": separator, "quote": '"', "escape": '"'})
-    return lines.select("row_no", cut.alias("cut")).select("row_no", "cut.*")
+    return read_cells(spark, path, width, separator)
 
 
 def promote_header(raw: DataFrame, header_row: int, row_no: str = "row_no") -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,7 +163,8 @@ def test_refresh_that_breaks_leaves_the_old_rows(spark, sales, tmp_path):
     broken = df.select(F.raise_error(F.lit("stopped half way")).alias("x"))
     with pytest.raises(Exception, match="stopped half way"):
         storage.write_truncate(broken, path)
-    os.makedirs(f"{path}/current-000000002")  # a pointer that was never finished
+    with open(f"{path}/current-000000002", "w") as unfinished:
+        unfinished.write(path)  # without the line feed that ends a finished pointer
     assert materialize.written_twin(spark, root, "kpi_global").first()["venta_neta_total"] == 30
     storage.write_truncate(df.limit(1).select("cliente"), path)
     assert materialize.written_twin(spark, root, "kpi_global").columns == ["cliente"]
@@ -192,3 +194,31 @@ def test_derived_tables_are_named_by_their_parameters(spark, tmp_path):
     shutil.copytree(DATA, folder)
     build = lambda n: warehouse.derived_table(spark, folder, "probe", T.StructType([T.StructField("id", T.LongType())]), lambda: spark.range(n), n)  # noqa: E731, E501
     assert [build(3).count(), build(5).count(), build(3).count()] == [3, 5, 3]
+
+
+def test_writers_at_once_all_finish(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda n: storage.write_truncate(spark.range(n), path), [1, 2, 3, 4]))
+    found = storage.versions(spark, path)
+    assert [number for number, _ in found] == [1, 2, 3, 4]
+    assert sorted(spark.read.parquet(rows).count() for _, rows in found) == [1, 2, 3, 4]
+    assert storage.read_table(spark, path).count() == spark.read.parquet(found[-1][1]).count()
+
+
+def test_clean_up_keeps_versions_and_their_readers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(1, 6):
+        storage.write_truncate(spark.range(n), path)
+    old = storage.versions(spark, path)
+    reader = spark.read.parquet(old[3][1])
+    os.makedirs(f"{path}/rows-under-way")
+    assert storage.clean_up(spark, path, keep=2) == []  # all is young
+    assert [n for n, _ in storage.versions(spark, path)] == [4, 5] and reader.count() == 4
+    removed = storage.clean_up(spark, path, keep=2, older_than=0)
+    assert len(removed) == 4 and f"{path}/rows-under-way" in removed
+    assert reader.count() == 4 and storage.read_table(spark, path).count() == 5
+    storage.write_truncate(spark.range(9), path)
+    assert storage.versions(spark, path)[-1][0] == 6 and storage.read_table(spark, path).count() == 9
+    with pytest.raises(ValueError):
+        storage.clean_up(spark, path, keep=0)
