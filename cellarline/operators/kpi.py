@@ -43,19 +43,19 @@ def kpi_global(sales: DataFrame) -> DataFrame:
     return sales.agg(*_figures(view_names))
 
 
-def _two_years(sales: DataFrame, anno: int, cut: str | None) -> DataFrame:
-    """One row: the figures of ``anno`` and of the year before as two structs.
-
-    Grouping by year needs one expansion per distinct count, where conditional distinct counts would need
-    one per year and count. The second aggregate sees at most two rows.
-    """
-    wanted = sales.filter(F.col("anno").isin(anno - 1, anno))
+def of_two_years(rows: DataFrame, anno: int, cut: str | None) -> DataFrame:
+    """The ``rows`` (with ``anno`` and ``fecha``) of ``anno`` and of the year before, each up to the month and day ``cut``."""
+    wanted = rows.filter(F.col("anno").isin(anno - 1, anno))
     if cut is not None:
         # The date range beside the month-day test lets the scan skip row groups.
         first, last = f"{anno - 1}-01-01", f"{anno}-{cut}"
         wanted = wanted.filter(F.col("fecha").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
         wanted = wanted.filter(F.date_format("fecha", "MM-dd") <= cut)
-    by_year = wanted.groupBy("anno").agg(*_figures())
+    return wanted
+
+
+def paired(by_year: DataFrame, anno: int) -> DataFrame:
+    """One row: the figures of ``anno`` and of the year before as two structs."""
     packed = F.struct(*METRICS)
     return by_year.agg(
         F.max(F.when(F.col("anno") == anno, packed)).alias("current"),
@@ -63,13 +63,22 @@ def _two_years(sales: DataFrame, anno: int, cut: str | None) -> DataFrame:
     )
 
 
+def _two_years(sales: DataFrame, anno: int, cut: str | None) -> DataFrame:
+    """``paired`` over the fact.
+
+    Grouping by year needs one expansion per distinct count, where conditional distinct counts would need
+    one per year and count. The second aggregate sees at most two rows.
+    """
+    return paired(of_two_years(sales, anno, cut).groupBy("anno").agg(*_figures()), anno)
+
+
 def _metric(side: str, name: str) -> Column:
     """A year without rows has zero counts and null sums, as an aggregate over nothing."""
     value = F.col(f"{side}.{name}")
     return F.coalesce(value, F.lit(0).cast("bigint")) if name in _COUNTS else value
 
 
-def _cut_of(anno: int, as_of: dt.date) -> str | None:
+def cut_of(anno: int, as_of: dt.date) -> str | None:
     return as_of.strftime("%m-%d") if anno == as_of.year else None
 
 
@@ -81,7 +90,11 @@ def kpi_year(sales: DataFrame, anno: int | None, as_of: dt.date | str | None = N
     if not anno:
         whole = [F.lit("current").alias("periodo"), F.lit(0).cast("bigint").alias("anno")]
         return sales.agg(*_figures()).select(*whole, *METRICS)
-    both = _two_years(sales, anno, _cut_of(anno, as_python_date(as_of)))
+    return year_rows(_two_years(sales, anno, cut_of(anno, as_python_date(as_of))), anno)
+
+
+def year_rows(both: DataFrame, anno: int) -> DataFrame:
+    """Two rows from a ``paired`` one."""
     sides = [
         F.struct(
             F.lit(side).alias("periodo"),
@@ -96,7 +109,11 @@ def kpi_year(sales: DataFrame, anno: int | None, as_of: dt.date | str | None = N
 def kpi_ytd(sales: DataFrame, as_of: dt.date | str | None = None) -> DataFrame:
     """One row with the year-to-date figures and, suffixed ``_prev``, those of the year before."""
     day = as_python_date(as_of)
-    both = _two_years(sales, day.year, day.strftime("%m-%d"))
+    return ytd_row(_two_years(sales, day.year, day.strftime("%m-%d")), day)
+
+
+def ytd_row(both: DataFrame, day: dt.date) -> DataFrame:
+    """The year-to-date row from a ``paired`` one."""
     return both.select(
         F.lit(day.year).cast("bigint").alias("anno"),
         F.lit(day.isoformat()).alias("fecha_corte"),
@@ -110,7 +127,7 @@ def kpi_yoy_delta(sales: DataFrame, anno: int, as_of: dt.date | str | None = Non
 
     Without a previous value, or with zero, there is no change in % and the direction is ``neutral``.
     """
-    both = _two_years(sales, anno, _cut_of(anno, as_python_date(as_of)))
+    both = _two_years(sales, anno, cut_of(anno, as_python_date(as_of)))
     rows = [
         F.struct(
             F.lit(name).alias("metrica"),

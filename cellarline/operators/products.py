@@ -66,11 +66,20 @@ def margen_marca(sales: DataFrame, limit: int | None = None, cfg: Settings = DEF
     return first_rows(kept.orderBy(F.desc("margen_pct"), "marca_producto"), limit)
 
 
-def segmento_precio_costo(sales: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Units, share of volume, revenue and margin % per band of unit cost."""
+def cost_banded(sales: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Lines with units and their band of unit cost as ``segmento``."""
     unit_cost = safe_div(F.col("costo_mn_total"), F.col("cantidad"))
     rules = [(unit_cost < limit, text) for limit, text in cfg.cost_bands if limit is not None]
-    banded = sales.filter(F.col("cantidad") > 0).withColumn("segmento", first_match(rules, cfg.cost_bands[-1][1]))
+    return sales.filter(F.col("cantidad") > 0).withColumn("segmento", first_match(rules, cfg.cost_bands[-1][1]))
+
+
+def segmento_precio_costo(sales: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Units, share of volume, revenue and margin % per band of unit cost."""
+    return band_shares(cost_banded(sales, cfg))
+
+
+def band_shares(banded: DataFrame) -> DataFrame:
+    """``segmento_precio_costo`` of lines, or of sums, that have their band."""
     by_band = banded.groupBy("segmento").agg(
         F.sum("cantidad").alias("unidades"), money_sum(SALE).alias("venta_neta"), _margin_pct().alias("margen_pct")
     )

@@ -45,6 +45,12 @@ def serie_mensual(sales: DataFrame, anno: int | None = None) -> DataFrame:
     ).orderBy("periodo")
 
 
+def monthly_revenue(sales: DataFrame) -> DataFrame:
+    """Revenue per month with cents."""
+    monthly = sales.groupBy("anno", "mes").agg(exact_sum("venta_neta_mn").alias("_exact"))
+    return monthly.select("anno", "mes", F.round("_exact", 2).cast("double").alias("venta"))
+
+
 def _seasonal(sales: DataFrame, cfg: Settings) -> DataFrame:
     # The window sees the twelve months of a year, after aggregation.
     monthly = sales.groupBy("anno", "mes").agg(money_sum("venta_neta_mn").alias("venta_mes"))

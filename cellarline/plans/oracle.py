@@ -607,6 +607,9 @@ def all_sql() -> dict[str, str]:
         "dim_marca": first("dim_marca_all", "venta_neta DESC, marca_producto", CFG.brand_limit),
         "margen_marca": first("margen_marca_all", "margen_pct DESC, marca_producto", CFG.brand_limit),
         "margen_marca_anno_all": every["margen_marca_anno"],
+        "refresh_years": every["materialize_views"],
+        "kpi_year_states": every["kpi_year"],
+        "kpi_ytd_states": every["kpi_ytd"],
         "top_productos_year_first": first("top_productos_year", "venta_neta DESC, producto, marca, tipo", 500),
         "top_clientes_year_first": first("top_clientes_year", "venta_neta DESC, cliente", 500),
     }

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellarline.functions.exprs import exact_sum, round_ratio
+from cellarline.functions.exprs import round_ratio
 from cellarline.operators import customers, finance, forecast, kpi, products, timeops
 from cellarline.plans import materialize
 from cellarline.plans.dashboard import dashboard_bundle, long_rows
 from cellarline.plans.sample import ACCOUNT, AS_OF, CFG, PERIOD, YEAR, YEARS
+from cellarline.plans.states import States
 from cellarline.plans.warehouse import derived_table, sales_path, sales_table, size_star
 from cellarline.sources import fact, sheets, storage
 from cellarline.sources.csvscan import read_cells
@@ -294,11 +295,40 @@ def _materialize_views(spark, folder):
     sales, root = sales_table(spark, folder), scratch(spark, "views")
     materialize.materialize_views(sales, root, AS_OF, CFG, base_path=sales_path(spark, folder))
     twins = {view: materialize.written_twin(spark, root, view) for view in materialize.view_definitions(sales, AS_OF, CFG)}
-    base = twins.pop(materialize.BASE).groupBy("anno", "mes").agg(exact_sum("venta_neta_mn").alias("_exact"))
-    base = base.select("anno", "mes", F.round("_exact", 2).cast("double").alias("venta"))
+    base = timeops.monthly_revenue(twins.pop(materialize.BASE))
     return long_rows(twins | {materialize.BASE: base})
 
 
+def _states(spark: SparkSession, folder: str) -> States:
+    """States of the written fact, kept up to date beside it."""
+    base = sales_path(spark, folder)
+    states = States(spark, base, f"{storage.require_shared_dir(spark)}/states/{base.rstrip('/').rpartition('/')[2]}", CFG)
+    states.refresh()
+    return states
+
+
+@query("refresh_years")
+def _refresh_years(spark, folder):
+    """States of a fact that lacks half of one year; the rest comes, and one year is refreshed. All views from the states."""
+    sales, root = sales_table(spark, folder), scratch(spark, "states")
+    late = (F.col("anno") == YEAR) & (F.col("cod_venta") % 2 == 0)
+    states = States(spark, f"{root}/fact", f"{root}/states", CFG)
+    for part in (sales.where(~late), sales.where(late)):
+        part.write.mode("append").partitionBy("anno").parquet(f"{root}/fact")
+        states.refresh()
+    return long_rows({name: build() for name, build in states.views(AS_OF).items()})
+
+
+@query("kpi_year_states")
+def _kpi_year_states(spark, folder):
+    return _states(spark, folder).kpi_year(YEAR, AS_OF)
+
+
+@query("kpi_ytd_states")
+def _kpi_ytd_states(spark, folder):
+    return _states(spark, folder).kpi_ytd(AS_OF)
+
+
 @query("resolve_materialized")
 def _resolve_materialized(spark, folder):
     sales, root = sales_table(spark, folder), scratch(spark, "views")
