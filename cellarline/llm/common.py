@@ -44,3 +44,11 @@ def map_batches(
 def doc_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, as ``id`` and ``text``; other columns of any name stay out."""
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, or the same with underscores behind it until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

@@ -14,8 +14,9 @@ one only: nodes carry the list of their leaves.
 Only vectors of equal length can link, so every length that occurs has leaves of its own, and a forest fitted on its
 own part of the sample if it has more rows than a leaf; the vectors of a rarer length are one leaf.
 
-Vectors that are null, zero or hold null or non-finite components link with nothing. Rows with a null id are dropped, as nothing could name them. Rows that repeat an id count
-as one vector each for ``n_links`` of others; the id appears once for every such row.
+Vectors that are null, zero or hold null or non-finite components link with nothing. Rows with a null id are dropped, as
+nothing could name them. Rows that repeat an id count as one vector each, whether their vectors are equal or not, and
+get links and component of their own vector; the id appears once for every such row.
 """
 
 from __future__ import annotations
@@ -178,9 +179,10 @@ def near_vectors(
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = rows.where("id IS NOT NULL")
     fine = "v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(v, x -> x <> 0)"
-    # One node for each different vector (0.0 and -0.0 are one), named by its smallest id.
+    # One node for each different vector (0.0 and -0.0 are one), with a number of its own: an id can have several.
     clean = rows.where(fine).select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
-    nodes = stored(clean.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n")), "vectors")
+    nodes = clean.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     total = nodes.count()
     if total == 0:
         return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
@@ -191,8 +193,8 @@ def near_vectors(
     if large:
         every = [(size, max(1, min(total // sample_rows, count // LENGTH_ROWS))) for size, count in large.items()]
         taken = nodes.join(spark.createDataFrame(every, "size int, every bigint"), F.size("v") == F.col("size"))
-        taken = taken.where(F.pmod(F.xxhash64("node"), F.col("every")) == 0)
-        sampled = taken.select("size", "node", "v").toPandas().sort_values("node")
+        taken = taken.where(F.pmod(F.xxhash64("v"), F.col("every")) == 0)
+        sampled = taken.select("size", "first", F.xxhash64("v").alias("h"), "v").toPandas().sort_values(["first", "h"])
         for size, count in large.items():
             same = sampled.loc[sampled["size"] == size, "v"].tolist()
             unit = unit_vectors(pa.array(same, pa.list_(pa.float64())), size)
@@ -264,9 +266,11 @@ def near_vectors(
     reached = components(found.select("a", "b"))
     named = nodes.join(links, nodes["node"] == links["a"], "left").join(reached, nodes["node"] == reached["id"], "left")
     named = named.select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
+        "v", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("class")
     )
-    named = stored(named, "vector-classes").withColumnRenamed("v", "_v")
+    named = stored(named, "vector-classes")
+    smallest = named.groupBy("class").agg(F.min("first").alias("component"))
+    named = named.join(smallest, "class").select(F.col("v").alias("_v"), "n_links", "component")
     keyed = rows.withColumn("k", F.when(F.expr(fine), F.transform("v", lambda x: x + F.lit(0.0))))
     joined = keyed.join(named, F.col("k") == F.col("_v"), "left")
     return joined.select(

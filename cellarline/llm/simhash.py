@@ -6,7 +6,9 @@ ball is drawn around that half (2 x 33 variants for r = 4). Every distinct finge
 shuffled on the variant, and fingerprints that meet are verified over all bits. No link is lost for any ``blocks``.
 
 Null and empty texts, and texts of blanks, have fingerprint zero and link like any other. Copies share a fingerprint
-and are one node. Documents with a null id are left out of links and form a component of their own (null).
+and are one node. Documents with a null id are left out of links and form a component of their own (null). Fingerprints are
+linked, not ids: rows that repeat an id with different texts each belong to the group of their own text, and two groups
+do not become one because an id is in both.
 """
 
 from __future__ import annotations
@@ -158,15 +160,14 @@ def near_duplicates(
 ) -> DataFrame:
     """``id``, ``fp``, ``component`` (smallest id reachable) of each row of ``docs``."""
     found = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    # One node for each fingerprint, named by its smallest id; copies need no links among themselves.
+    # One node for each fingerprint, named by the fingerprint; copies need no links among themselves.
     nodes = stored(found.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    edges = linked(nodes, radius, blocks)
-    left = edges.join(nodes, edges["a"] == nodes["fp"]).select(F.col("node").alias("a"), "b")
-    named = left.join(nodes, left["b"] == nodes["fp"]).select("a", F.col("node").alias("b"))
-    reached = components(named)
-    classes = nodes.join(reached, nodes["node"] == reached["id"], "left")
-    classes = stored(classes.select("fp", F.coalesce("component", "node").alias("component")), "classes")
-    joined = found.join(classes.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left")
+    reached = components(linked(nodes, radius, blocks)).withColumnRenamed("id", "of")
+    classed = nodes.join(reached, nodes["fp"] == reached["of"], "left")
+    classed = stored(classed.select("fp", "node", F.coalesce("component", "fp").alias("class")), "classes")
+    smallest = classed.groupBy("class").agg(F.min("node").alias("component"))
+    named = classed.join(smallest, "class").select(F.col("fp").alias("_fp"), "component")
+    joined = found.join(named, F.col("fp") == F.col("_fp"), "left")
     return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
@@ -274,7 +275,9 @@ def near_copies(
 
     Links are pairs of sets of shingles with a Jaccard similarity of ``similarity``, counted exactly; fingerprints of
     the sets only retrieve them. Close fingerprints are linked and verified first, by a spanning forest, so that a
-    group of near copies is one class before all pairs within ``radius`` of different classes are looked at.
+    group of near copies is one class before all pairs within ``radius`` of different classes are looked at. Null,
+    empty and blank texts have the empty set and are copies of one another. Rows that repeat an id each belong to the
+    group of their own text.
     """
     found = stored(shingle_sets(docs, shingle, id_col, text_col, False).where("id IS NOT NULL"), "sets")
     nodes = stored(found.groupBy("key").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n")), "set-nodes")

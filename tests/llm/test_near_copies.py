@@ -265,3 +265,58 @@ def test_near_copies_of_awkward_rows(spark):
     got = simhash.near_copies(documents(spark, AWKWARD)).collect()
     assert sorted((r["id"], r["component"]) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (6, 5), (7, 7)]
     assert simhash.near_copies(documents(spark, [])).count() == 0
+
+
+def test_repeated_and_null_ids_have_the_links_of_their_own_vector(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (None, [1.0, 0.0], 0), (5, [1.0, 0.0], 0)]
+    got = sorted(map(tuple, embeddings.near_vectors(vectors(spark, rows)).collect()))
+    assert got == [(1, 2, 1), (1, 2, 1), (5, 2, 1)]
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 8))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.08, base[:10]])
+    rows = [(int(rng.integers(0, 25)), [float(z) for z in v], k) for k, v in enumerate(x)]
+    links = cosines(rows, 0.95)
+    root = {}
+    for i in range(len(rows)):  # smallest id of all rows that the row's vector reaches
+        seen, queue = {i}, [i]
+        while queue:
+            at = queue.pop()
+            fresh = [b for a, b in links if a == at and b not in seen]
+            seen.update(fresh)
+            queue += fresh
+        root[i] = min(rows[k][0] for k in seen)
+    want = sorted((rows[i][0], sum(a == i for a, _ in links), root[i]) for i in range(len(rows)))
+    got = embeddings.near_vectors(vectors(spark, rows).repartition(3), leaf_rows=16, spill=0.1, block=16).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("near", [0.12, 0.2])
+def test_sampled_forest_finds_planted_pairs(spark, near, monkeypatch):
+    """Thresholds from a part of the rows, three depths: recall of links against brute force is 0.9 at least."""
+    monkeypatch.setattr(embeddings, "LENGTH_ROWS", 100)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(700, 24))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * near, base[:200] + rng.normal(size=(200, 24)) * 0.3])
+    rows = [(k, [float(z) for z in v], 0) for k, v in enumerate(x)]
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = int((unit @ unit.T >= 0.95).sum()) - len(rows)
+    assert want > 400
+    for leaf_rows in (400, 100, 25):
+        got = embeddings.near_vectors(vectors(spark, rows), leaf_rows=leaf_rows, sample_rows=200).collect()
+        found = sum(r["n_links"] for r in got)
+        print(near, leaf_rows, found / want)
+        assert 0.9 * want <= found <= want
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(3, a), (6, a), (6, b), (9, b), (None, a)]
+    got = sorted((r["id"] or 0, r["component"] or 0) for r in simhash.near_duplicates(documents(spark, rows)).collect())
+    assert got == [(0, 0), (3, 3), (6, 3), (6, 6), (9, 6)]
+    # Two texts whose smallest id is the same are two groups still.
+    rows = [(6, a), (7, a), (6, b), (8, b)]
+    got = {(r["id"], r["fp"]): r["component"] for r in simhash.near_duplicates(documents(spark, rows)).collect()}
+    assert set(got.values()) == {6} and len(got) == 4
+    got = sorted((r["id"], r["component"]) for r in simhash.near_copies(documents(spark, [(3, a), (6, a), (6, b), (9, b)])).collect())
+    assert got == [(3, 3), (6, 3), (6, 6), (9, 6)]
