@@ -4,13 +4,12 @@ Counts are taken over all training rows by Spark; what the driver gets is one ro
 so its size is languages x buckets whatever the corpus. The matrix of log probabilities is broadcast and documents
 are scored in batches with numpy.
 
-A text that is null or has no letter gets ``und`` with score 0; so does every text if there are no training rows.
+A text that is null or has no letter (Unicode category L; digits, fractions and numerals are none) gets ``und`` with score 0; so does every text if there are no training rows.
 Training rows without a language or text are left out. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from cellarline.llm.common import doc_texts, map_batches
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: Characters handled at once; bounds the arrays of a batch.
 CHUNK = 1 << 20
 #: Largest matrix (languages x buckets) that is gathered and broadcast: 32 M doubles are 256 MB.
@@ -40,29 +38,36 @@ class Model:
 def gram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, buckets, place of each text's first bucket) for groups of texts; whole texts, lower-cased.
 
-    A text is set between blanks, so that n-grams see where it begins and ends, and none spans two texts.
+    A text is set between blanks, so that n-grams see where it begins and ends, and none spans two texts. A text of more
+    than CHUNK characters comes in parts, each a group under the text's own number, that together have its n-grams.
     """
-    at = 0
+    at, longest = 0, max(orders)
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
             size += len(texts[end])
             end += 1
-        buckets, starts, filled = [], [], 0
-        for text in texts[at:end]:
-            codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-            starts.append(filled)
-            for order in orders:
-                n = len(codes) - order + 1
-                if n <= 0:
-                    continue
-                mixed = np.full(n, order, np.uint64)
-                for k in range(order):
-                    mixed = (mixed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                    mixed ^= mixed >> np.uint64(32)
-                buckets.append((mixed & np.uint64((1 << bits) - 1)).astype(np.int64))
-                filled += n
-        yield at, np.concatenate(buckets), np.array(starts)
+        framed = [f" {text.lower()} " for text in texts[at:end]]
+        for begin in range(0, max(map(len, framed)) if end == at + 1 else 1, CHUNK):
+            buckets, starts, filled = [], [], 0
+            for text in framed:
+                # All n-grams that begin in this part; those of other parts begin elsewhere.
+                own = min(CHUNK, len(text) - begin) if end == at + 1 else len(text)
+                part = text[begin : begin + own + longest - 1]
+                codes = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+                starts.append(filled)
+                for order in orders:
+                    n = min(own, len(codes) - order + 1)
+                    if n <= 0:
+                        continue
+                    mixed = np.full(n, order, np.uint64)
+                    for k in range(order):
+                        mixed = (mixed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                        mixed ^= mixed >> np.uint64(32)
+                    buckets.append((mixed & np.uint64((1 << bits) - 1)).astype(np.int64))
+                    filled += n
+            if filled:
+                yield at, np.concatenate(buckets), np.array(starts)
         at = end
 
 
@@ -121,13 +126,16 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
     """Language and its posterior probability for each text."""
     bits = int(model.log_prob.shape[0]).bit_length() - 1
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    places = [k for k, text in enumerate(texts) if text and LETTER.search(text)] if model.languages else []
+    places = [k for k, text in enumerate(texts) if text and any(map(str.isalpha, text))] if model.languages else []
     lettered = [texts[k] for k in places]
+    total = np.zeros((len(lettered), len(model.languages))) + model.log_prior
     for first, buckets, starts in gram_buckets(lettered, model.orders, bits):
-        total = np.add.reduceat(model.log_prob[buckets], starts, axis=0) + model.log_prior
+        # The parts of a long text add up; a matrix of a part's n-grams by languages is all that is held.
+        total[first : first + len(starts)] += np.add.reduceat(model.log_prob[buckets], starts, axis=0)
+    if len(lettered):
         best = total.argmax(axis=1)
         chance = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        for k, place in enumerate(places[first : first + len(starts)]):
+        for k, place in enumerate(places):
             names[place], scores[place] = model.languages[best[k]], chance[k]
     return names, scores
 

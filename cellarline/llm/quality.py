@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellarline.llm.common import free_name
+
 #: Most labelled rows that the classifier is fitted on, as an expected number; which ones depends on the id alone.
 SAMPLE_ROWS = 20_000
 
@@ -201,7 +203,9 @@ def score_column(model: RuleModel, stats: Column) -> Column:
 
 def score(docs: DataFrame, model: RuleModel, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` and its score between 0 and 1."""
-    stats = "_statistics_of_text"
+    if name in docs.columns:
+        raise ValueError(f"the documents have a column {name} already: choose another name")
+    stats = free_name([*docs.columns, name], "_statistics_of_text")
     # The rules read the array often; a struct in an array that is exploded is computed once.
     rows = with_statistics(docs, text_col, stats).withColumn(stats, F.explode(F.array(stats)))
     return rows.withColumn(name, score_column(model, F.col(stats))).drop(stats)

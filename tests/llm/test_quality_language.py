@@ -97,6 +97,32 @@ def test_predictions_and_unknown(spark, model):
     assert np.allclose(alone, [r["score"] for r in got])
 
 
+def test_only_letters_make_a_language(model):
+    assert langid.score_texts(model, ["²", "½ 3", "Ⅳ", "_ 7", "é"])[0][:4] == ["und"] * 4
+    assert langid.score_texts(model, ["é"])[0] != ["und"]
+
+
+def test_long_texts_in_parts(model, monkeypatch):
+    texts = ["the dog " * 40, "", "die katze " * 33 + "x", "ab", "the cat sat on"]
+    whole = [np.sort(b) for _, b, _ in (next(iter(langid.gram_buckets([t], model.orders, 15))) for t in texts if t)]
+    names, scores = langid.score_texts(model, texts)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        parts = [np.sort(np.concatenate([b for _, b, _ in langid.gram_buckets([t], model.orders, 15)])) for t in texts if t]
+        assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+        again = langid.score_texts(model, texts)
+        assert again[0] == names and np.allclose(again[1], scores)
+
+
+def test_clashing_names_of_scores(spark):
+    docs = documents(spark, [(1, "some text here"), (2, None)]).withColumn("_statistics_of_text", F.lit("clash"))
+    rules = quality.RuleModel((), (), 0.5)
+    got = quality.score(docs, rules, name="_score")
+    assert got.columns == [*docs.columns, "_score"] and {r["_statistics_of_text"] for r in got.collect()} == {"clash"}
+    with pytest.raises(ValueError):
+        quality.score(docs, rules, name="k")
+
+
 def test_nothing_to_learn_from(spark):
     empty = langid.learn(documents(spark, []))
     assert {r["lang_pred"] for r in langid.identify(documents(spark, AWKWARD), empty).collect()} == {"und"}
