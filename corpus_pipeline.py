@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarline.llm import decontaminate, lines, pieces, quality, simhash
-from cellarline.llm.common import read, stored
+from cellarline.llm.common import free_name, read, stored
 
 #: Texts whose sets of five-word shingles have this Jaccard similarity are near copies. They are retrieved by fingerprints
 #: that differ in at most so many of 64 bits (about 10 at 0.8), met on five blocks of 12 or 13 bits.
 NEAR_SIMILARITY, NEAR_BITS, NEAR_BLOCKS = 0.8, 14, 5
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{name}`") for name in docs.columns]
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it is fitted on the labelled ones among ``docs``."""
-    model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, name="_score").where("_score >= 0.5").select(*docs.columns)
+    model, name = quality.fit(docs, read(spark, sf_dir, "labels")), free_name(docs.columns, "_score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= 0.5).select(*columns_of(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat an earlier one; ``n_chars`` is that of the new text."""
-    found = lines.dedup_lines(docs, similarity=0.8).select(*docs.columns)
+    found = lines.dedup_lines(docs, similarity=0.8).select(*columns_of(docs))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; rows without an id stay."""
-    found = simhash.near_copies(docs, shingle=5, similarity=NEAR_SIMILARITY, radius=NEAR_BITS, blocks=NEAR_BLOCKS)
-    copies = stored(found.where("id <> component").select(F.col("id").alias("_copy")).distinct(), "copies")
-    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+    """One document of each group of near copies, the first by id; rows without an id stay.
+
+    Rows are told apart by a number that is written with them: of rows that repeat an id each goes with the group of its
+    own text, and of equal rows one stays. Null, empty and blank texts are copies of one another.
+    """
+    row = free_name(docs.columns, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    named = numbered.where("doc_id IS NOT NULL").select(F.col(row).alias("row"), "doc_id", "text")
+    found = simhash.near_copies(named, shingle=5, similarity=NEAR_SIMILARITY, radius=NEAR_BITS, blocks=NEAR_BLOCKS, id_col="row")
+    placed = stored(named.select("row", "doc_id").join(found.select(F.col("id").alias("of"), "component"), F.col("row") == F.col("of")), "placed")
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    copies = stored(placed.select("row").join(first, "row", "left_anti").withColumnRenamed("row", "_copy"), "copies")
+    return numbered.join(copies, numbered[row] == copies["_copy"], "left_anti").select(*columns_of(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
