@@ -51,6 +51,11 @@ def money_sum(amount: str | Column, digits: int = 0) -> Column:
     return F.round(exact_sum(amount), digits).cast("double")
 
 
+def whole_sum(amount: str) -> Column:
+    """Exact sum of doubles that hold whole numbers, as ``money_sum`` gives: a sum of doubles loses digits above 2^53."""
+    return F.sum(F.col(amount).cast("decimal(28,0)"))
+
+
 def safe_div(num: Column, den: Column) -> Column:
     """Division in double that gives null for a null or zero divisor."""
     return F.try_divide(num.cast("double"), den.cast("double"))

@@ -1,7 +1,9 @@
 """Forecast preparation, quantile forecasts per series, and reads of the forecast tables.
 
-The built-in model is seasonal-naive: the value one season earlier, with P10/P50/P90 of the season-over-season
-changes around it. It is made of Spark aggregates. A model of one's own runs through ``applyInPandas``, one
+The built-in model is seasonal-naive where a series is longer than a season: the value one season earlier, with
+P10/P50/P90 of the season-over-season changes around it. A shorter one gets exponential smoothing with a damped trend,
+fitted over a small grid, and the quantiles of paths simulated from its own residuals. Both are Spark aggregates. Below
+3 months there is nothing to fit: mean, 0 and mean x 1.5 + 1. A model of one's own runs through ``applyInPandas``, one
 series per group; a series has one row per month, so a group is never larger than the calendar.
 """
 
@@ -142,6 +144,71 @@ def zero_fill_grid(series: DataFrame, calendar: DataFrame | None = None, last: s
     return laid.select("producto", "marca", *own, "periodo", units.alias("unidades"))
 
 
+# (level, trend, damping): the parameters that are tried; with equal errors the first one counts.
+SMOOTHING = tuple((a, b, p) for a in (0.2, 0.5, 0.8) for b in (0.05, 0.2) for p in (0.8, 0.95))
+LEAST_POINTS = 3
+
+
+def _smoothed(y: Column, level: Column, trend: Column, damping: Column) -> Column:
+    """Level, trend, squared error and residuals after a pass over the array ``y``; the first two points start it."""
+
+    def step(state: Column, value: Column) -> Column:
+        ahead = state["l"] + damping * state["b"]
+        error = value - ahead
+        return F.struct(
+            (ahead + level * error).alias("l"),
+            (damping * state["b"] + trend * error).alias("b"),
+            (state["sse"] + error * error).alias("sse"),
+            F.concat(state["e"], F.array(error)).alias("e"),
+        )
+
+    none = F.array().cast("array<double>")
+    first = F.struct(F.element_at(y, 1).alias("l"), (F.element_at(y, 2) - F.element_at(y, 1)).alias("b"), F.lit(0.0).alias("sse"), none.alias("e"))
+    return F.aggregate(F.slice(y, 2, F.size(y) - 1), first, step)
+
+
+def _fitted(y: Column) -> Column:
+    """The smoothing with the least squared error, with its parameters."""
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(v).alias(n) for n, v in zip("abp", row, strict=True)]) for i, row in enumerate(SMOOTHING)])
+
+    def tried(g: Column) -> Column:
+        return F.transform(
+            F.array(_smoothed(y, g["a"], g["b"], g["p"])),
+            lambda s: F.struct(s["sse"].alias("sse"), g["i"].alias("i"), s["l"].alias("l"), s["b"].alias("b"), s["e"].alias("e"), g.alias("g")),
+        )
+
+    return F.array_min(F.flatten(F.transform(grid, tried)))
+
+
+def _simulated(fit: Column, horizon: int) -> Column:
+    """For steps 1..horizon the sorted values of all paths; path k adds the residuals in turn, from the k-th on."""
+    m = F.size(fit["e"])
+
+    def path(k: Column) -> Column:
+        def step(state: Column, h: Column) -> Column:
+            ahead = state["l"] + fit["g"]["p"] * state["b"]
+            error = F.get(fit["e"], F.pmod(k + h, m))
+            return F.struct(
+                (ahead + fit["g"]["a"] * error).alias("l"),
+                (fit["g"]["p"] * state["b"] + fit["g"]["b"] * error).alias("b"),
+                F.concat(state["y"], F.array(ahead + error)).alias("y"),
+            )
+
+        start = F.struct(fit["l"].alias("l"), fit["b"].alias("b"), F.array().cast("array<double>").alias("y"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(horizon - 1)), start, step)["y"]
+
+    paths = F.transform(F.sequence(F.lit(0), m - 1), path)
+    return F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda h: F.sort_array(F.transform(paths, lambda y: F.get(y, h))))
+
+
+def _quantile_of(values: Column, q: float) -> Column:
+    """Linear interpolation in a sorted array, as ``percentile`` does."""
+    place = F.lit(q) * (F.size(values) - 1)
+    low = F.floor(place).cast("int")
+    below, above = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return below + (place - low) * (above - below)
+
+
 def _native_quantiles(series: DataFrame, keys: list[str], value: str, horizon: int, season: int) -> DataFrame:
     own = Window.partitionBy(*keys).orderBy("periodo")
     y = F.col(value).cast("double")
@@ -154,16 +221,21 @@ def _native_quantiles(series: DataFrame, keys: list[str], value: str, horizon: i
         F.percentile("_change", F.array(*[F.lit(q) for q in QUANTILES])).alias("_q"),
         F.sort_array(F.collect_list(F.struct("periodo", "y"))).alias("_points"),
     )
-    steps = fitted.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     enough = F.col("_n") > season
+    short = ~enough & (F.col("_n") >= LEAST_POINTS)
+    values = F.transform("_points", lambda p: p["y"])
+    fitted = fitted.withColumn("_fit", F.when(short, _fitted(values)))
+    fitted = fitted.withColumn("_paths", F.when(short, _simulated(F.col("_fit"), horizon)))
+    steps = fitted.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     at = (F.col("_n") - season + F.pmod(F.col("h") - 1, F.lit(season)) + 1).cast("int")
     base = F.when(enough, F.try_element_at("_points", at)["y"])
+    reached = F.get("_paths", F.col("h") - 1)
 
-    def quantile(position: int, short: Column) -> Column:
-        level = F.when(enough, base + F.element_at("_q", position + 1)).otherwise(short)
+    def quantile(position: int, few: Column) -> Column:
+        level = F.when(enough, base + F.element_at("_q", position + 1)).when(short, _quantile_of(reached, QUANTILES[position])).otherwise(few)
         return F.greatest(F.lit(0.0), level)
 
-    # Fallback for a series without a full season before its last value: mean, 0, mean * 1.5 + 1.
+    # Too few points to fit anything: mean, 0, mean * 1.5 + 1.
     mean = F.col("_mean")
     return steps.select(
         *keys,
@@ -183,7 +255,7 @@ def _model_quantiles(series: DataFrame, keys: list[str], value: str, horizon: in
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("periodo")
         values = group["_y"].tolist()
-        if len(values) < 3:
+        if len(values) < LEAST_POINTS:
             mean = sum(values) / len(values)
             mid, low, high = [mean] * horizon, [0.0] * horizon, [mean * 1.5 + 1] * horizon
         else:

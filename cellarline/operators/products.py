@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarline.config import DEFAULTS, NO_BRAND, NO_ORIGIN, NO_TYPE, Settings
-from cellarline.functions.exprs import exact_sum, first_match, money_sum, or_text, percent, round_ratio, safe_div
+from cellarline.functions.exprs import exact_sum, first_match, money_sum, or_text, percent, round_ratio, safe_div, whole_sum
 from cellarline.functions.frames import first_rows, page, rank_rows, totals
 from cellarline.sources.fact import in_year
 
@@ -253,7 +253,7 @@ def top_productos_year(sales: DataFrame, anno: int = 0, limit: int | None = None
 def _shares(stats: DataFrame, *order: str) -> DataFrame:
     """Keep positive revenue and give each row its share of what is kept."""
     kept = stats.filter(F.col("venta_neta") > 0)
-    whole = totals(kept, sale=F.sum("venta_neta"))
+    whole = totals(kept, sale=whole_sum("venta_neta"))
     shared = kept.withColumn("share_pct", percent(F.col("venta_neta"), whole["sale"]))
     return shared.orderBy(F.desc("venta_neta"), *order)
 

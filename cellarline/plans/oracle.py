@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from cellarline.config import DEFAULT_EXCHANGE_RATE, MONTHS_ES, NO_BRAND, NO_ORIGIN, NO_TYPE, NOT_FOUND
 from cellarline.config import TAG_FORECAST, TAG_HISTORY
+from cellarline.operators.forecast import SMOOTHING
 from cellarline.plans.sample import ACCOUNT, AS_OF, CFG, PERIOD, YEAR, YEARS
 
 DAY = f"DATE '{AS_OF.isoformat()}'"
@@ -462,6 +463,22 @@ def forecast_sql() -> dict[str, str]:
           SELECT producto, marca, {day}, {big(f'year({day})')}, {big(f'month({day})')}, {null}, {rr('forecast', 1)}, {rr('fc_lo', 1)},
           {rr('fc_hi', 1)}, {text(TAG_FORECAST)} FROM f))"""
 
+    params = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {p}::DOUBLE)" for i, (a, b, p) in enumerate(SMOOTHING))
+    short = f"""z AS (SELECT producto, marca, periodo, CAST(unidades AS DOUBLE) AS y, row_number() OVER (PARTITION BY producto ORDER BY periodo) AS rn
+        FROM (SELECT * FROM grid QUALIFY row_number() OVER (PARTITION BY producto ORDER BY periodo DESC) <= 9)),
+      params(i, a, b, p) AS (VALUES {params}),
+      fold AS (SELECT one.producto, one.marca, i, a, b, p, 1 AS t, one.y AS l, two.y - one.y AS d, 0::DOUBLE AS sse, []::DOUBLE[] AS errors
+        FROM z one JOIN z two ON two.producto = one.producto AND one.rn = 1 AND two.rn = 2, params
+        UNION ALL SELECT fold.producto, fold.marca, i, a, b, p, t + 1, (l + p * d) + a * (y - (l + p * d)), p * d + b * (y - (l + p * d)),
+          sse + (y - (l + p * d)) * (y - (l + p * d)), list_append(errors, y - (l + p * d))
+        FROM fold JOIN z ON z.producto = fold.producto AND rn = t + 1),
+      last AS (SELECT producto, max(periodo) AS ultimo, max(rn) AS n FROM z GROUP BY 1),
+      fit AS (SELECT fold.*, ultimo, n FROM fold JOIN last USING (producto) WHERE t = n QUALIFY row_number() OVER (PARTITION BY producto ORDER BY sse, i) = 1),
+      sim AS (SELECT producto, marca, ultimo, a, b, p, errors, k, 0 AS h, l, d, 0::DOUBLE AS y FROM fit, range(0, 8) r(k)
+        UNION ALL SELECT producto, marca, ultimo, a, b, p, errors, k, h + 1, (l + p * d) + a * errors[1 + (k + h) % 8],
+          p * d + b * errors[1 + (k + h) % 8], (l + p * d) + errors[1 + (k + h) % 8] FROM sim WHERE h < {h}),
+      sq AS (SELECT producto, marca, ultimo, h, greatest(0, quantile_cont(y, 0.5)) AS forecast, greatest(0, quantile_cont(y, 0.1)) AS fc_lo,
+        greatest(0, quantile_cont(y, 0.9)) AS fc_hi FROM sim WHERE h > 0 GROUP BY ALL)"""
     own = with_(*product_ctes, product_table("propio"))
     rollup = ", ".join(f"{big(rr(f'sum(coalesce({c}, 0.0))', 0))} AS {c}" for c in ("fc_uds", "fc_lo", "fc_hi"))
     return {
@@ -472,6 +489,8 @@ def forecast_sql() -> dict[str, str]:
         "zero_fill_grid": with_(*products) + f"SELECT producto, marca, periodo, {big('unidades')} AS unidades FROM grid",
         "forecast_quantiles": with_(*product_ctes) + f"""SELECT producto, marca, ultimo, {big('h')} AS h, {rr('forecast', 4)} AS forecast,
             {rr('fc_lo', 4)} AS fc_lo, {rr('fc_hi', 4)} AS fc_hi FROM f""",
+        "forecast_quantiles_short": with_(*products, short).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT producto, marca, ultimo,
+            {big('h')} AS h, {rr('forecast', 4)} AS forecast, {rr('fc_lo', 4)} AS fc_lo, {rr('fc_hi', 4)} AS fc_hi FROM sq""",
         "forecast_total": total_table,
         "forecast_productos": own + "SELECT * FROM t",
         "forecast_productos_global": with_(*product_ctes, product_table("ultimo")) + "SELECT * FROM t",

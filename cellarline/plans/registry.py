@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from cellarline.plans import materialize
 from cellarline.plans.dashboard import dashboard_bundle, long_rows
 from cellarline.plans.sample import ACCOUNT, AS_OF, CFG, PERIOD, YEAR, YEARS
 from cellarline.plans.states import States
-from cellarline.plans.warehouse import derived_table, sales_path, sales_table, size_star
+from cellarline.plans.warehouse import derived_table, ledger_table, sales_path, sales_table, size_star
 from cellarline.sources import fact, sheets, storage
 from cellarline.sources.csvscan import read_cells
 from cellarline.streaming.incremental import append_new, append_stream
@@ -48,7 +48,7 @@ def on_fact(name: str, operator: Callable[..., DataFrame], guard: bool, *args, *
 
 
 def on_ledger(name: str, operator: Callable[..., DataFrame], *args) -> None:
-    _QUERIES[name] = lambda spark, folder: operator(fact.ledger(sales_table(spark, folder)), *args)
+    _QUERIES[name] = lambda spark, folder: operator(ledger_table(spark, folder), *args)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -194,7 +194,9 @@ def _vintage_sales(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _calendar(sales: DataFrame) -> DataFrame:
-    return sales.select(F.trunc("fecha", "month").alias("periodo"))
+    # First and last day come from the files' statistics; only these two are cut to their month.
+    ends = sales.agg(F.min("fecha").alias("first"), F.max("fecha").alias("last"))
+    return ends.select(F.explode(F.array("first", "last")).alias("d")).select(F.trunc("d", "month").alias("periodo"))
 
 
 def _product_forecast(spark: SparkSession, folder: str, anchor: str = "product") -> DataFrame:
@@ -238,6 +240,16 @@ def _forecast_quantiles(spark, folder):
     return steps.withColumns({c: round_ratio(F.col(c), 4) for c in ("forecast", "fc_lo", "fc_hi")})
 
 
+@query("forecast_quantiles_short")
+def _forecast_quantiles_short(spark, folder):
+    """The same from the last nine months of each product only, which is less than a season."""
+    grid = _zero_fill_grid(spark, folder)
+    recent = F.row_number().over(Window.partitionBy("producto").orderBy(F.desc("periodo")))
+    short = grid.withColumn("n", recent).where("n <= 9").drop("n")
+    steps = forecast.forecast_quantiles(short, ["producto", "marca"], "unidades", cfg=CFG)
+    return steps.withColumns({c: round_ratio(F.col(c), 4) for c in ("forecast", "fc_lo", "fc_hi")})
+
+
 _QUERIES["forecast_total"] = _total_forecast
 _QUERIES["forecast_productos"] = _product_forecast
 _QUERIES["forecast_productos_global"] = lambda spark, folder: _product_forecast(spark, folder, "global")

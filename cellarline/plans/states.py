@@ -32,7 +32,7 @@ from cellarline.functions.frames import rank_rows
 from cellarline.operators import customers, kpi, products, timeops
 from cellarline.plans.materialize import BASE
 from cellarline.sources.fact import SALES_SCHEMA
-from cellarline.sources.storage import current_rows, read_table, write_truncate
+from cellarline.sources.storage import current_rows, path_exists, read_table, write_truncate
 
 #: The columns each grouped fact keeps; the amounts are summed.
 GRAINS = {
@@ -99,66 +99,82 @@ class States:
         self.spark, self.base, self.root, self.cfg = spark, base, root, cfg
 
     def manifest(self) -> list[tuple[str, str, str, str]]:
-        """(state, year's folder, signature, rows): one row for each state and year, and a few for the dictionaries."""
+        """(state, year's folder, signature, rows): a row for each state and year, one without a state for each year's
+        signature, and a few for the dictionaries."""
         if current_rows(self.spark, f"{self.root}/manifest") is None:
             return []
         return [tuple(row) for row in read_table(self.spark, f"{self.root}/manifest").select("estado", "anno", "firma", "ruta").collect()]
 
     def read(self, state: str) -> DataFrame:
         """All years of one state."""
-        paths = [path for name, _, _, path in self.manifest() if name == state]
-        if not paths:
-            raise ValueError(f"there is no state {state}: refresh first")
-        return self.spark.read.parquet(*paths)
-
-    def _write(self, df: DataFrame, state: str) -> str:
+        manifest = self.manifest()
+        if not manifest:
+            raise ValueError("there are no states: refresh first")
+        paths = [path for name, _, _, path in manifest if name == state]
+        if paths:
+            return self.spark.read.parquet(*paths)
+        nothing = self.spark.createDataFrame([], SALES_SCHEMA)
+        keys = {name: nothing.select(F.col(column).alias("clave"), F.lit(0).cast("bigint").alias("id")) for name, column in KEYS.items()}
+        return (keys | self._build(nothing, keys))[state]
+
+    def _write(self, df: DataFrame, state: str, by_year: bool) -> str:
         path = f"{self.root}/{state}/rows-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        if by_year:
+            # The year stays a column of the rows, so that each folder can be read by itself.
+            df.withColumn("_anno", F.col("anno")).write.partitionBy("_anno").parquet(path)
+        else:
+            df.write.parquet(path)
         return path
 
-    def year(self, folder: str) -> DataFrame:
-        """The fact's rows of one year; only the files of its folder are listed and read."""
-        rows = self.spark.read.schema(SALES_SCHEMA).option("basePath", self.base).parquet(f"{self.base}/{folder}")
-        return rows.select(*SALES_SCHEMA.names)
+    def years(self, folders: list[str]) -> DataFrame:
+        """The fact's rows of some years; only the files in their folders are listed and read."""
+        paths = [f"{self.base}/{folder}" for folder in folders]
+        return self.spark.read.schema(SALES_SCHEMA).option("basePath", self.base).parquet(*paths).select(*SALES_SCHEMA.names)
 
-    def _grown(self, state: str, column: str, sales: DataFrame, kept: list[tuple]) -> list[tuple]:
+    def _grown(self, state: str, column: str, sales: DataFrame, parts: list[tuple]) -> list[tuple]:
         """The dictionary's rows of the manifest, with one more if ``sales`` has keys that are not in it."""
-        parts = [row for row in kept if row[0] == state]
         fresh = sales.where(F.col(column).isNotNull()).select(F.col(column).alias("clave")).distinct()
         known = 0
         if parts:
             old = self.spark.read.parquet(*[row[3] for row in parts])
-            known = old.agg(F.max("id").alias("n")).first()["n"]
+            known = old.agg(F.max("id").alias("n")).first()["n"] or 0
             fresh = fresh.join(old.select(F.col("clave").alias("alt")), F.col("clave") == F.col("alt"), "left_anti")
         numbered = rank_rows(fresh, [F.asc("clave")], name="puesto")
-        path = self._write(numbered.select("clave", (F.col("puesto") + known).alias("id")), state)
+        path = self._write(numbered.select("clave", (F.col("puesto") + known).alias("id")), state, by_year=False)
         if parts and self.spark.read.parquet(path).isEmpty():
             return parts
         return [*parts, (state, f"{len(parts):05d}", "", path)]
 
+    def _build(self, sales: DataFrame, keys: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """All states of the lines in ``sales``."""
+        found = {state: grouped(sales, grain) for state, grain in GRAINS.items()}
+        found |= {"bands": bands(sales, self.cfg), "days": days(sales)}
+        return found | {state.replace("_keys", "_sets"): day_sets(sales, keys[state], column) for state, column in KEYS.items()}
+
     def refresh(self) -> list[str]:
-        """Bring the states up to the fact; returns the folders of the years that were read anew or dropped."""
+        """Bring the states up to the fact; returns the folders of the years that were read anew or dropped.
+
+        One job for each state writes all changed years.
+        """
         now, old = year_signatures(self.spark, self.base), self.manifest()
-        before = {folder: mark for _, folder, mark, _ in old if mark}
+        before = {folder: mark for state, folder, mark, _ in old if not state}
         changed = sorted(folder for folder, mark in now.items() if before.get(folder) != mark)
         gone = sorted(folder for folder in before if folder not in now)
         if not changed and not gone:
             return []
-        rows = [row for row in old if row[2] and row[1] not in changed and row[1] not in gone]
-        dictionaries = [row for row in old if not row[2]]
-        for folder in changed:
-            sales, mark = self.year(folder), now[folder]
-            for state, grain in GRAINS.items():
-                rows.append((state, folder, mark, self._write(grouped(sales, grain), state)))
-            rows.append(("bands", folder, mark, self._write(bands(sales, self.cfg), "bands")))
-            rows.append(("days", folder, mark, self._write(days(sales), "days")))
-            for state, column in KEYS.items():
-                parts = self._grown(state, column, sales, dictionaries)
-                dictionaries = [row for row in dictionaries if row[0] != state] + parts
-                keys = self.spark.read.parquet(*[row[3] for row in parts])
-                sets = state.replace("_keys", "_sets")
-                rows.append((sets, folder, mark, self._write(day_sets(sales, keys, column), sets)))
-        write_truncate(self.spark.createDataFrame(rows + dictionaries, _MANIFEST).coalesce(1), f"{self.root}/manifest")
+        rows = [row for row in old if row[0] not in KEYS and row[1] not in changed and row[1] not in gone]
+        dictionaries = {state: [row for row in old if row[0] == state] for state in KEYS}
+        if changed:
+            sales = self.years(changed)
+            dictionaries = {state: self._grown(state, KEYS[state], sales, parts) for state, parts in dictionaries.items()}
+            keys = {state: self.spark.read.parquet(*[row[3] for row in parts]) for state, parts in dictionaries.items()}
+            rows += [("", folder, now[folder], "") for folder in changed]
+            for state, df in self._build(sales, keys).items():
+                path = self._write(df, state, by_year=True)
+                # A year can have no row in a state, and then has no folder.
+                rows += [(state, folder, "", f"{path}/_{folder}") for folder in changed if path_exists(self.spark, f"{path}/_{folder}")]
+        every = rows + [row for parts in dictionaries.values() for row in parts]
+        write_truncate(self.spark.createDataFrame(every, _MANIFEST).coalesce(1), f"{self.root}/manifest")
         return changed + gone
 
     def views(self, as_of: dt.date | str | None = None) -> dict[str, Callable[[], DataFrame]]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from cellarline.session import size_shuffles
-from cellarline.sources.fact import SALES_SCHEMA, STAR_TABLES, read_star, sales_fact
+from cellarline.sources.fact import SALES_SCHEMA, STAR_TABLES, ledger, read_star, sales_fact
 from cellarline.sources.storage import current_rows, files_state, path_exists, read_table, shared_dir, write_truncate
 
 # Raise it with every change of what a derived table holds, so that older copies are not taken.
@@ -83,3 +83,10 @@ def sales_table(spark: SparkSession, folder: str) -> DataFrame:
     """
     path = sales_path(spark, folder)
     return sales_fact(read_star(spark, folder)) if path is None else read_table(spark, path, SALES_SCHEMA)
+
+
+def ledger_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger of the fact, written once by year: its entries are several projections of every line."""
+    build = lambda: ledger(sales_table(spark, folder))
+    path = derived_path(spark, folder, "ledger", build, partition_by=("ejercicio",))
+    return build() if path is None else read_table(spark, path, build().schema)

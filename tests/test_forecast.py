@@ -70,7 +70,30 @@ def test_zero_fill_over_calendar(spark, series):
     assert got == [0, 5, 0, 7, 0]
 
 
+def smoothed(y, a, b, p):
+    level, trend, errors = y[0], y[1] - y[0], []
+    for value in y[1:]:
+        ahead = level + p * trend
+        errors.append(value - ahead)
+        level, trend = ahead + a * errors[-1], p * trend + b * errors[-1]
+    return sum(e * e for e in errors), level, trend, errors
+
+
 def expected(y: list[float], horizon: int):
+    if 3 <= len(y) <= 12:
+        y = [float(v) for v in y]
+        fits = [(*smoothed(y, *g), g) for g in fc.SMOOTHING]
+        _, start, slope, errors, (a, b, p) = min(fits, key=lambda f: f[0])
+        paths = []
+        for k in range(len(errors)):
+            level, trend, path = start, slope, []
+            for h in range(horizon):
+                ahead, error = level + p * trend, errors[(k + h) % len(errors)]
+                level, trend = ahead + a * error, p * trend + b * error
+                path.append(ahead + error)
+            paths.append(path)
+        quantiles = np.percentile(np.array(paths), [50, 10, 90], axis=0).clip(0)
+        return [tuple(column) for column in quantiles.T]
     if len(y) <= 12:
         mean = float(np.mean(y))
         return [(max(0.0, mean), 0.0, max(0.0, mean * 1.5 + 1))] * horizon
@@ -83,7 +106,7 @@ def expected(y: list[float], horizon: int):
     return out
 
 
-@pytest.mark.parametrize(("n", "horizon"), [(1, 3), (2, 3), (12, 3), (13, 3), (30, 3), (30, 14)])
+@pytest.mark.parametrize(("n", "horizon"), [(1, 3), (2, 3), (3, 3), (4, 1), (6, 3), (9, 14), (12, 3), (13, 3), (30, 3), (30, 14)])
 def test_quantiles_equal_numpy(series, n, horizon):
     rng = np.random.default_rng(n)
     y = rng.integers(-20, 60, n).tolist()
@@ -95,6 +118,25 @@ def test_quantiles_equal_numpy(series, n, horizon):
         assert row["fc_lo"] <= row["forecast"] <= row["fc_hi"]
 
 
+def test_short_series_get_a_trend_without_python(series):
+    s = series(**{f"up{n}": dict(zip(months("2023-01", n), range(10, 10 + 5 * n, 5))) for n in (3, 6, 12)})
+    found = fc.forecast_quantiles(s, ["producto"], "unidades", 3)
+    for r in found.collect():
+        n = int(r["producto"][2:])
+        last = 10 + 5 * (n - 1)
+        assert last < r["forecast"] <= last + 5 * r["h"] + 5
+    plan = found._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+    flat = series(z=dict(zip(months("2023-01", 5), [7] * 5)))
+    assert {tuple(r)[2:] for r in fc.forecast_quantiles(flat, ["producto"], "unidades", 2).drop("h").withColumn("h", F.lit(0)).collect()} == {(7.0, 7.0, 7.0, 0)}
+
+
+def test_both_paths_agree_below_three_points(series):
+    s = series(a=dict(zip(months("2023-01", 2), [4, 8])), b=dict(zip(months("2023-01", 1), [3])))
+    own = sorted(map(tuple, fc.forecast_quantiles(s, ["producto"], "unidades", 2).collect()))
+    assert own == sorted(map(tuple, fc.forecast_quantiles(s, ["producto"], "unidades", 2, lambda v, h: 1 / 0).collect()))
+
+
 def test_model_runs_per_series(series):
     s = series(a=dict(zip(months("2023-01", 4), [1, 2, 3, 4])), b=dict(zip(months("2023-01", 2), [10, 20])))
 
@@ -125,7 +167,8 @@ def test_product_table_dates_follow_the_anchor(spark, series):
     assert [r["mes_label"] for r in future] == ["Jul 2023", "Ago 2023", "Set 2023".replace("Set", "Sep")]
     shared = fc.forecast_productos(s, calendar, anchor="global").filter("tipo = 'pronóstico'")
     assert sorted(r["periodo"] for r in rows(shared)) == months("2023-10", 3)
-    assert future[0]["fc_uds"] == 1.7  # mean of 15 units over nine months
+    want = expected([0, 1, 2, 3, 4, 5, 0, 0, 0], 3)  # the zero-filled nine months
+    assert [r["fc_uds"] for r in future] == pytest.approx([round(w[0], 1) for w in want], abs=0.051)
     with pytest.raises(ValueError):
         fc.forecast_productos(s, anchor="x")
 

@@ -19,7 +19,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are
 ONE_SCAN = (
     "dim_tipo", "vendedores", "segmento_precio_costo", "productos_all", "marcas_all", "top_productos_year",
     "top_clientes_year", "brand_type_fit", "market_share_tipo", "dependencia_marca", "retencion", "analisis_experto",
-    "kpi_year", "cross_sell_opportunity", "fc_serie_productos", "forecast_total",
+    "kpi_year", "cross_sell_opportunity", "fc_serie_productos", "forecast_total", "analisis_clientes_wide",
+    "fin_balance", "fin_resultados", "fin_flujo", "fin_detalle", "ledger_profile_years", "ledger_profile_accounts",
 )
 
 
@@ -30,6 +31,12 @@ def test_one_scan(spark, name):
     assert not re.search("NestedLoop|CartesianProduct|Python|InPandas", plan)
 
 
+@pytest.mark.parametrize("name", ["analisis_experto", "analisis_clientes_wide"])
+def test_expert_groups_take_three_hash_shuffles(spark, name):
+    plan = final_plan(entry.queries()[name](spark, DATA))
+    assert len(re.findall("Exchange hashpartitioning", plan)) <= 3
+
+
 def test_no_query_multiplies_rows_or_runs_python(spark):
     eager = {"materialize_views", "resolve_materialized", "incremental_append", "write_truncate", "export_csv"}
     for name, run in entry.queries().items():

@@ -71,7 +71,7 @@ def test_only_the_changed_year_is_read_and_all_views_agree(spark, sales, tmp_pat
             file.write(b"x" * len(kept[name][0]))
         os.utime(name, ns=(kept[name][1].st_atime_ns, kept[name][1].st_mtime_ns))
     assert states.refresh() == ["anno=2023"]
-    assert all("/anno=2023/" in f for f in states.year("anno=2023").inputFiles())
+    assert all("/anno=2023/" in f for f in states.years(["anno=2023"]).inputFiles())
     for name, (data, stat) in kept.items():
         with open(name, "wb") as file:
             file.write(data)
@@ -91,7 +91,16 @@ def test_years_come_and_go(spark, sales, tmp_path):
     ids = states.read("order_keys")
     assert ids.count() == ids.select("id").distinct().count() == ids.select("clave").distinct().count()
     with pytest.raises(ValueError):
-        states.read("nothing")
+        States(spark, base, str(tmp_path / "none")).read("orders")
+
+
+def test_states_without_rows(spark, sales, tmp_path):
+    """Lines without units are in no band, and lines without keys in no set."""
+    base = str(tmp_path / "fact")
+    sales(dict(cod=None, cliente=None, cantidad=0, fecha="2023-05-01"), dict(cod=None, cliente=None, fecha="2024-02-01", cantidad=0)).write.partitionBy("anno").parquet(base)
+    states = States(spark, base, str(tmp_path / "states"))
+    assert states.refresh() == ["anno=2023", "anno=2024"] and states.refresh() == []
+    agree(states, spark.read.parquet(base), ["kpi_global", "segmento_precio", "dimension_pais"])
 
 
 def test_figures_do_not_scan_the_fact(spark, sales, tmp_path):
