@@ -207,6 +207,10 @@ def products_sql() -> dict[str, str]:
             AND margen_pct BETWEEN 60 AND 90 {detail_order} LIMIT 20 OFFSET 20""",
         "search_products": with_(detail) + f"""SELECT * FROM d WHERE producto ILIKE '%brand#1%' OR marca_producto ILIKE '%brand#1%'
             {detail_order} LIMIT 50""",
+        "search_from_index": with_(detail) + """SELECT * FROM d WHERE producto ILIKE '%brand#1%' OR marca_producto ILIKE '%brand#1%'
+            OR producto ILIKE '%widget%' OR marca_producto ILIKE '%widget%'""",
+        "page_from_index": with_(detail) + f"""SELECT *, {big(f'row_number() OVER ({detail_order})')} AS puesto FROM d
+            QUALIFY puesto BETWEEN 201 AND 300""",
     }
 
 
@@ -608,6 +612,13 @@ def source_sql() -> dict[str, str]:
         "normalize_cells": events,
         "incremental_append": events,
         "append_rows": events,
+        "cost_by_occurrence": f"""WITH l AS (SELECT *, l_orderkey * 10 + l_linenumber AS place, l_returnflag || '-' || l_linenumber
+              || (l_partkey % 50) || {big('round_even(l_quantity / 2, 0)')} AS clave FROM lineitem),
+            v AS (SELECT clave, row_number() OVER (PARTITION BY clave ORDER BY place) AS n, place AS venta FROM l WHERE l_orderkey % 4 <> 0),
+            m AS (SELECT clave, row_number() OVER (PARTITION BY clave ORDER BY place, l_extendedprice) AS n, place AS movimiento,
+              l_extendedprice AS costo FROM l WHERE l_orderkey % 3 <> 0)
+            SELECT clave, n, CAST(venta AS VARCHAR) AS venta, CAST(movimiento AS VARCHAR) AS movimiento, costo, CASE WHEN movimiento IS NULL THEN 'sin movimiento' WHEN venta IS NULL THEN 'sin venta'
+              ELSE 'emparejado' END AS estado FROM v FULL JOIN m USING (clave, n)""",
         "csv_rows": """SELECT row_number() OVER (ORDER BY event_id) AS row_no, CAST(event_id AS VARCHAR) AS event_id,
             '"' || event_type || '", ' || props || chr(10) || 'fin' AS nota, CAST(user_id AS VARCHAR) AS user_id FROM events""",
         "transactional_append": """SELECT 'events' AS fuente, event_id AS clave, 'ok' AS estado FROM events WHERE event_id IS NOT NULL

@@ -13,11 +13,13 @@ from cellarline.functions.exprs import round_ratio
 from cellarline.operators import customers, finance, forecast, kpi, products, timeops
 from cellarline.plans import materialize
 from cellarline.plans.dashboard import dashboard_bundle, long_rows
+from cellarline.plans.pages import OrderIndex, SubstringIndex
 from cellarline.plans.sample import ACCOUNT, AS_OF, CFG, PERIOD, YEAR, YEARS
 from cellarline.plans.states import States
 from cellarline.plans.warehouse import derived_table, ledger_table, sales_path, sales_table, size_star
 from cellarline.sources import fact, sheets, storage
 from cellarline.sources.csvscan import read_cells
+from cellarline.sources.matching import match_occurrences
 from cellarline.streaming.incremental import append_new, append_stream
 from cellarline.streaming.transactional import append_source, compact, read_committed, sync_report
 
@@ -540,3 +542,43 @@ def _transactional_append(spark, folder):
     rows = [read_committed(spark, f"{root}/{name}/sink", schema).select(F.lit(name).alias("fuente"), "clave") for name in drops]
     both = rows[0].unionByName(rows[1])
     return both.join(states, F.col("fuente") == F.col("de")).select("fuente", "clave", "estado")
+
+
+@query("cost_by_occurrence")
+def _cost_by_occurrence(spark, folder):
+    """Sales lines with the cost of the movement that is the same occurrence of their key; some sides lack a partner."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    code, quantity = (F.col("l_partkey") % 50).cast("string"), F.col("l_quantity") / 2
+    sold = lines.where("l_orderkey % 4 <> 0").select(
+        place.alias("venta"), F.concat_ws("-", "l_returnflag", "l_linenumber").alias("Factura"), code.alias("Codigo"), quantity.alias("Cant")
+    )
+    moved = lines.where("l_orderkey % 3 <> 0").select(
+        place.alias("movimiento"),
+        F.col("l_returnflag").alias("Serie"),
+        F.col("l_linenumber").alias("NroDoc"),
+        code.alias("Código"),
+        quantity.alias("Cantidad"),
+        F.col("l_extendedprice").alias("costo"),
+    )
+    left = sheets.inventory_key_sales(sold, first="venta").withColumnRenamed("Clave_Inventario", "clave")
+    right = sheets.inventory_key_movement(moved, first="movimiento").withColumnRenamed("Clave_Inventario", "clave")
+    found = match_occurrences(left, right, "clave", ["venta"], ["movimiento", "costo"], ["venta"], ["movimiento", "costo"])
+    return found.withColumns({c: F.col(c).cast("string") for c in ("venta", "movimiento")})
+
+
+@query("page_from_index")
+def _page_from_index(spark, folder):
+    """The third page of the product list from its order index."""
+    index = OrderIndex(spark, scratch(spark, "product-pages"))
+    order = [F.desc("venta_neta"), F.asc("producto"), F.asc("marca_producto"), F.asc("nombre_tipo_bebida")]
+    index.write(products.productos_detalle(sales_table(spark, folder)), order, block_rows=128)
+    return index.page(3, 100)
+
+
+@query("search_from_index")
+def _search_from_index(spark, folder):
+    """Products with a text in their name or brand, from the substring index."""
+    index = SubstringIndex(spark, scratch(spark, "product-search"), ["producto", "marca_producto"])
+    index.write(products.productos_detalle(sales_table(spark, folder)))
+    return index.search("BRAND#1").unionByName(index.search("Widget")).distinct()
