@@ -4,9 +4,11 @@ Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends and in
 of one language. Chunks are dealt into ``shards``. A phrase with ``least`` occurrences in a language has, in at least one
 shard, its proportional part of them (``least`` x words of the shard / words of the language, rounded up). So:
 
-1. Every shard is mined completely: the phrases of each chunk travel as 64-bit hashes with their counts, in packed
-   rows, to the bucket of their hash, where they are summed by shard and held against the shard's own support.
-2. What is frequent in any shard is the union; each bucket answers every chunk with those of its hashes that are in it.
+1. Every shard is mined completely: the phrases of each chunk travel as hashes with their counts, in packed rows, to
+   the bucket of their hash (32 bits of it remain there), where they are summed by shard and held against the shard's
+   own support.
+2. What is frequent in any shard is the union; each bucket answers every chunk with those of its hashes that are in it
+   and whose sum over all shards reaches ``least``.
 3. The chunks count these phrases by their words, and Spark adds up: exact counts, whatever the hashes did. A clash can
    only make a further candidate, never lose one.
 
@@ -147,59 +149,74 @@ class Words:
             yield at, mixed[at]
 
 
-def packed_hashes(data: bytes, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different hashes of a chunk's phrases, rising, and how often each occurs."""
-    found = [np.unique(h, return_counts=True) for _, h in Words(data).hashes(longest)]
-    hashes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], counts[order].astype(np.uint32)
+def keys_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket << 32 | code: the upper half of a hash gives the bucket, the lower half is the code inside it."""
+    low, high = np.uint64(0xFFFFFFFF), np.uint64(32)
+    return ((hashes >> high) * np.uint64(buckets) >> high << high) | (hashes & low)
+
+
+def packed_keys(data: bytes, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of a chunk's phrases, rising, and how often each occurs."""
+    every = np.concatenate([h for _, h in Words(data).hashes(longest)])
+    keys, counts = np.unique(keys_of(every, buckets), return_counts=True)
+    return keys, counts.astype(np.uint32)
 
 
 def mined(chunks: DataFrame, longest: int) -> DataFrame:
-    """``lang``, ``bucket``, ``shard``, ``support``, ``chunk``, ``hashes``, ``counts``: packed rows of every chunk."""
+    """``lang``, ``bucket``, ``shard``, ``support``, ``chunk``, ``codes``, ``counts``: packed rows of every chunk."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                hashes, counts = packed_hashes(batch.column("data")[row].as_py(), longest)
                 buckets = batch.column("buckets")[row].as_py()
-                edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
-                begin = np.searchsorted(hashes, edges).tolist()
-                ranges = [(b, x, y) for b, (x, y) in enumerate(zip(begin, [*begin[1:], len(hashes)], strict=True)) if x < y]
+                keys, counts = packed_keys(batch.column("data")[row].as_py(), longest, buckets)
+                begin = np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) << np.uint64(32)).tolist()
+                ranges = [(b, x, y) for b, (x, y) in enumerate(zip(begin, [*begin[1:], len(keys)], strict=True)) if x < y]
                 if not ranges:
                     continue
+                codes = keys.astype(np.uint32)
                 same = batch.select(["lang", "shard", "support", "chunk"]).take(pa.array([row] * len(ranges)))
                 columns = [
                     pa.array([b for b, _, _ in ranges], pa.int64()),
-                    pa.array([hashes[x:y].tobytes() for _, x, y in ranges], pa.binary()),
+                    pa.array([codes[x:y].tobytes() for _, x, y in ranges], pa.binary()),
                     pa.array([counts[x:y].tobytes() for _, x, y in ranges], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays([*same.columns, *columns], [*same.schema.names, "bucket", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([*same.columns, *columns], [*same.schema.names, "bucket", "codes", "counts"])
 
-    schema = "lang string, shard int, support bigint, chunk bigint, bucket bigint, hashes binary, counts binary"
+    schema = "lang string, shard int, support bigint, chunk bigint, bucket bigint, codes binary, counts binary"
     return chunks.mapInArrow(mine, schema)
 
 
-def locally_frequent(rows: DataFrame) -> DataFrame:
-    """``chunk``, ``found``: of each chunk's hashes those that reach the support of any shard."""
+def locally_frequent(rows: DataFrame, least: int) -> DataFrame:
+    """``chunk``, ``bucket``, ``found``: of each chunk's codes those that reach the support of any shard.
+
+    A bucket sees the counts of all shards; what stays below ``least`` in their sum is no candidate either.
+    """
 
     def find(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        codes = [np.frombuffer(x, np.uint32) for x in table.column("codes").to_pylist()]
         counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
         shard, support = table.column("shard").to_numpy(), table.column("support").to_numpy()
+
+        def summed(own: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            c, n = np.concatenate([codes[k] for k in own]), np.concatenate([counts[k] for k in own])
+            order = np.argsort(c, kind="stable")
+            c, n = c[order], n[order]
+            first = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
+            return c[first], np.add.reduceat(n.astype(np.int64), first)
+
         union = []
         for number in np.unique(shard).tolist():
             own = np.flatnonzero(shard == number).tolist()
-            h, n = np.concatenate([hashes[k] for k in own]), np.concatenate([counts[k] for k in own])
-            order = np.argsort(h)
-            h, n = h[order], n[order]
-            first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-            union.append(h[first][np.add.reduceat(n.astype(np.int64), first) >= support[own[0]]])
-        union = np.unique(np.concatenate(union))
-        found = [own[_among(own, union)].tobytes() for own in hashes]
-        return pa.table({"chunk": table.column("chunk"), "found": pa.array(found, pa.binary())}).filter(pc.greater(pc.binary_length(pa.array(found, pa.binary())), 0))
+            c, n = summed(own)
+            union.append(c[n >= support[own[0]]])
+        c, n = summed(range(len(codes)))
+        wanted = np.intersect1d(np.concatenate(union), c[n >= least])
+        found = pa.array([own[_among(own, wanted)].tobytes() for own in codes], pa.binary())
+        answers = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "found": found})
+        return answers.filter(pc.greater(pc.binary_length(found), 0))
 
-    return rows.groupBy("lang", "bucket").applyInArrow(find, "chunk bigint, found binary")
+    return rows.groupBy("lang", "bucket").applyInArrow(find, "chunk bigint, bucket bigint, found binary")
 
 
 def _among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
@@ -216,11 +233,12 @@ def counted(chunks: DataFrame, answers: DataFrame, longest: int) -> DataFrame:
         empty = pa.table({"lang": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "phrase": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
         if not own.num_rows or not found.num_rows:
             return empty
-        wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in found.column("found").to_pylist()]))
-        chunk = Words(own.column("data")[0].as_py())
+        pairs = zip(found.column("bucket").to_pylist(), found.column("found").to_pylist(), strict=True)
+        wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in pairs]))
+        chunk, buckets = Words(own.column("data")[0].as_py()), own.column("buckets")[0].as_py()
         words, tables = pa.array(chunk.words, pa.binary()), []
         for m, (at, hashes) in enumerate(chunk.hashes(longest), start=1):
-            at = at[_among(hashes, wanted)]
+            at = at[_among(keys_of(hashes, buckets), wanted)]
             if not len(at):
                 continue
             # Numbers of the phrases, exact: those of one word less and the next word make the next.
@@ -237,7 +255,7 @@ def counted(chunks: DataFrame, answers: DataFrame, longest: int) -> DataFrame:
         lang = pa.array([own.column("lang")[0].as_py()] * table.num_rows, pa.string())
         return table.add_column(0, "lang", lang)
 
-    both = chunks.select("chunk", "lang", "data").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    both = chunks.select("chunk", "lang", "buckets", "data").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     found = both.applyInArrow(count, "lang string, size int, phrase string, n bigint")
     return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
@@ -258,8 +276,8 @@ def frequent_phrases(
     )
     sizes = stored(sizes, "shards")
     known = chunks.join(sizes, (F.col("lang") == F.col("of")) & (F.col("shard") == F.col("of_shard")))
-    answers = locally_frequent(mined(known.select("chunk", "lang", "shard", "support", "buckets", "data"), longest))
-    found = counted(chunks, answers, longest).where(F.col("n") >= least)
+    answers = locally_frequent(mined(known.select("chunk", "lang", "shard", "support", "buckets", "data"), longest), least)
+    found = counted(known, answers, longest).where(F.col("n") >= least)
     totals = sizes.select(F.col("of").alias("lang"), F.col("all").alias("words")).distinct()
     return stored(found, "phrases"), totals
 
