@@ -35,12 +35,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_LENGTH - 4))
 HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LENGTH)
 
 WORDS_OF_ASSIGN = ("passw", "secret", "token", "api")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+LINE_END = re.compile(r"\\r|\\n|\s*\n")  # also as it is written inside a string of JSON or source code
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){30,}(?![0-9A-Fa-f])")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 OPENSSH_MAGIC = b"openssh-key-v1\0"
+# How the object identifiers of password-based encryption (PKCS#5, PKCS#12) begin.
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 INTEGER, BIT_STRING, OCTET_STRING, OBJECT_ID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 
 
@@ -79,14 +82,22 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_private_key(data: bytes) -> bool:
-    """A DER sequence with nested lengths that add up, shaped as an RSA, EC or PKCS#8 private key."""
+    """A DER sequence with nested lengths that add up, shaped as an RSA, DSA, EC or PKCS#8 private key, plain or encrypted."""
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
         return False
     parts = der_items(outer[0][1])
-    if not parts or parts[0][0] != INTEGER or len(parts[0][1]) != 1:
+    if not parts:
         return False
     tags = [tag for tag, _ in parts]
+    if tags == [SEQUENCE, OCTET_STRING]:
+        algorithm = der_items(parts[0][1])
+        return bool(algorithm) and algorithm[0][0] == OBJECT_ID and algorithm[0][1].startswith(PASSWORD_BASED) and len(parts[1][1]) >= 16
+    if parts[0][0] != INTEGER or len(parts[0][1]) != 1:
+        return False
+    if tags == [INTEGER] * 6 and parts[0][1] == b"\0":
+        # DSA: version, the primes p and q, generator, public and private number.
+        return len(parts[1][1]) >= 64 and 16 <= len(parts[2][1]) <= 40 and all(len(content) for _, content in parts)
     if len(parts) >= 9 and tags[:9] == [INTEGER] * 9 and parts[0][1] in (b"\0", b"\1"):
         return all(len(content) for _, content in parts)
     if tags[:2] == [INTEGER, OCTET_STRING] and parts[0][1] == b"\1":
@@ -124,6 +135,35 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_private_key(data) or is_openssh_key(data))
 
 
+def pem_key(body: str) -> bool:
+    """Whether the text between the two PEM lines is a key: a key encoding, or what its header lines say is encrypted.
+
+    An encrypted body has no structure of its own; it must be whole blocks of the cipher, as long as the initial vector
+    in ``DEK-Info``.
+    """
+    lines, headers = [line.strip() for line in LINE_END.sub("\n", body).split("\n")], {}
+    while lines and (not lines[0] or ":" in lines[0]):
+        name, _, value = lines.pop(0).partition(":")
+        headers[name] = value.strip()
+    data = from_base64("".join(lines))
+    if not headers.get("Proc-Type", "").endswith("ENCRYPTED"):
+        return is_key(data)
+    _, _, vector = headers.get("DEK-Info", "").partition(",")
+    if not re.fullmatch("(?:[0-9A-Fa-f]{2}){8}|(?:[0-9A-Fa-f]{2}){16}", vector):
+        return False
+    return bool(data) and len(data) >= 32 and len(data) % (len(vector) // 2) == 0
+
+
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the PEM blocks of private keys; the next dashes behind a first line must be its last line."""
+    found = []
+    for m in PEM.finditer(text):
+        last, begin = f"-----END {m[1]}-----", text.find("-----", m.end())
+        if begin >= 0 and text.startswith(last, begin) and pem_key(text[m.end() : begin]):
+            found.append((m.start(), begin + len(last)))
+    return found
+
+
 def is_token_header(text: str) -> bool:
     """Base64 of a JSON object that names a signing algorithm."""
     data = from_base64(text)
@@ -150,7 +190,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 4, m.end()) for m in HEX_KEY.finditer(text) if is_key(bytes.fromhex(m[0]))]
         spans += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token_header(m[1])]
     if "PRIVATE KEY-----" in text:
-        spans += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if is_key(from_base64(m[2]))]
+        spans += [(start, 3, end) for start, end in pem_spans(text)]
     return sorted(set(spans))
 
 

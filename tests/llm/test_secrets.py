@@ -69,6 +69,43 @@ def test_keys_are_parsed_before_they_are_reported():
     assert kinds("see " + base64.b64encode(b"just some words that are long enough to look like it").decode()) == []
 
 
+PBES2 = bytes.fromhex("2a864886f70d01050d")
+ENCRYPTED = der(0x30, der(0x30, der(6, PBES2) + der(0x30, der(4, b"salt" * 4))) + der(4, bytes(range(96))))
+DSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([7] * n)) for n in (129, 21, 128, 128, 20)))
+
+
+def pem(name: str, data: bytes, end: str = "\n", headers: str = "") -> str:
+    body = base64.b64encode(data).decode()
+    lines = [f"-----BEGIN {name}-----", *headers.split("\n"), *(body[k : k + 64] for k in range(0, len(body), 64)), f"-----END {name}-----"]
+    return end.join(lines if headers else [x for x in lines if x])
+
+
+def test_encrypted_and_dsa_keys():
+    for key in (ENCRYPTED, DSA):
+        body = base64.b64encode(key).decode()
+        assert kinds(f"see {body} here") == ["key"]
+        assert kinds("see " + base64.b64encode(key[:-2]).decode() + " here") == []
+    other = der(0x30, der(0x30, der(6, b"\x55\x04\x03") + der(5, b"")) + der(4, bytes(96)))
+    assert kinds("see " + base64.b64encode(other).decode()) == []
+    for name, key in (("ENCRYPTED PRIVATE KEY", ENCRYPTED), ("DSA PRIVATE KEY", DSA), ("RSA PRIVATE KEY", RSA)):
+        for end in ("\n", "\r\n", "\\n", "\\r\\n"):
+            text = '{"key": "' + pem(name, key, end) + '"}'
+            spans = [(a, b) for a, k, b in find_spans(text) if k == 3]
+            assert spans == [(9, len(text) - 2)]
+        assert "pem" not in kinds(pem(name, key[:-3]))
+        assert "pem" not in kinds(pem(name, key).replace(f"END {name}", "END PRIVATE"))
+
+
+def test_pem_with_header_lines():
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n"
+    secret = bytes(k * 37 % 251 for k in range(160))
+    for end in ("\n", "\\n"):
+        assert kinds(pem("RSA PRIVATE KEY", secret, end, headers)).count("pem") == 1
+    assert "pem" not in kinds(pem("RSA PRIVATE KEY", secret[:-1], "\n", headers))
+    assert "pem" not in kinds(pem("RSA PRIVATE KEY", secret, "\n", headers.replace("0A" * 16, "none")))
+    assert kinds(pem("RSA PRIVATE KEY", RSA, "\n", "Comment: mine\n")).count("pem") == 1
+
+
 def test_openssh_container():
     field = lambda b: len(b).to_bytes(4, "big") + b
     blob = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"s" * 90)
