@@ -388,9 +388,9 @@ def analisis_clientes_wide(sales: DataFrame, as_of: Day = None, cfg: Settings =
     )
 
 
-def clientes_detalle(sales: DataFrame) -> DataFrame:
+def clientes_detalle(sales: DataFrame, anno: int | None = None) -> DataFrame:
     """First and last month, orders, active months, money and margin per customer."""
-    return sales.groupBy("cliente").agg(
+    return in_year(sales, anno).groupBy("cliente").agg(
         F.min(month_start()).alias("primera_compra"),
         F.max(month_start()).alias("ultima_compra"),
         F.count_distinct("cod_venta").alias("frecuencia"),

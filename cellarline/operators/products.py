@@ -54,9 +54,9 @@ def dim_marca(sales: DataFrame, anno: int | None = None, limit: int | None = Non
     return first_rows(by_brand.orderBy(F.desc("venta_neta"), "marca_producto"), limit)
 
 
-def margen_marca(sales: DataFrame, limit: int | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
+def margen_marca(sales: DataFrame, limit: int | None = None, cfg: Settings = DEFAULTS, anno: int | None = None) -> DataFrame:
     """Brands above a revenue limit by margin %: all of them, or the first ``limit``."""
-    by_brand = sales.groupBy("marca_producto").agg(
+    by_brand = in_year(sales, anno).groupBy("marca_producto").agg(
         _margin_pct().alias("margen_pct"),
         money_sum(SALE).alias("venta_neta"),
         F.sum("cantidad").alias("unidades"),
@@ -270,9 +270,9 @@ def marcas_all(sales: DataFrame, anno: int | None = None) -> DataFrame:
     return _shares(stats.agg(money_sum(SALE).alias("venta_neta")), "marca")
 
 
-def productos_detalle(sales: DataFrame) -> DataFrame:
+def productos_detalle(sales: DataFrame, anno: int | None = None) -> DataFrame:
     """(product, type, brand) with units, revenue, margin and margin %."""
-    return sales.groupBy("producto", "nombre_tipo_bebida", "marca_producto").agg(
+    return in_year(sales, anno).groupBy("producto", "nombre_tipo_bebida", "marca_producto").agg(
         F.sum("cantidad").alias("unidades"),
         money_sum(SALE).alias("venta_neta"),
         money_sum(MARGIN).alias("margen"),

@@ -632,8 +632,17 @@ def all_sql() -> dict[str, str]:
     def first(name: str, order: str, limit: int) -> str:
         return f"SELECT * FROM ({every[name]}) ORDER BY {order} LIMIT {limit}"
 
+    def in_year(sql: str) -> str:
+        """The same over the lines of one year."""
+        whole = SALES.replace("sales AS (", "sales_all AS (", 1)
+        return sql.replace(SALES, f"{whole},\nsales AS (SELECT * FROM sales_all WHERE anno = {YEAR})", 1)
+
+    lists = ("dim_pais", "dim_tipo", "productos_detalle", "clientes_detalle")
     return {
         **every,
+        **{f"{name}_year": in_year(every[name]) for name in lists},
+        "dim_marca_year": in_year(every["dim_marca_all"]),
+        "margen_marca_year": in_year(every["margen_marca_all"]),
         "dim_marca": first("dim_marca_all", "venta_neta DESC, marca_producto", CFG.brand_limit),
         "margen_marca": first("margen_marca_all", "margen_pct DESC, marca_producto", CFG.brand_limit),
         "margen_marca_anno_all": every["margen_marca_anno"],

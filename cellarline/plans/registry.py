@@ -179,6 +179,15 @@ on_fact(
     False,
 )
 
+# Lists with a year chosen
+
+on_fact("dim_pais_year", products.dim_pais, False, YEAR)
+on_fact("dim_tipo_year", products.dim_tipo, False, YEAR)
+on_fact("dim_marca_year", products.dim_marca, False, YEAR)
+on_fact("margen_marca_year", products.margen_marca, False, cfg=CFG, anno=YEAR)
+on_fact("productos_detalle_year", products.productos_detalle, False, YEAR)
+on_fact("clientes_detalle_year", customers.clientes_detalle, False, YEAR)
+
 # Finance
 
 on_ledger("fin_balance", finance.fin_balance, YEAR)
