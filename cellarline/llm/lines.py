@@ -10,6 +10,10 @@ with equal sets are one before the join, named by a 64-bit hash of the set. Sets
 pairs pass the length and positional filters and one on 64-bit signatures, which no similar pair fails. Only then are
 the tokens of both sides fetched and the similarity is checked on integers.
 
+One earlier match settles a line. So each set first meets the earliest set of each of its prefix tokens, which is linear
+in the postings and settles all but a few members of a group of like lines; the join of all sets leaves out the pairs
+of settled ones.
+
 Null and empty texts have no lines to compare and come back as they are. Rows with a null id keep all lines and take
 none away. Rows that repeat an id share their places, and the later line of two with one place is not removed for it.
 """
@@ -21,9 +25,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellarline.llm.common import doc_texts, stored
+from cellarline.llm.common import doc_texts, free_name, stored
 
-BLANKS = r"[\x20\x09-\x0D]"
+#: Blanks that are not the one that words are split at; a line feed ends a line.
+OTHER_BLANKS = "\t\x0b\f\r"
 #: Places of the table of token counts, a rank of 7 bits each, and the bits of a token's hash behind its rank in a key.
 PLACES = 1 << 16
 HASH_BITS = 56
@@ -36,10 +41,16 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.where("id IS NOT NULL").select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def words_of(line: Column) -> Column:
+    """The line cut at blanks, with empty words. Splitting at one character is much faster than at a class of them."""
+    plain = F.when(line.rlike(f"[{OTHER_BLANKS}]"), F.translate(line, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(line)
+    return F.split(plain, " ")
+
+
 def token_set(line: Column) -> Column:
-    """Sorted hashes of the line's distinct tokens."""
-    hashes = F.transform(F.split(line, BLANKS), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))))
+    """Hashes of the line's distinct tokens."""
+    hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
 def rarity_ranks(docs: DataFrame) -> Column:
@@ -47,7 +58,8 @@ def rarity_ranks(docs: DataFrame) -> Column:
 
     All words are counted by Spark; the driver gets one row for each of the PLACES.
     """
-    words = docs.where("id IS NOT NULL").select(F.explode(F.split("text", BLANKS)).alias("w")).where("w <> ''")
+    lines = docs.where("id IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode(words_of(F.col("line"))).alias("w")).where("w <> ''")
     place = F.pmod(F.xxhash64("w"), F.lit(PLACES)).alias("place")
     counts = words.groupBy(place).agg(F.count("*").alias("n")).collect()
     mean = max(1.0, sum(row["n"] for row in counts) / PLACES)
@@ -81,41 +93,59 @@ def wide_signature(tokens: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(WIDE - 1).cast("long")), lambda w: signature(own(w)))
 
 
-def with_prefix(sets: DataFrame, ranks: Column, permille: int) -> DataFrame:
-    """``sets`` with ``prefix`` and ``sig`` in place of the tokens."""
+def with_prefix(lines: DataFrame, ranks: Column, permille: int) -> DataFrame:
+    """``k`` (names the set), ``size``, ``sig`` and ``prefix`` in place of the ``tokens``."""
+    size = F.size("tokens").cast("long")
+    ordered = lines.withColumn("size", size).where("size > 0").withColumn("ordered", by_rarity(F.col("tokens"), ranks))
     prefix_end = F.expr(f"cast(size - ({permille} * size + 999) div 1000 + 1 as int)")
     # 31 bits of the hash do for meeting: who meets by chance fails the check.
     short = lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    prefix = F.transform(F.slice(by_rarity(F.col("tokens"), ranks), 1, prefix_end), short)
-    return sets.withColumn("prefix", prefix).withColumn("sig", signature(F.col("tokens"))).drop("tokens")
-
-
-def candidates(lines: DataFrame, permille: int) -> DataFrame:
-    """Pairs ``k``, ``k2`` of sets that share a prefix token and pass the length, positional and signature filters."""
-    sets = lines.groupBy("k").agg(*[F.first(c).alias(c) for c in ("size", "sig", "prefix")])
-    posts = sets.select(F.posexplode("prefix").alias("at", "token"), "k", "size", "sig")
-    a, b = posts.alias("a"), posts.alias("b")
-    least = F.expr(f"({permille} * (a.size + b.size) + {999 + permille}) div {1000 + permille}")
-    rest = F.least(F.expr("a.size - a.at"), F.expr("b.size - b.at"))
-    meet = (
-        (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.k") < F.col("b.k"))
-        & F.expr(f"1000 * a.size >= {permille} * b.size AND 1000 * b.size >= {permille} * a.size")
-        & (rest >= least)
-        & (F.expr("bit_count(a.sig ^ b.sig)") <= F.expr("a.size + b.size") - 2 * least)
+    return ordered.select(
+        *[c for c in lines.columns if c != "tokens"],
+        F.xxhash64("ordered").alias("k"),
+        "size",
+        signature(F.col("tokens")).alias("sig"),
+        F.transform(F.slice("ordered", 1, prefix_end), short).alias("prefix"),
     )
+
+
+def may_be_similar(permille: int, a: str, b: str) -> Column:
+    """The length, positional and signature filters on two postings."""
+    least = F.expr(f"({permille} * ({a}.size + {b}.size) + {999 + permille}) div {1000 + permille}")
+    rest = F.least(F.expr(f"{a}.size - {a}.at"), F.expr(f"{b}.size - {b}.at"))
+    length = F.expr(f"1000 * {a}.size >= {permille} * {b}.size AND 1000 * {b}.size >= {permille} * {a}.size")
+    return length & (rest >= least) & (F.expr(f"bit_count({a}.sig ^ {b}.sig)") <= F.expr(f"{a}.size + {b}.size") - 2 * least)
+
+
+def hub_pairs(posts: DataFrame, permille: int) -> DataFrame:
+    """Pairs ``k``, ``k2``: each set beside the first set of each of its prefix tokens. Linear in the postings."""
+    hubs = posts.groupBy(F.col("token").alias("of")).agg(F.min(F.struct("k", "size", "sig", "at")).alias("h")).select("of", "h.*").alias("h")
+    meet = (F.col("m.token") == F.col("h.of")) & (F.col("m.k") != F.col("h.k")) & may_be_similar(permille, "m", "h")
+    return posts.alias("m").join(hubs, meet).select(F.col("h.k").alias("k"), F.col("m.k").alias("k2")).distinct()
+
+
+def open_pairs(posts: DataFrame, permille: int) -> DataFrame:
+    """Pairs ``k``, ``k2`` (with ``apart``) of sets that share a prefix token and pass the filters; the later one is ``open``."""
+    a, b = posts.alias("a"), posts.where("open").alias("b")
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.k") < F.col("b.k"))
     apart = F.expr("bit_count(a.sig ^ b.sig)").alias("apart")
-    return a.join(b, meet).select(F.col("a.k").alias("k"), F.col("b.k").alias("k2"), apart).distinct()
+    return a.join(b, meet & may_be_similar(permille, "a", "b")).select(F.col("a.k").alias("k"), F.col("b.k").alias("k2"), apart).distinct()
+
 
+def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``k``, ``tokens`` of the ``wanted`` sets (``k``, and ``id``, ``line_no``, ``lh`` of the first line that has it).
 
-def tokens_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``k``, ``tokens`` of the ``wanted`` sets: from a pass over all lines, or from the documents that first had them."""
+    The lines are found by their hash, from a pass over all lines that cuts up only those, or in the documents.
+    """
     if wanted.count() <= BROADCAST_SETS:
-        return sets.join(F.broadcast(wanted), "k", "left_semi").select("k", "tokens").dropDuplicates(["k"])
-    placed = wanted.join(firsts, "k").groupBy(F.col("id").alias("wid")).agg(F.collect_set("line_no").alias("wanted"))
-    line = F.explode(F.transform("wanted", lambda n: F.get(F.split("text", "\n"), n)))
-    found = docs.join(placed, F.col("id") == F.col("wid")).select(line.alias("line")).select(token_set(F.col("line")).alias("tokens"))
-    return found.select(F.xxhash64("tokens").alias("k"), "tokens").dropDuplicates(["k"])
+        hashes = F.broadcast(wanted.select("k", F.col("lh").alias("of")))
+        lines = exploded(docs).select("line").join(hashes, F.xxhash64("line") == F.col("of"))
+        found = lines.groupBy("k").agg(F.first("line").alias("line"))
+        return found.select("k", token_set(F.col("line")).alias("tokens"))
+    placed = wanted.groupBy(F.col("id").alias("wid")).agg(F.collect_list(F.struct("line_no", "k", "lh")).alias("wanted"))
+    line = F.explode(F.transform("wanted", lambda w: F.struct(w["k"].alias("k"), w["lh"].alias("lh"), F.get(F.split("text", "\n"), w["line_no"]).alias("line"))))
+    found = docs.join(placed, F.col("id") == F.col("wid")).select(line.alias("l")).select("l.*").where(F.xxhash64("line") == F.col("lh"))
+    return found.select("k", token_set(F.col("line")).alias("tokens")).dropDuplicates(["k"])
 
 
 def close_enough(pairs: DataFrame, wide: DataFrame, permille: int) -> DataFrame:
@@ -140,58 +170,65 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     permille = round(similarity * 1000)
     if not 0 < permille <= 1000:
         raise ValueError("similarity is above 0 and at most 1")
-    ranks = rarity_ranks(docs)
     keyed = exploded(docs).select("id", "line_no", F.xxhash64("line").alias("lh"), token_set(F.col("line")).alias("tokens"))
-    size = F.size("tokens").cast("long").alias("size")
-    sets = keyed.select("id", "line_no", "lh", F.xxhash64("tokens").alias("k"), size, "tokens").where("size > 0")
-
-    lines = stored(with_prefix(sets, ranks, permille), "lines")
-    place = F.min(F.struct("id", "line_no")).alias("place")
-    firsts = stored(lines.groupBy("k").agg(place).select("k", "place.id", "place.line_no"), "first-lines")
-    pairs = stored(candidates(lines, permille), "line-pairs")
-
-    first, second = firsts.alias("f"), firsts.withColumnsRenamed({"k": "g", "id": "id2", "line_no": "line2"})
-    # Both ends with their places, the later one as ``k2``.
-    placed = pairs.join(first, "k").join(second, F.col("k2") == F.col("g")).drop("g")
-    swap = F.struct("id2", "line2") < F.struct("id", "line_no")
-    placed = stored(placed.select(
-        F.when(swap, F.col("k2")).otherwise(F.col("k")).alias("k"),
-        F.when(swap, F.col("k")).otherwise(F.col("k2")).alias("k2"),
-        "apart",
-    ), "placed-pairs")
-    wanted = stored(placed.select("k").union(placed.select("k2")).distinct(), "wanted-sets")
-    fetched = stored(tokens_of(docs, sets, wanted, firsts), "line-sets")
+    lines = stored(with_prefix(keyed, rarity_ranks(docs), permille), "lines")
+    first = F.min(F.struct("id", "line_no", "lh")).alias("first")
+    sets = lines.groupBy("k").agg(first, *[F.first(c).alias(c) for c in ("size", "sig", "prefix")])
+    # From here on a set is named by a number that grows with the place of its first line.
+    sets = sets.select(F.col("k").alias("set"), "first.*", "size", "sig", "prefix").orderBy("id", "line_no")
+    sets = stored(sets.withColumn("k", F.monotonically_increasing_id()), "line-sets")
+    firsts = sets.select("k", "id", "line_no", "lh")
+    posting = ("k", "size", "sig", F.posexplode("prefix").alias("at", "token"))
+
+    def fetched(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = stored(pairs.select("k").union(pairs.select("k2")).distinct().join(firsts, "k"), f"{name}-wanted")
+        return stored(tokens_of(docs, wanted), f"{name}-tokens")
+
+    # First every set beside the first one of each of its tokens: what matches there needs no other match, so a group of
+    # thousands of like lines is settled by as many pairs as it has members, and not by all pairs.
+    near_hubs = stored(hub_pairs(sets.select(*posting), permille), "hub-pairs")
+    at_hubs = stored(alike(near_hubs, fetched(near_hubs, "hubs"), permille), "matched-at-hubs")
+
+    # What is settled stays as the earlier line of others.
+    settled = sets.join(at_hubs.withColumnRenamed("k2", "done"), F.col("k") == F.col("done"), "left")
+    pairs = open_pairs(settled.select(*posting, F.col("done").isNull().alias("open")), permille)
+    pairs = stored(pairs, "line-pairs")
+    tokens = fetched(pairs, "pairs")
     # One earlier match is enough: the likeliest is looked at first, the others only where it fails.
-    likeliest = placed.groupBy("k2").agg(F.min(F.struct("apart", "k")).alias("m")).select("m.k", "k2")
-    at_once = stored(alike(likeliest, fetched, permille), "matched-lines")
-    wide = stored(fetched.select("k", F.size("tokens").cast("long").alias("n"), wide_signature(F.col("tokens")).alias("w")), "wide")
-    left = stored(close_enough(placed.select("k", "k2").join(at_once, "k2", "left_anti"), wide, permille), "left-pairs")
-    later_on = alike(left, fetched, permille)
-    matched = at_once.union(later_on).withColumn("matched", F.lit(True))
-    fate = stored(firsts.join(matched, F.col("k") == F.col("k2"), "left").select("k", "id", "line_no", F.coalesce("matched", F.lit(False)).alias("matched")), "line-fate")
+    likeliest = pairs.groupBy("k2").agg(F.min(F.struct("apart", "k")).alias("m")).select("m.k", "k2")
+    at_once = stored(alike(likeliest, tokens, permille), "matched-lines")
+    wide = stored(tokens.select("k", F.size("tokens").cast("long").alias("n"), wide_signature(F.col("tokens")).alias("w")), "wide")
+    left = stored(close_enough(pairs.select("k", "k2").join(at_once, "k2", "left_anti"), wide, permille), "left-pairs")
+    matched = at_hubs.union(at_once).union(alike(left, tokens, permille)).select(F.col("k2").alias("of"), F.lit(True).alias("matched"))
+    fate = sets.select("set", "k", "id", "line_no").join(matched, F.col("k") == F.col("of"), "left")
+    fate = stored(fate.select(F.col("set").alias("k"), "id", "line_no", F.coalesce("matched", F.lit(False)).alias("matched")), "line-fate")
     fate = fate.select(F.col("k").alias("g"), F.col("id").alias("id1"), F.col("line_no").alias("line1"), "matched")
     later = F.struct("id", "line_no") > F.struct("id1", "line1")
     return lines.select("id", "line_no", "lh", "k").join(fate, F.col("k") == F.col("g")).where(F.col("matched") | later).select("id", "line_no", "lh")
 
 
 def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines taken out of its text, and the columns ``_lines`` and ``_lines_removed``."""
+    """``docs`` with the repeated lines taken out of its text, and the columns ``_lines`` and ``_lines_removed``.
+
+    A column of the documents that has one of these names stays; the new one gets an underscore more.
+    """
     texts = doc_texts(docs, id_col, text_col)
-    gone = removed_lines(texts, similarity)
+    found = removed_lines(texts, similarity)
+    count, removed_count = (free_name(docs.columns, name) for name in ("_lines", "_lines_removed"))
+    gone, gone_id = (free_name([*docs.columns, count, removed_count], name) for name in ("_gone", "_gone_id"))
     # As many as a document has lines.
-    by_doc = stored(gone.groupBy("id").agg(F.collect_set(F.struct("line_no", "lh")).alias("_gone")), "removed-lines")
-    by_doc = by_doc.withColumnRenamed("id", "_gone_id")
+    by_doc = stored(found.groupBy(F.col("id").alias(gone_id)).agg(F.collect_set(F.struct("line_no", "lh")).alias(gone)), "removed-lines")
     lines = F.split(F.col(f"`{text_col}`"), "\n")
-    joined = docs.join(by_doc, F.col(f"`{id_col}`") == F.col("_gone_id"), "left")
+    joined = docs.join(by_doc, F.col(f"`{id_col}`") == F.col(gone_id), "left")
     numbered = F.transform(lines, lambda line, n: F.struct(n.alias("line_no"), F.xxhash64(line).alias("lh")))
-    stay = F.filter(lines, lambda line, n: ~F.array_contains("_gone", F.struct(n.alias("line_no"), F.xxhash64(line).alias("lh"))))
-    removed = F.size(F.filter(numbered, lambda x: F.array_contains("_gone", x)))
+    stay = F.filter(lines, lambda line, n: ~F.array_contains(gone, F.struct(n.alias("line_no"), F.xxhash64(line).alias("lh"))))
+    removed = F.size(F.filter(numbered, lambda x: F.array_contains(gone, x)))
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
-        F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(stay, "\n")).alias(text_col),
-        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(removed).cast("long").alias("_lines_removed"),
-    ).select(*[F.col(f"`{c}`") for c in docs.columns], "_lines", "_lines_removed")
+        F.when(F.col(gone).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(stay, "\n")).alias(text_col),
+        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(count),
+        F.when(F.col(gone).isNull(), 0).otherwise(removed).cast("long").alias(removed_count),
+    ).select(*[F.col(f"`{c}`") for c in docs.columns], count, removed_count)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -61,6 +61,31 @@ def test_lines_by_brute_force(spark, similarity):
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == want
 
 
+def test_group_of_like_lines_is_settled_by_its_hub(spark, monkeypatch):
+    """2,000 near-equal lines: as many pairs as lines, not two million."""
+    rng, base = random.Random(4), prose(1, 60).split(" ")
+    rows = []
+    for k in range(2000):
+        words = list(base)
+        words[rng.randrange(60)] = f"only{k}"
+        rows.append((k, " ".join(words)))
+    seen = {}
+    plain = lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: seen.setdefault(name, plain(df, name)))
+    assert lines.dedup_lines(documents(spark, rows).repartition(4)).where("_lines_removed = 1").count() == 1999
+    assert seen["hub-pairs"].count() <= 4000 and seen["line-pairs"].count() <= 2000
+
+
+def test_clashing_names_stay(spark):
+    docs = documents(spark, [(1, "a b\nc"), (2, "b a")])
+    names = ["_gone", "_gone_id", "_lines", "_lines_removed", "lh", "line_no", "set", "first"]
+    for name in names:
+        docs = docs.withColumn(name, docs["k"])
+    got = lines.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "_lines_", "_lines_removed_"]
+    assert [(r["text"], r["_lines"], r["_lines_removed_"]) for r in got.orderBy("doc_id").collect()] == [("a b\nc", "clash", 0), ("", "clash", 1)]
+
+
 def test_documents_are_joined_where_names_are_too_many(spark, monkeypatch):
     rows = near_lines()
     want = sorted(map(tuple, lines.line_digest(documents(spark, rows)).collect()))
