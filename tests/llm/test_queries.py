@@ -62,6 +62,20 @@ def test_stages_decide(spark):
     assert 30 not in clean and len(clean) == len(rows) - 1
 
 
+def test_stages_keep_columns_and_rows_of_their_own(spark):
+    """Clashing columns stay as they were; rows that repeat an id go with their own text, and one of equal rows stays."""
+    a, b = prose(1, 90), prose(2, 90)
+    rows = [(3, a), (6, a), (6, b), (9, b), (7, prose(4, 90)), (7, prose(4, 90)), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], spark.read.parquet(f"{DATA}/documents.parquet").schema)
+    docs = docs.withColumns({name: F.lit("clash") for name in ("_score", "_row", "_copy", "row", "component", "_gone")})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns
+        assert all(r[name] == "clash" for r in got.collect() for name in ("_score", "_row", "_copy", "row", "component", "_gone"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, a), (3, a), (6, b), (7, prose(4, 90))])
+
+
 def test_empty_tables_go_through(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
