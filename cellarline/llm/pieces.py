@@ -37,7 +37,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Units of the broadcast table, and the most characters of one.
-FREQUENT_UNITS, FREQUENT_CHARS = 1 << 16, 64
+FREQUENT_UNITS, FREQUENT_CHARS = 1 << 17, 64
 #: Most pieces of a model; the piece table is broadcast.
 MOST_PIECES = 1 << 20
 
@@ -203,6 +203,93 @@ def merged_pieces(unit: str, scored: dict[str, float]) -> list[str]:
     return parts
 
 
+class Merges:
+    """The merges of a BPE model as sorted arrays, applied to many short units at once.
+
+    A symbol is a piece or a character of one. Every round merges, in each unit that has a pair which makes a piece, the
+    best one, the leftmost of equals; only the two pairs beside it are looked up again.
+    """
+
+    def __init__(self, model: Model) -> None:
+        chars = sorted({c for piece in model.pieces for c in piece}.difference(model.pieces))
+        first = len(model.texts)
+        self.symbols = {piece: k for piece, (k, _) in model.pieces.items()} | {c: first + k for k, c in enumerate(chars)}
+        self.pieces, self.size = first, first + len(chars)
+        order = {score: rank for rank, score in enumerate(sorted({score for _, score in model.pieces.values()}, reverse=True))}
+        halves = sorted(
+            (self.symbols[piece[:cut]] * self.size + self.symbols[piece[cut:]], order[score], k)
+            for piece, (k, score) in model.pieces.items()
+            for cut in range(1, len(piece))
+            if piece[:cut] in self.symbols and piece[cut:] in self.symbols
+        )
+        self.none = len(order)
+        self.keys = np.array([key for key, _, _ in halves] or [-1], np.int64)
+        self.ranks = np.array([rank for _, rank, _ in halves] or [self.none], np.int32)
+        self.made = np.array([k for _, _, k in halves] or [0], np.int32)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's score, 0 for the best; ``none`` for what is no pair."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], self.none)
+
+    def piece_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair makes; all must be pairs."""
+        return self.made[np.searchsorted(self.keys, left.astype(np.int64) * self.size + right)]
+
+    def apply(self, units: list[str]) -> list[np.ndarray | None]:
+        """Ids of the units' pieces; None for a unit with a character that is no piece, or one that is too long."""
+        out: list[np.ndarray | None] = [None] * len(units)
+        by_width: dict[int, list[int]] = {}
+        for k, unit in enumerate(units):
+            if 0 < len(unit) <= SHORT:
+                by_width.setdefault(len(unit), []).append(k)
+        for width, places in by_width.items():
+            for begin in range(0, len(places), 1 << 15):
+                part = places[begin : begin + (1 << 15)]
+                for k, ids in zip(part, self._merged([units[k] for k in part], width), strict=True):
+                    out[k] = ids
+        return out
+
+    def _merged(self, units: list[str], width: int) -> list[np.ndarray | None]:
+        # One column more than the units are wide, which stays empty. Empty is -2, an unknown character -1.
+        symbols = np.full((len(units), width + 1), -2, np.int32)
+        get = self.symbols.get
+        symbols[:, :-1] = np.fromiter((get(c, -1) for unit in units for c in unit), np.int32, len(units) * width).reshape(-1, width)
+        ranks = self.look_up(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(-1, width).astype(np.int32)
+        rows, done, left = np.arange(len(units)), np.full_like(symbols, -2), width
+        while len(rows):
+            best = ranks.argmin(axis=1)
+            at = np.arange(len(rows))
+            more = ranks[at, best] < self.none
+            if not more.all():
+                done[rows[~more], : left + 1] = symbols[~more]
+                rows, best, symbols, ranks = rows[more], best[more], symbols[more], ranks[more]
+                at = np.arange(len(rows))
+                if not len(rows):
+                    break
+            symbols[at, best] = self.piece_of(symbols[at, best], symbols[at, best + 1])
+            # What stands behind the merged pair moves up by one; each unit has lost one symbol.
+            keep = np.ones(symbols.shape, bool)
+            keep[at, best + 1] = False
+            symbols = symbols[keep].reshape(len(rows), left)
+            keep = keep[:, 1:]
+            ranks = ranks[keep].reshape(len(rows), left - 1)
+            left -= 1
+            if not left:
+                break
+            here = np.minimum(best, left - 1)
+            beside = np.maximum(best - 1, 0)
+            last = best == left
+            ranks[at, here] = np.where(last, ranks[at, here], self.look_up(symbols[at, here], symbols[at, np.minimum(here + 1, left)]))
+            ranks[at, beside] = np.where(best > 0, self.look_up(symbols[at, beside], symbols[at, beside + 1]), ranks[at, beside])
+        counts = (done != -2).sum(axis=1)
+        known = ((done == -2) | ((done >= 0) & (done < self.pieces))).all(axis=1)
+        flat, ends = done[done != -2].astype(np.int32), np.cumsum(counts)
+        return [flat[e - n : e] if ok else None for e, n, ok in zip(ends.tolist(), counts.tolist(), known.tolist(), strict=True)]
+
+
 def rare_ids(unit: str, model: Model) -> list[int]:
     """The same for one unit inside a task: merges by a heap, or the best path over an array."""
     n, pieces = len(unit), model.pieces
@@ -312,17 +399,32 @@ def encode(
         model, table, rare = shared.value, encoded.value, {}
         sizes, tokens, decoded = [], [], []
         texts = batch.column("text").to_pylist()
-        for text in texts:
-            units = units_of(text or "", model)
-            for unit in set(units).difference(rare):
-                ids = table.get(unit)
-                rare[unit] = rare_ids(unit, model) if ids is None else ids
+        merges, ahead = merges_of(shared.value), 0
+        for at, text in enumerate(texts):
+            if at >= ahead:
+                # The new units of the next texts, merged together.
+                chars, new, waiting = 0, set(), []
+                while ahead < len(texts) and chars < AHEAD:
+                    chars += len(texts[ahead] or "")
+                    waiting.append(units_of(texts[ahead] or "", model))
+                    new.update(waiting[-1])
+                    ahead += 1
+                waiting.reverse()
+                if len(rare) > MOST_HELD:
+                    rare.clear()
+                left = []
+                for unit in new.difference(rare):
+                    if (ids := table.get(unit)) is None:
+                        left.append(unit)
+                    else:
+                        rare[unit] = ids
+                for unit, ids in zip(left, merges.apply(left) if merges else [None] * len(left), strict=True):
+                    rare[unit] = rare_ids(unit, model) if ids is None else ids.tolist()
+            units = waiting.pop()
             ids = np.fromiter(chain.from_iterable(map(rare.__getitem__, units)), np.int32)
             tokens.append(ids)
             sizes.append(len(ids))
             decoded.append(None if text is None else decode_ids(ids, model))
-            if len(rare) > MOST_HELD:
-                rare.clear()
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         nulls = pa.array([text is None for text in texts])
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tokens)), mask=nulls)
@@ -332,8 +434,19 @@ def encode(
     return map_batches(texts, step, f"id {kind}, ids array<int>, decoded string")
 
 
-#: Units whose ids a task keeps while it goes through a batch.
-MOST_HELD = 1 << 19
+#: Units whose ids a task keeps while it goes through a batch, and characters of the texts whose new units it merges together.
+MOST_HELD, AHEAD = 1 << 19, 4 << 20
+_merges: dict[int, Merges] = {}
+
+
+def merges_of(model: Model) -> Merges | None:
+    """The merges of a BPE model, laid out once in each worker."""
+    if model.kind != BPE:
+        return None
+    if id(model) not in _merges:
+        _merges.clear()
+        _merges[id(model)] = Merges(model)
+    return _merges[id(model)]
 
 
 def decode_ids(ids: np.ndarray, model: Model) -> str:

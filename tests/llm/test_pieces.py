@@ -100,3 +100,16 @@ def test_empty_table(spark, model):
     assert pieces.encode(documents(spark, []), model).count() == 0
     got = pieces.encoded_documents(documents(spark, [(1, None), (2, "")])).collect()
     assert sorted((r["doc_id"], r["ids"], r["decoded"]) for r in got)[1] == (2, [], "")
+
+
+def test_many_units_at_once_have_the_ids_of_each():
+    model = pieces.load_model()
+    rng = random.Random(6)
+    merges = pieces.Merges(model)
+    units = ["▁" + "".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(1, 30))) for _ in range(800)]
+    units += ["▁", "▁▁▁", "x" * 64, "y" * 65, "日本語", "▁naïve", "\r\n", "\x07", "a\U0001f600b", "▁the", "aaaa", "ééé"]
+    found = merges.apply(units)
+    assert sum(ids is None for ids in found) < 10
+    for unit, ids in zip(units, found, strict=True):
+        assert ids is None or ids.tolist() == pieces.rare_ids(unit, model)
+    assert merges.apply([]) == []
