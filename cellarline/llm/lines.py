@@ -7,7 +7,7 @@ is itself removed still counts. Lines without words are never compared and stay.
 Tokens are put in order of rarity. Counting goes into a table of fixed size by token hash, so the order needs no
 dictionary that grows with the corpus; the hash settles ties. Any total order keeps the prefix filter exact. Lines
 with equal sets are one before the join, named by a 64-bit hash of the set. Sets meet on the tokens of their prefixes;
-pairs pass the length and positional filters and one on 64-bit signatures, which no similar pair fails. Only then are
+pairs pass the length and positional filters and one on 128-bit signatures, which no similar pair fails. Only then are
 the tokens of both sides fetched and the similarity is checked on integers.
 
 One earlier match settles a line. So each set first meets the earliest set of each of its prefix tokens, which is linear
@@ -30,7 +30,7 @@ from cellarline.llm.common import doc_texts, free_name, stored
 #: Blanks that are not the one that words are split at; a line feed ends a line.
 OTHER_BLANKS = "\t\x0b\f\r"
 #: Places of the table of token counts, a rank of 7 bits each, and the bits of a token's hash behind its rank in a key.
-PLACES = 1 << 16
+PLACES = 1 << 18
 HASH_BITS = 56
 #: Most names of sets that are broadcast to fetch their tokens (32 MB); beyond, the documents are joined.
 BROADCAST_SETS = 1 << 22
@@ -83,6 +83,11 @@ def signature(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), flip)
 
 
+def half_signature(tokens: Column, half: int) -> Column:
+    """The signature of those tokens whose next bit is ``half``: two halves tell lines of up to about 200 words apart."""
+    return signature(F.filter(tokens, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half))
+
+
 #: Words of the wide signature, for lines so long that 64 bits tell nothing.
 WIDE = 8
 
@@ -94,7 +99,7 @@ def wide_signature(tokens: Column) -> Column:
 
 
 def with_prefix(lines: DataFrame, ranks: Column, permille: int) -> DataFrame:
-    """``k`` (names the set), ``size``, ``sig`` and ``prefix`` in place of the ``tokens``."""
+    """``k`` (names the set), ``size``, ``sig``, ``sig2`` and ``prefix`` in place of the ``tokens``."""
     size = F.size("tokens").cast("long")
     ordered = lines.withColumn("size", size).where("size > 0").withColumn("ordered", by_rarity(F.col("tokens"), ranks))
     prefix_end = F.expr(f"cast(size - ({permille} * size + 999) div 1000 + 1 as int)")
@@ -104,22 +109,28 @@ def with_prefix(lines: DataFrame, ranks: Column, permille: int) -> DataFrame:
         *[c for c in lines.columns if c != "tokens"],
         F.xxhash64("ordered").alias("k"),
         "size",
-        signature(F.col("tokens")).alias("sig"),
+        half_signature(F.col("tokens"), 0).alias("sig"),
+        half_signature(F.col("tokens"), 1).alias("sig2"),
         F.transform(F.slice("ordered", 1, prefix_end), short).alias("prefix"),
     )
 
 
+def bits_apart(a: str, b: str) -> Column:
+    """Differing bits of two signatures."""
+    return F.expr(f"bit_count({a}.sig ^ {b}.sig) + bit_count({a}.sig2 ^ {b}.sig2)")
+
+
 def may_be_similar(permille: int, a: str, b: str) -> Column:
     """The length, positional and signature filters on two postings."""
     least = F.expr(f"({permille} * ({a}.size + {b}.size) + {999 + permille}) div {1000 + permille}")
     rest = F.least(F.expr(f"{a}.size - {a}.at"), F.expr(f"{b}.size - {b}.at"))
     length = F.expr(f"1000 * {a}.size >= {permille} * {b}.size AND 1000 * {b}.size >= {permille} * {a}.size")
-    return length & (rest >= least) & (F.expr(f"bit_count({a}.sig ^ {b}.sig)") <= F.expr(f"{a}.size + {b}.size") - 2 * least)
+    return length & (rest >= least) & (bits_apart(a, b) <= F.expr(f"{a}.size + {b}.size") - 2 * least)
 
 
 def hub_pairs(posts: DataFrame, permille: int) -> DataFrame:
     """Pairs ``k``, ``k2``: each set beside the first set of each of its prefix tokens. Linear in the postings."""
-    hubs = posts.groupBy(F.col("token").alias("of")).agg(F.min(F.struct("k", "size", "sig", "at")).alias("h")).select("of", "h.*").alias("h")
+    hubs = posts.groupBy(F.col("token").alias("of")).agg(F.min(F.struct("k", "size", "sig", "sig2", "at")).alias("h")).select("of", "h.*").alias("h")
     meet = (F.col("m.token") == F.col("h.of")) & (F.col("m.k") != F.col("h.k")) & may_be_similar(permille, "m", "h")
     return posts.alias("m").join(hubs, meet).select(F.col("h.k").alias("k"), F.col("m.k").alias("k2")).distinct()
 
@@ -128,7 +139,7 @@ def open_pairs(posts: DataFrame, permille: int) -> DataFrame:
     """Pairs ``k``, ``k2`` (with ``apart``) of sets that share a prefix token and pass the filters; the later one is ``open``."""
     a, b = posts.alias("a"), posts.where("open").alias("b")
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.k") < F.col("b.k"))
-    apart = F.expr("bit_count(a.sig ^ b.sig)").alias("apart")
+    apart = bits_apart("a", "b").alias("apart")
     return a.join(b, meet & may_be_similar(permille, "a", "b")).select(F.col("a.k").alias("k"), F.col("b.k").alias("k2"), apart).distinct()
 
 
@@ -173,12 +184,12 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     keyed = exploded(docs).select("id", "line_no", F.xxhash64("line").alias("lh"), token_set(F.col("line")).alias("tokens"))
     lines = stored(with_prefix(keyed, rarity_ranks(docs), permille), "lines")
     first = F.min(F.struct("id", "line_no", "lh")).alias("first")
-    sets = lines.groupBy("k").agg(first, *[F.first(c).alias(c) for c in ("size", "sig", "prefix")])
+    sets = lines.groupBy("k").agg(first, *[F.first(c).alias(c) for c in ("size", "sig", "sig2", "prefix")])
     # From here on a set is named by a number that grows with the place of its first line.
-    sets = sets.select(F.col("k").alias("set"), "first.*", "size", "sig", "prefix").orderBy("id", "line_no")
+    sets = sets.select(F.col("k").alias("set"), "first.*", "size", "sig", "sig2", "prefix").orderBy("id", "line_no")
     sets = stored(sets.withColumn("k", F.monotonically_increasing_id()), "line-sets")
     firsts = sets.select("k", "id", "line_no", "lh")
-    posting = ("k", "size", "sig", F.posexplode("prefix").alias("at", "token"))
+    posting = ("k", "size", "sig", "sig2", F.posexplode("prefix").alias("at", "token"))
 
     def fetched(pairs: DataFrame, name: str) -> DataFrame:
         wanted = stored(pairs.select("k").union(pairs.select("k2")).distinct().join(firsts, "k"), f"{name}-wanted")
