@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from cellarline.llm import decontaminate, lines, pieces, quality, simhash
 from cellarline.llm.common import free_name, read, stored
 
-#: Texts whose sets of five-word shingles have this Jaccard similarity are near copies. They are retrieved by fingerprints
-#: that differ in at most so many of 64 bits (about 10 at 0.8), met on five blocks of 12 or 13 bits.
-NEAR_SIMILARITY, NEAR_BITS, NEAR_BLOCKS = 0.8, 14, 5
+#: The SimHash operator's own shingle length and largest distance, as in ``op6_simhash``.
+SHINGLE, BITS = 4, 4
 
 
 def columns_of(docs: DataFrame) -> list[Column]:
@@ -30,7 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the first by id; rows without an id stay.
+    """One document of each group whose fingerprints link at BITS or fewer bits, the first by id; rows without an id stay.
 
     Rows are told apart by a number that is written with them: of rows that repeat an id each goes with the group of its
     own text, and of equal rows one stays. Null, empty and blank texts are copies of one another.
@@ -38,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     row = free_name(docs.columns, "_row")
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     named = numbered.where("doc_id IS NOT NULL").select(F.col(row).alias("row"), "doc_id", "text")
-    found = simhash.near_copies(named, shingle=5, similarity=NEAR_SIMILARITY, radius=NEAR_BITS, blocks=NEAR_BLOCKS, id_col="row")
+    found = simhash.near_duplicates(named, shingle=SHINGLE, radius=BITS, id_col="row")
     placed = stored(named.select("row", "doc_id").join(found.select(F.col("id").alias("of"), "component"), F.col("row") == F.col("of")), "placed")
     first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
     copies = stored(placed.select("row").join(first, "row", "left_anti").withColumnRenamed("row", "_copy"), "copies")
