@@ -79,12 +79,15 @@ def days(sales: DataFrame) -> DataFrame:
 def day_sets(sales: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Bitmaps of the numbers of ``column`` per day and bucket; null keys are in no set, as in a distinct count.
 
-    A key is taken once a day before it meets the dictionary, so a hot key is as rare as others there.
+    A key is taken once a day before it meets the dictionary, so a hot key is as rare as others there. The numbers are
+    shuffled and bitmaps made behind that: a bitmap takes 4 KB however few numbers it holds, and each task of the join
+    would send one of its own for nearly every day and bucket. A bitmap is made of at most 32,768 rows.
     """
     once = sales.where(F.col(column).isNotNull()).select("anno", "fecha", _has_origin(), F.col(column).alias("of")).distinct()
-    numbered = once.join(keys, F.col("of") == F.col("clave"))
-    bucket = F.bitmap_bucket_number("id").alias("cubo")
-    return numbered.groupBy("anno", "fecha", "con_origen", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    numbered = once.join(keys, F.col("of") == F.col("clave")).withColumn("cubo", F.bitmap_bucket_number("id"))
+    of_a_bitmap = ("anno", "fecha", "con_origen", "cubo")
+    placed = numbered.select(*of_a_bitmap, F.bitmap_bit_position("id").alias("_bit")).repartition(*of_a_bitmap)
+    return placed.groupBy(*of_a_bitmap).agg(F.bitmap_construct_agg("_bit").alias("bits"))
 
 
 def bands(sales: DataFrame, cfg: Settings) -> DataFrame:

@@ -109,3 +109,19 @@ def test_figures_do_not_scan_the_fact(spark, sales, tmp_path):
     states.refresh()
     for df in (states.kpi_year(2024, TODAY), states.kpi_ytd(TODAY)):
         assert df.inputFiles() and all("/states/" in f for f in df.inputFiles())
+
+
+def test_bitmaps_are_made_behind_the_shuffle(spark, sales):
+    """A bitmap has 4 KB: made by each task of the join and shuffled, they outgrow their numbers with the number of tasks."""
+    from cellarline.plans.states import day_sets
+    from tools.plans import final_plan
+
+    keys = spark.range(1, 61).selectExpr("id - 1 as clave", "id")
+    sets = day_sets(sales(*lines(5, 300)), keys, "cod_venta")
+    plan = final_plan(sets)
+    between = plan[: plan.index("partial_bitmap_construct_agg")]
+    assert "bitmap_construct_agg" in between and "Exchange" not in between
+    counted = sets.selectExpr("anno", "fecha", "con_origen", "bitmap_count(bits) as n").orderBy("fecha", "con_origen")
+    wanted = sales(*lines(5, 300)).selectExpr("anno", "fecha", "nvl(pais_origen_producto <> '', false) as con_origen", "cod_venta")
+    wanted = wanted.groupBy("anno", "fecha", "con_origen").agg({"cod_venta": "count"}).count(), wanted.distinct().count()
+    assert (counted.count(), counted.agg({"n": "sum"}).first()[0]) == wanted
