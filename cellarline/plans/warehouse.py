@@ -8,13 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from cellarline.session import size_shuffles
+from cellarline.session import bound_tasks, size_shuffles
 from cellarline.sources.fact import SALES_SCHEMA, STAR_TABLES, ledger, read_star, sales_fact
 from cellarline.sources.storage import current_rows, files_state, path_exists, read_table, shared_dir, write_truncate
 
 # Raise it with every change of what a derived table holds, so that older copies are not taken.
 VERSION = 3
 
+# The star's files hold packed keys and numbers; their joined lines take many times the bytes, so their shuffles are sized
+# for as many times the input.
+WIDENING = 32
+
 
 # Finished copies by their home folder; a home names one state of the input, so an entry never grows old.
 _copies: dict[str, str] = {}
@@ -27,7 +31,12 @@ def star_state(spark: SparkSession, folder: str) -> tuple[str, int]:
 
 def size_star(spark: SparkSession, folder: str) -> None:
     """Size shuffles for the star in ``folder``."""
-    size_shuffles(spark, star_state(spark, folder)[1])
+    _size_for(spark, star_state(spark, folder)[1])
+
+
+def _size_for(spark: SparkSession, star_bytes: int) -> None:
+    size_shuffles(spark, star_bytes * WIDENING)
+    bound_tasks(spark)
 
 
 def derived_path(
@@ -49,7 +58,7 @@ def derived_path(
     if root is None:
         return None
     state, size = star_state(spark, folder)
-    size_shuffles(spark, size)
+    _size_for(spark, size)
     chosen = hashlib.sha256(repr(parameters).encode()).hexdigest()[:12]
     home = f"{root}/{name}/v{VERSION}-{state}-{chosen}"
     path = _copies.get(home)

@@ -62,3 +62,16 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
     if wanted > int(now or spark.conf.get("spark.sql.shuffle.partitions")):
         _own[app] = str(wanted)
         spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+
+
+ADVISED_SIZE = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+MOST_SHUFFLED = 16 << 20
+
+
+def bound_tasks(spark: SparkSession) -> None:
+    """Let AQE join partitions up to 16 MB of shuffled rows instead of 64 MB, unless the session has its own size.
+
+    Packed rows of the star grow about thirtyfold when a task sorts them for a join and again for a write by year.
+    """
+    if spark.conf.get(ADVISED_SIZE, None) is None:
+        spark.conf.set(ADVISED_SIZE, str(MOST_SHUFFLED))

@@ -222,3 +222,21 @@ def test_clean_up_keeps_versions_and_their_readers(spark, tmp_path):
     assert storage.versions(spark, path)[-1][0] == 6 and storage.read_table(spark, path).count() == 9
     with pytest.raises(ValueError):
         storage.clean_up(spark, path, keep=0)
+
+
+def test_star_shuffles_stay_small_whatever_the_input(spark, monkeypatch):
+    """A task of the fact's build sorts its lines twice: their number per task must not grow with the input."""
+    from cellarline.plans import warehouse
+    from cellarline.session import ADVISED_SIZE, INITIAL_PARTITIONS
+
+    try:
+        monkeypatch.setattr(warehouse, "star_state", lambda *_: ("x", 5 << 30))
+        warehouse.size_star(spark, "unused")
+        assert int(spark.conf.get(INITIAL_PARTITIONS)) == 640
+        assert spark.conf.get(ADVISED_SIZE) == str(16 << 20)
+        spark.conf.set(ADVISED_SIZE, "5m")
+        warehouse.size_star(spark, "unused")
+        assert spark.conf.get(ADVISED_SIZE) == "5m"  # the user's own value stays
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS)
+        spark.conf.unset(ADVISED_SIZE)
