@@ -7,8 +7,6 @@ plain equality and leaves each join's strategy to Spark: a side is broadcast onl
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,46 +133,68 @@ def order_header(tables: dict[str, DataFrame]) -> DataFrame:
     return tables["orders"].select(key.alias("cod_venta"), text.alias("tipo_cambio_venta"))
 
 
+#: Account, name, and the amounts of its debit and credit. Of every line, of a line of a finished order, and opening rows
+#: of January lines.
+_OF_LINE = (
+    ("1212", "Facturas por cobrar", "venta", None),
+    ("7011", "Ventas de mercaderías", None, "venta"),
+    ("6911", "Costo de ventas", "costo", None),
+    ("2011", "Mercaderías", None, "costo"),
+)
+_OF_FINISHED = (("10", "Efectivo", "venta", None),)
+_OF_JANUARY = (("1212", "Facturas por cobrar", "venta", None), ("6911", "Costo de ventas", "costo", None))
+
+
 def ledger(sales: DataFrame) -> DataFrame:
     """Journal entries of the sold lines, built without a shuffle.
 
     A line debits receivables and credits revenue with the sale, debits cost of sales and credits stock
     with the cost; a finished order also debits cash. January lines leave period-0 (opening) rows.
 
-    One projection per kind of entry: a filter on the account removes the other branches from the plan,
-    each branch reads its own columns only, and no row is exploded.
+    The lines are read once, and each meets one of four constant lists of entries. A filter on the year prunes the fact's
+    folders, one on the account comes before amounts and texts are made, and only the columns asked for are read.
     """
-    nothing = F.lit(0).cast("decimal(18,4)")
     sale, cost, month = F.col("venta_neta_mn"), F.col("costo_mn_total"), F.col("mes")
-    order = F.col("cod_venta").cast("string")
+    finished, january = F.col("estado_pedido") == "F", month == 1
+
+    def entries(plain: tuple, opening: tuple = ()) -> Column:
+        fields = ("nro_cta", "nombre_cuenta", "_debe", "_haber")
+        return F.array(
+            *[
+                F.struct(*[F.lit(v).cast("string").alias(f) for f, v in zip(fields, entry, strict=True)], F.lit(opens).alias("_apertura"))
+                for kinds, opens in ((plain, False), (opening, True))
+                for entry in kinds
+            ]
+        )
+
+    of_line = (
+        F.when(finished & january, entries(_OF_LINE + _OF_FINISHED, _OF_JANUARY))
+        .when(finished, entries(_OF_LINE + _OF_FINISHED))
+        .when(january, entries(_OF_LINE, _OF_JANUARY))
+        .otherwise(entries(_OF_LINE))
+    )
+    needed = ("cod_venta", "cliente", "fecha", "mes", "vendedor", "venta_neta_mn", "costo_mn_total", "anno")
+    book = sales.select(*needed, F.inline(of_line))
 
-    def entries(lines: DataFrame, account: str, name: str, debit: Column, credit: Column, period: Column = month) -> DataFrame:
-        columns = {
-            "nro_cta": F.lit(account),
-            "nombre_cuenta": F.lit(name),
-            "ejercicio": F.col("anno"),
-            "periodo": period.cast("bigint"),
-            "mto_debe": debit,
-            "mto_haber": credit,
-            "fec_mov": F.col("fecha"),
-            "reg_ctb": F.concat(F.lit("R-"), order),
-            "glosa": F.concat(F.lit("Venta "), order),
-            "tip_doc": F.lit("01"),
-            "nro_doc": order,
-            "cliente": F.lit(None).cast("string") if account == "2011" else F.col("cliente"),
-            "proveedor": F.col("vendedor"),
-            "mda_origen": F.lit("PEN"),
-        }
-        return lines.select(*[value.alias(name) for name, value in columns.items()])
-
-    january = sales.filter(month == 1)
-    book = [
-        entries(sales, "1212", "Facturas por cobrar", sale, nothing),
-        entries(sales, "7011", "Ventas de mercaderías", nothing, sale),
-        entries(sales, "6911", "Costo de ventas", cost, nothing),
-        entries(sales, "2011", "Mercaderías", nothing, cost),
-        entries(sales.filter(F.col("estado_pedido") == "F"), "10", "Efectivo", sale, nothing),
-        entries(january, "1212", "Facturas por cobrar", sale, nothing, F.lit(0)),
-        entries(january, "6911", "Costo de ventas", cost, nothing, F.lit(0)),
-    ]
-    return reduce(DataFrame.unionByName, book)
+    def amount(kind: str) -> Column:
+        nothing = F.lit(0).cast("decimal(18,4)")
+        return F.when(F.col(kind) == "venta", sale).when(F.col(kind) == "costo", cost).otherwise(nothing)
+
+    order = F.col("cod_venta").cast("string")
+    columns = {
+        "nro_cta": F.col("nro_cta"),
+        "nombre_cuenta": F.col("nombre_cuenta"),
+        "ejercicio": F.col("anno"),
+        "periodo": F.when(F.col("_apertura"), F.lit(0)).otherwise(month).cast("bigint"),
+        "mto_debe": amount("_debe"),
+        "mto_haber": amount("_haber"),
+        "fec_mov": F.col("fecha"),
+        "reg_ctb": F.concat(F.lit("R-"), order),
+        "glosa": F.concat(F.lit("Venta "), order),
+        "tip_doc": F.lit("01"),
+        "nro_doc": order,
+        "cliente": F.when(F.col("nro_cta") != "2011", F.col("cliente")),
+        "proveedor": F.col("vendedor"),
+        "mda_origen": F.lit("PEN"),
+    }
+    return book.select(*[value.alias(name) for name, value in columns.items()])

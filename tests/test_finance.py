@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellarline.operators import finance
 from cellarline.sources.fact import LEDGER_COLUMNS, ledger
@@ -68,3 +71,33 @@ def test_derived_ledger(sales):
     assert book.filter("periodo = 0").count() == 2
     # Apart from cash and opening rows, debit equals credit.
     assert book.filter("periodo > 0 and nro_cta <> '10'").selectExpr("sum(mto_debe) - sum(mto_haber) as d").first()["d"] == 0
+
+
+def test_ledger_of_lines_with_nulls(spark, sales):
+    """Entries by account with an unknown state, month or amount."""
+    lines = sales(dict(cod=1, fecha="2024-01-05"), dict(cod=2, estado=None), dict(cod=3, fecha="2023-01-09", estado="O", cliente=None))
+    lines = lines.withColumn("mes", F.when(F.col("cod_venta") != 2, F.col("mes")))
+    lines = lines.withColumn("venta_neta_mn", F.when(F.col("cod_venta") != 2, F.col("venta_neta_mn")))
+    found = [
+        (r.nro_doc, r.nro_cta, r.periodo, r.mto_debe, r.mto_haber, r.cliente, r.glosa)
+        for r in ledger(lines).collect()
+    ]
+    wanted = []
+    for cod, month, sale, who, cash in (("1", 1, 100, "A", True), ("2", None, None, "A", False), ("3", 1, 100, None, False)):
+        entries = [("1212", month, sale, 0, who), ("7011", month, 0, sale, who), ("6911", month, 60, 0, who), ("2011", month, 0, 60, None)]
+        entries += [("10", month, sale, 0, who)] * cash + [("1212", 0, sale, 0, who), ("6911", 0, 60, 0, who)] * (month == 1)
+        wanted += [(cod, *entry, f"Venta {cod}") for entry in entries]
+    exact = [(*w[:3], *[v if v is None else Decimal(f"{v}.0000") for v in w[3:5]], *w[5:]) for w in wanted]
+    assert sorted(found, key=str) == sorted(exact, key=str)
+
+
+def test_statements_read_the_year_of_the_fact(spark):
+    """No ledger of all lines is written for the entries of one account and month."""
+    import __spark_entry__ as entry
+    from tests.conftest import DATA
+    from tools.plans import final_plan
+
+    for name in ("fin_detalle", "fin_flujo"):
+        plan = final_plan(entry.queries()[name](spark, DATA))
+        assert "/sales/" in plan and "/ledger/" not in plan
+        assert re.search(r"PartitionFilters: \[[^\]]*anno[^\]]*= 2000", plan)
