@@ -7,8 +7,8 @@ is itself removed still counts. Lines without words are never compared and stay.
 Tokens are put in order of rarity. Counting goes into a table of fixed size by token hash, so the order needs no
 dictionary that grows with the corpus; the hash settles ties. Any total order keeps the prefix filter exact. Lines
 with equal sets are one before the join, named by a 64-bit hash of the set. Sets meet on the tokens of their prefixes;
-pairs pass the length and positional filters and one on 64-bit signatures, which no similar pair fails. Only then are
-the tokens of both sides fetched and the similarity is checked on integers.
+pairs pass the length and positional filters and one on signatures of 64 bits, for long lines 128, which no similar
+pair fails. Only then are the tokens of both sides fetched and the similarity is checked on integers.
 
 One earlier match settles a line. So each set first meets the earliest set of each of its prefix tokens, which is linear
 in the postings and settles all but a few members of a group of like lines; the join of all sets leaves out the pairs
@@ -21,6 +21,8 @@ none away. Rows that repeat an id share their places, and the later line of two
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ OTHER_BLANKS = "\t\x0b\f\r"
 #: Places of the table of token counts, a rank of 7 bits each, and the bits of a token's hash behind its rank in a key.
 PLACES = 1 << 16
 HASH_BITS = 56
+#: Parts in which the tokens are shuffled, one by one, so that not all postings lie on disk at once.
+ROUNDS = 2
 #: Most names of sets that are broadcast to fetch their tokens (32 MB); beyond, the documents are joined.
 BROADCAST_SETS = 1 << 22
 
@@ -66,15 +70,15 @@ def rarity_ranks(docs: DataFrame) -> Column:
     ranks = [0] * PLACES
     for row in counts:
         ranks[row["place"]] = min(127, max(0, int(8 * math.log2(4 * row["n"] / mean))))
-    # Spark folds this into one array value.
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    # Spark folds this into one array value. The ranks stand at the bits that they have in a key.
+    return F.split(F.lit(",".join(str(rank << HASH_BITS) for rank in ranks)), ",").cast("array<bigint>")
 
 
 def by_rarity(tokens: Column, ranks: Column) -> Column:
     """The tokens as longs in order of rarity: rank, then hash."""
-    rank = lambda h: F.get(ranks, F.pmod(h, F.lit(PLACES)).cast("int"))
+    rank = lambda h: F.get(ranks, h.bitwiseAND(F.lit(PLACES - 1)).cast("int"))
     mask = F.lit((1 << HASH_BITS) - 1)
-    return F.sort_array(F.transform(tokens, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(h.bitwiseAND(mask))))
+    return F.sort_array(F.transform(tokens, lambda h: rank(h).bitwiseOR(h.bitwiseAND(mask))))
 
 
 def signature(tokens: Column) -> Column:
@@ -83,7 +87,26 @@ def signature(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), flip)
 
 
-#: Words of the wide signature, for lines so long that 64 bits tell nothing.
+#: Words of the signature of sets of over LONG tokens: of 64 bits, any two sets of a hundred tokens pass for similar.
+SIGS = ("sig", "sig1")
+LONG = 64
+
+
+def signatures(tokens: Column) -> list[Column]:
+    """The SIGS: one signature for a short set, the others 0; a long set's tokens are dealt to all, whose XOR is that one."""
+    own = lambda w: signature(F.filter(tokens, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(len(SIGS) - 1)) == w))
+    short = [signature(tokens), *[F.lit(0).cast("long")] * (len(SIGS) - 1)]
+    return [F.when(F.size(tokens) > LONG, own(w)).otherwise(short[w]).alias(name) for w, name in enumerate(SIGS)]
+
+
+def apart(a: str, b: str) -> Column:
+    """Bits in which the signatures of two postings differ: at most the tokens in which the sets do."""
+    each = " + ".join(f"bit_count({a}.{w} ^ {b}.{w})" for w in SIGS)
+    folded = " ^ ".join(f"{x}.{w}" for x in (a, b) for w in SIGS)
+    return F.expr(f"IF(abs({a}.size) > {LONG} AND abs({b}.size) > {LONG}, {each}, bit_count({folded}))")
+
+
+#: Words of the wide signature, for lines so long that the others tell nothing.
 WIDE = 8
 
 
@@ -94,42 +117,57 @@ def wide_signature(tokens: Column) -> Column:
 
 
 def with_prefix(lines: DataFrame, ranks: Column, permille: int) -> DataFrame:
-    """``k`` (names the set), ``size``, ``sig`` and ``prefix`` in place of the ``tokens``."""
+    """``k`` (names the set), ``size``, the SIGS and ``prefix`` in place of the ``tokens``; size 0 if there are none.
+
+    The prefix is empty if only an equal set is similar.
+    """
     size = F.size("tokens").cast("long")
-    ordered = lines.withColumn("size", size).where("size > 0").withColumn("ordered", by_rarity(F.col("tokens"), ranks))
-    prefix_end = F.expr(f"cast(size - ({permille} * size + 999) div 1000 + 1 as int)")
+    ordered = lines.withColumn("size", size).withColumn("ordered", by_rarity(F.col("tokens"), ranks))
+    prefix_end = F.expr(f"IF(size * {1000 - permille} < {permille}, 0, cast(size - ({permille} * size + 999) div 1000 + 1 as int))")
     # 31 bits of the hash do for meeting: who meets by chance fails the check.
     short = lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     return ordered.select(
         *[c for c in lines.columns if c != "tokens"],
         F.xxhash64("ordered").alias("k"),
         "size",
-        signature(F.col("tokens")).alias("sig"),
+        *signatures(F.col("tokens")),
         F.transform(F.slice("ordered", 1, prefix_end), short).alias("prefix"),
     )
 
 
 def may_be_similar(permille: int, a: str, b: str) -> Column:
-    """The length, positional and signature filters on two postings."""
-    least = F.expr(f"({permille} * ({a}.size + {b}.size) + {999 + permille}) div {1000 + permille}")
-    rest = F.least(F.expr(f"{a}.size - {a}.at"), F.expr(f"{b}.size - {b}.at"))
-    length = F.expr(f"1000 * {a}.size >= {permille} * {b}.size AND 1000 * {b}.size >= {permille} * {a}.size")
-    return length & (rest >= least) & (F.expr(f"bit_count({a}.sig ^ {b}.sig)") <= F.expr(f"{a}.size + {b}.size") - 2 * least)
+    """The length, positional and signature filters on two postings; none passes where the size of ``b`` is below 0."""
+    size = f"abs({a}.size)"
+    length = F.expr(f"1000 * {size} >= {permille} * {b}.size AND 1000 * {b}.size >= {permille} * {size}")
+    # The least overlap is permille * (sum of sizes) / (1000 + permille), rounded up; many pairs pass here, so no divisions.
+    enough = lambda most: most * (1000 + permille) >= F.expr(f"{permille} * ({size} + {b}.size)")
+    rest = F.least(F.expr(f"{size} - {a}.at"), F.expr(f"{b}.size - {b}.at"))
+    return length & enough(F.shiftright(F.expr(f"{size} + {b}.size") - apart(a, b), 1)) & enough(rest)
 
 
 def hub_pairs(posts: DataFrame, permille: int) -> DataFrame:
     """Pairs ``k``, ``k2``: each set beside the first set of each of its prefix tokens. Linear in the postings."""
-    hubs = posts.groupBy(F.col("token").alias("of")).agg(F.min(F.struct("k", "size", "sig", "at")).alias("h")).select("of", "h.*").alias("h")
+    first = F.min(F.struct("k", "size", *SIGS, "at")).alias("h")
+    hubs = posts.groupBy(F.col("token").alias("of")).agg(first).select("of", "h.*").alias("h")
     meet = (F.col("m.token") == F.col("h.of")) & (F.col("m.k") != F.col("h.k")) & may_be_similar(permille, "m", "h")
     return posts.alias("m").join(hubs, meet).select(F.col("h.k").alias("k"), F.col("m.k").alias("k2")).distinct()
 
 
 def open_pairs(posts: DataFrame, permille: int) -> DataFrame:
-    """Pairs ``k``, ``k2`` (with ``apart``) of sets that share a prefix token and pass the filters; the later one is ``open``."""
-    a, b = posts.alias("a"), posts.where("open").alias("b")
+    """Pairs ``k``, ``k2`` (with ``apart``) of sets that share a prefix token and pass the filters; the later one is open.
+
+    A set that is not open has its size below 0, which fails the length filter: both sides are one and the same shuffle.
+    """
+    a, b = posts.alias("a"), posts.alias("b")
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.k") < F.col("b.k"))
-    apart = F.expr("bit_count(a.sig ^ b.sig)").alias("apart")
-    return a.join(b, meet & may_be_similar(permille, "a", "b")).select(F.col("a.k").alias("k"), F.col("b.k").alias("k2"), apart).distinct()
+    found = a.join(b, meet & may_be_similar(permille, "a", "b"))
+    return found.select(F.col("a.k").alias("k"), F.col("b.k").alias("k2"), apart("a", "b").alias("apart")).distinct()
+
+
+def in_rounds(posts: DataFrame, pairs_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The pairs of all postings, made from those of one part of the tokens after the other."""
+    parts = [stored(pairs_of(posts.where(F.pmod("token", F.lit(ROUNDS)) == part)), f"{name}-part") for part in range(ROUNDS)]
+    return stored(reduce(DataFrame.union, parts).distinct(), name)
 
 
 def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -171,14 +209,15 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     if not 0 < permille <= 1000:
         raise ValueError("similarity is above 0 and at most 1")
     keyed = exploded(docs).select("id", "line_no", F.xxhash64("line").alias("lh"), token_set(F.col("line")).alias("tokens"))
-    lines = stored(with_prefix(keyed, rarity_ranks(docs), permille), "lines")
+    # Filtered behind the write: before it, the filter would make every set of tokens a second time.
+    lines = stored(with_prefix(keyed, rarity_ranks(docs), permille), "lines").where("size > 0")
     first = F.min(F.struct("id", "line_no", "lh")).alias("first")
-    sets = lines.groupBy("k").agg(first, *[F.first(c).alias(c) for c in ("size", "sig", "prefix")])
+    sets = lines.groupBy("k").agg(first, *[F.first(c).alias(c) for c in ("size", *SIGS, "prefix")])
     # From here on a set is named by a number that grows with the place of its first line.
-    sets = sets.select(F.col("k").alias("set"), "first.*", "size", "sig", "prefix").orderBy("id", "line_no")
+    sets = sets.select(F.col("k").alias("set"), "first.*", "size", *SIGS, "prefix").orderBy("id", "line_no")
     sets = stored(sets.withColumn("k", F.monotonically_increasing_id()), "line-sets")
     firsts = sets.select("k", "id", "line_no", "lh")
-    posting = ("k", "size", "sig", F.posexplode("prefix").alias("at", "token"))
+    posting = ("k", *SIGS, F.posexplode("prefix").alias("at", "token"))
 
     def fetched(pairs: DataFrame, name: str) -> DataFrame:
         wanted = stored(pairs.select("k").union(pairs.select("k2")).distinct().join(firsts, "k"), f"{name}-wanted")
@@ -186,13 +225,13 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
 
     # First every set beside the first one of each of its tokens: what matches there needs no other match, so a group of
     # thousands of like lines is settled by as many pairs as it has members, and not by all pairs.
-    near_hubs = stored(hub_pairs(sets.select(*posting), permille), "hub-pairs")
+    near_hubs = in_rounds(sets.select("size", *posting), lambda posts: hub_pairs(posts, permille), "hub-pairs")
     at_hubs = stored(alike(near_hubs, fetched(near_hubs, "hubs"), permille), "matched-at-hubs")
 
     # What is settled stays as the earlier line of others.
     settled = sets.join(at_hubs.withColumnRenamed("k2", "done"), F.col("k") == F.col("done"), "left")
-    pairs = open_pairs(settled.select(*posting, F.col("done").isNull().alias("open")), permille)
-    pairs = stored(pairs, "line-pairs")
+    signed = F.when(F.col("done").isNull(), F.col("size")).otherwise(-F.col("size")).alias("size")
+    pairs = in_rounds(settled.select(signed, *posting), lambda posts: open_pairs(posts, permille), "line-pairs")
     tokens = fetched(pairs, "pairs")
     # One earlier match is enough: the likeliest is looked at first, the others only where it fails.
     likeliest = pairs.groupBy("k2").agg(F.min(F.struct("apart", "k")).alias("m")).select("m.k", "k2")

@@ -76,6 +76,30 @@ def test_group_of_like_lines_is_settled_by_its_hub(spark, monkeypatch):
     assert seen["hub-pairs"].count() <= 4000 and seen["line-pairs"].count() <= 2000
 
 
+def test_long_lines_that_differ_are_no_pairs(spark, monkeypatch):
+    """60 lines of 150 from the same 600 words: 64 bits of signature let hundreds of their pairs through."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.sample([f"w{n}" for n in range(600)], 150))) for k in range(60)]
+    seen = {}
+    plain = lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: seen.setdefault(name, plain(df, name)))
+    assert lines.dedup_lines(documents(spark, rows)).where("_lines_removed > 0").count() == 0
+    assert seen["hub-pairs"].count() <= 10 and seen["line-pairs"].count() <= 10
+
+
+def test_like_lines_on_both_sides_of_the_signature_border(spark):
+    rng = random.Random(6)
+    base = [[f"b{k}x{n}" for n in range(rng.randrange(lines.LONG - 8, lines.LONG + 60))] for k in range(6)]
+    rows = []
+    for i in range(60):
+        words = list(rng.choice(base))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words[rng.randrange(16) :] + [f"new{i}y{n}" for n in range(rng.randrange(8))])))
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(documents(spark, rows).repartition(3)).collect())
+    assert got == kept_lines(rows, 800)
+    assert 10 < sum(not t for _, t in got) < 60
+
+
 def test_clashing_names_stay(spark):
     docs = documents(spark, [(1, "a b\nc"), (2, "b a")])
     names = ["_gone", "_gone_id", "_lines", "_lines_removed", "lh", "line_no", "set", "first"]
