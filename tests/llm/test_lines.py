@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellarline.llm import lines
 from tests.llm.helpers import AWKWARD, documents, prose
@@ -100,6 +101,33 @@ def test_like_lines_on_both_sides_of_the_signature_border(spark):
     assert 10 < sum(not t for _, t in got) < 60
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_index_prefix_of_the_smaller_set_finds_all(spark, monkeypatch, similarity):
+    """Without hubs every pair has to come from the join of index prefixes with prefixes."""
+    plain = lines.hub_pairs
+    monkeypatch.setattr(lines, "hub_pairs", lambda posts, permille: plain(posts, permille).where("false"))
+    rng = random.Random(8)
+    base = [[f"b{k}x{n}" for n in range(rng.randrange(2, 90))] for k in range(8)]
+    rows = []
+    for i in range(80):
+        words = list(rng.choice(base))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words[rng.randrange(1 + len(words) // 4) :] + [f"new{i}y{n}" for n in range(rng.randrange(5))])))
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(documents(spark, rows).repartition(3), similarity=similarity).collect())
+    assert got == kept_lines(rows, round(similarity * 1000))
+    ends = {n: spark.range(1).selectExpr(f"{lines.index_end(str(n), 800)} AS e").first()["e"] for n in (1, 9, 100)}
+    assert ends == {1: 1, 9: 2, 100: 12}
+
+
+def test_tokens_are_sorted_as_longs(spark):
+    """An array that may hold nulls is sorted as objects."""
+    docs = documents(spark, [(1, "a b\tc\rd a\nb e")]).selectExpr("doc_id AS id", "text")
+    ranks = lines.rarity_ranks(docs)
+    keys = lines.exploded(docs).select(lines.by_rarity(lines.token_set(F.col("line")), ranks).alias("keys"))
+    assert not keys.schema["keys"].dataType.containsNull
+    assert sorted(len(r["keys"]) for r in keys.collect()) == [2, 4]
+
+
 def test_clashing_names_stay(spark):
     docs = documents(spark, [(1, "a b\nc"), (2, "b a")])
     names = ["_gone", "_gone_id", "_lines", "_lines_removed", "lh", "line_no", "set", "first"]
