@@ -11,9 +11,10 @@ of two similar ones the smaller shares a token of its index prefix, about half a
 Pairs pass the length and positional filters and one on signatures of 64 bits, for long lines 128, which no similar
 pair fails. Only then are the tokens of both sides fetched and the similarity is checked on integers.
 
-One earlier match settles a line. So each set first meets the earliest set of each of its prefix tokens, which is linear
-in the postings and settles all but a few members of a group of like lines; the join of all sets leaves out the pairs
-of settled ones.
+One earlier match settles a line. So each set first meets the earliest set of each of its prefix tokens that more than
+FEW sets have, which is linear in the postings and settles all but a few members of a group of like lines; the join of
+all sets leaves out the pairs of settled ones. Tokens of at most FEW sets need no such step. In the join, tokens meet
+within classes of size.
 
 Null and empty texts have no lines to compare and come back as they are. Rows with a null id keep all lines and take
 none away. Rows that repeat an id share their places, and the later line of two with one place is not removed for it.
@@ -23,10 +24,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from cellarline.llm.common import doc_texts, free_name, stored
 
@@ -39,6 +41,15 @@ HASH_BITS = 56
 ROUNDS = 2
 #: Most names of sets that are broadcast to fetch their tokens (32 MB); beyond, the documents are joined.
 BROADCAST_SETS = 1 << 22
+#: Hashes hardly repeat, so a dictionary of them is only tried and given up.
+HASHES = ("prefix.list.element", "k", "set", "lh", "sig", "half")
+stored_hashes = partial(stored, options={f"parquet.enable.dictionary#{column}": "false" for column in HASHES})
+#: Most bits of a set's number that is packed from the id of its document and the number of its line.
+NUMBER_BITS = 62
+#: A token of at most so many sets has no hub: its pairs are at most FEW / 2 for each of its postings.
+FEW = 32
+#: Most hubs that are broadcast (about 40 MB); beyond, the postings are shuffled to them.
+BROADCAST_HUBS = 1 << 19
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -157,12 +168,34 @@ def may_be_similar(permille: int, a: str, b: str) -> Column:
     return length & enough(F.shiftright(F.expr(f"{size} + {other}") - apart(a, b), 1)) & enough(rest)
 
 
-def hub_pairs(posts: DataFrame, permille: int) -> DataFrame:
-    """Pairs ``k``, ``k2``: each set beside the first set of each of its prefix tokens. Linear in the postings."""
-    first = F.min(F.struct("k", "size", *SIGS, "at")).alias("h")
-    hubs = posts.groupBy(F.col("token").alias("of")).agg(first).select("of", "h.*").alias("h")
+def postings(sets: DataFrame) -> DataFrame:
+    """``k``, ``size``, the SIGS, and ``at``, ``token`` of each prefix token of the ``sets``."""
+    return sets.select("k", "size", *SIGS, F.posexplode("prefix").alias("at", "token"))
+
+
+def hubs_of(sets: DataFrame) -> DataFrame:
+    """The posting of the first set of each prefix token that over FEW sets have; its token is named ``of``."""
+    # A smallest number needs no sort of the postings, as a smallest struct does; the rest of the hub's posting is looked up.
+    by_token = sets.select("k", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    heavy = stored(by_token.where(F.col("n") > FEW).select(F.col("token").alias("of"), "first"), "heavy-tokens")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_HUBS else heavy
+    at = F.array_position("prefix", F.col("of")).cast("int") - 1
+    return stored(sets.join(heavy, F.col("k") == F.col("first")).select("of", "k", "size", *SIGS, at.alias("at")), "hubs")
+
+
+def hub_pairs(sets: DataFrame, permille: int) -> DataFrame:
+    """Pairs ``k``, ``k2``: each set beside the hubs of its prefix tokens. Linear in the postings."""
+    hubs, posts = hubs_of(sets), postings(sets)
     meet = (F.col("m.token") == F.col("h.of")) & (F.col("m.k") != F.col("h.k")) & may_be_similar(permille, "m", "h")
-    return posts.alias("m").join(hubs, meet).select(F.col("h.k").alias("k"), F.col("m.k").alias("k2")).distinct()
+    pairs = lambda posts, hubs: posts.alias("m").join(hubs.alias("h"), meet).select(F.col("h.k").alias("k"), F.col("m.k").alias("k2")).distinct()
+    if hubs.count() <= BROADCAST_HUBS:
+        return pairs(posts, F.broadcast(hubs))
+    return in_rounds(posts, lambda part: pairs(part, hubs), "hub-rounds")
+
+
+def size_class(size: str) -> Column:
+    """Two classes between a power of two and the next; any rule would do by which the larger has no smaller class."""
+    return F.floor(2 * F.log2(F.expr(size))).cast("int")
 
 
 def open_pairs(posts: DataFrame, permille: int) -> DataFrame:
@@ -170,16 +203,22 @@ def open_pairs(posts: DataFrame, permille: int) -> DataFrame:
 
     A set that is not open has its size below 0. The smaller one, by size and ``k``, comes with its index prefix only.
     """
-    a, b = posts.where(F.expr(f"at < {index_end('abs(size)', permille)}")).alias("a"), posts.alias("b")
+    # The smaller one looks into each class that has sizes which the length and positional filters let pass.
+    most = f"least(1000 * abs(size) div {permille}, ((abs(size) - at) * {1000 + permille}) div {permille} - abs(size))"
+    classes = F.sequence(size_class("abs(size)"), size_class(f"greatest(abs(size), {most})"))
+    meeting = lambda size: (F.col("token").cast("long") * 64 + size).alias("meeting")
+    index = posts.where(F.expr(f"at < {index_end('abs(size)', permille)}")).withColumn("class", F.explode(classes))
+    a = index.select("k", "size", *SIGS, "at", meeting(F.col("class"))).alias("a")
+    b = posts.select("k", "size", *SIGS, "at", meeting(size_class("abs(size)"))).alias("b")
     smaller = F.expr("abs(a.size) < abs(b.size) OR abs(a.size) = abs(b.size) AND a.k < b.k")
     open_later = F.expr("IF(a.k < b.k, b.size, a.size) > 0")
-    found = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & may_be_similar(permille, "a", "b") & open_later)
+    found = a.join(b, (F.col("a.meeting") == F.col("b.meeting")) & smaller & may_be_similar(permille, "a", "b") & open_later)
     return found.select(F.least("a.k", "b.k").alias("k"), F.greatest("a.k", "b.k").alias("k2"), apart("a", "b").alias("apart")).distinct()
 
 
 def in_rounds(posts: DataFrame, pairs_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """The pairs of all postings, made from those of one part of the tokens after the other."""
-    parts = [stored(pairs_of(posts.where(F.pmod("token", F.lit(ROUNDS)) == part)), f"{name}-part") for part in range(ROUNDS)]
+    parts = [stored(pairs_of(posts.where(F.pmod("token", F.lit(ROUNDS)) == part)), f"{name}-part-{part}") for part in range(ROUNDS)]
     return stored(reduce(DataFrame.union, parts).distinct(), name)
 
 
@@ -216,6 +255,23 @@ def alike(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
     return both.where(1000 * common >= permille * (F.size("t1") + F.size("t2") - common)).select("k2").distinct()
 
 
+def numbered(docs: DataFrame, lines: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``sets`` with ``k``, a number that grows with ``id`` and ``line_no``.
+
+    Whole-numbered ids that do not repeat and the number of the line are packed into one long if they fit; otherwise
+    the sets are sorted.
+    """
+    if docs.schema["id"].dataType in (LongType(), IntegerType()):
+        # Decimals, because the difference of two longs may be none.
+        span = (F.max("id").cast("decimal(20)") - F.min("id").cast("decimal(20)")).alias("span")
+        ends = lines.agg(F.min("id").alias("least"), span, F.max("line_no").alias("last")).first()
+        bits = int(ends["last"] or 0).bit_length()
+        if ends["least"] is not None and int(ends["span"]).bit_length() + bits <= NUMBER_BITS and not docs.where("id IS NOT NULL").groupBy("id").count().where("count > 1").take(1):
+            number = F.shiftleft(F.col("id").cast("long") - F.lit(ends["least"]), bits)
+            return sets.withColumn("k", number.bitwiseOR(F.col("line_no").cast("long")))
+    return sets.orderBy("id", "line_no").withColumn("k", F.monotonically_increasing_id())
+
+
 def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     """``id``, ``line_no``, ``lh`` (hash of the line) of lines that repeat an earlier one."""
     permille = round(similarity * 1000)
@@ -223,14 +279,13 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
         raise ValueError("similarity is above 0 and at most 1")
     keyed = exploded(docs).select("id", "line_no", F.xxhash64("line").alias("lh"), token_set(F.col("line")).alias("tokens"))
     # Filtered behind the write: before it, the filter would make every set of tokens a second time.
-    lines = stored(with_prefix(keyed, rarity_ranks(docs), permille), "lines").where("size > 0")
+    lines = stored_hashes(with_prefix(keyed, rarity_ranks(docs), permille), "lines").where("size > 0")
     first = F.min(F.struct("id", "line_no", "lh")).alias("first")
-    sets = lines.groupBy("k").agg(first, *[F.first(c).alias(c) for c in ("size", *SIGS, "prefix")])
+    sets = lines.groupBy("k").agg(first, (F.count("*") > 1).alias("several"), *[F.first(c).alias(c) for c in ("size", *SIGS, "prefix")])
     # From here on a set is named by a number that grows with the place of its first line.
-    sets = sets.select(F.col("k").alias("set"), "first.*", "size", *SIGS, "prefix").orderBy("id", "line_no")
-    sets = stored(sets.withColumn("k", F.monotonically_increasing_id()), "line-sets")
+    sets = sets.select(F.col("k").alias("set"), "first.*", "size", *SIGS, "several", "prefix")
+    sets = stored_hashes(numbered(docs, lines, sets), "line-sets")
     firsts = sets.select("k", "id", "line_no", "lh")
-    posting = ("k", *SIGS, F.posexplode("prefix").alias("at", "token"))
 
     def fetched(pairs: DataFrame, name: str) -> DataFrame:
         names = pairs.select("k").union(pairs.select("k2")).distinct()
@@ -238,15 +293,15 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
         wanted = stored(firsts.join(names, "k"), f"{name}-wanted")
         return stored(tokens_of(docs, wanted), f"{name}-tokens")
 
-    # First every set beside the first one of each of its tokens: what matches there needs no other match, so a group of
+    # First every set beside the first one of each of its common tokens: what matches there needs no other match, so a group of
     # thousands of like lines is settled by as many pairs as it has members, and not by all pairs.
-    near_hubs = in_rounds(sets.select("size", *posting), lambda posts: hub_pairs(posts, permille), "hub-pairs")
+    near_hubs = stored(hub_pairs(sets.select("k", "size", *SIGS, "prefix"), permille), "hub-pairs")
     at_hubs = stored(alike(near_hubs, fetched(near_hubs, "hubs"), permille), "matched-at-hubs")
 
     # What is settled stays as the earlier line of others.
     settled = sets.join(at_hubs.withColumnRenamed("k2", "done"), F.col("k") == F.col("done"), "left")
     signed = F.when(F.col("done").isNull(), F.col("size")).otherwise(-F.col("size")).alias("size")
-    pairs = in_rounds(settled.select(signed, *posting), lambda posts: open_pairs(posts, permille), "line-pairs")
+    pairs = in_rounds(postings(settled.select("k", signed, *SIGS, "prefix")), lambda posts: open_pairs(posts, permille), "line-pairs")
     tokens = fetched(pairs, "pairs")
     # One earlier match is enough: the likeliest is looked at first, the others only where it fails.
     likeliest = pairs.groupBy("k2").agg(F.min(F.struct("apart", "k")).alias("m")).select("m.k", "k2")
@@ -256,7 +311,8 @@ def removed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     wide = stored(needed.select("k", F.size("tokens").cast("long").alias("n"), wide_signature(F.col("tokens")).alias("w")), "wide")
     left = stored(close_enough(rest, wide, permille), "left-pairs")
     matched = at_hubs.union(at_once).union(alike(left, tokens, permille)).select(F.col("k2").alias("of"), F.lit(True).alias("matched"))
-    fate = sets.select("set", "k", "id", "line_no").join(matched, F.col("k") == F.col("of"), "left")
+    # A line that has a set of its own and no match stays.
+    fate = sets.select("set", "k", "id", "line_no", "several").join(matched, F.col("k") == F.col("of"), "left").where("several OR matched")
     fate = stored(fate.select(F.col("set").alias("k"), "id", "line_no", F.coalesce("matched", F.lit(False)).alias("matched")), "line-fate")
     fate = fate.select(F.col("k").alias("g"), F.col("id").alias("id1"), F.col("line_no").alias("line1"), "matched")
     later = F.struct("id", "line_no") > F.struct("id1", "line1")

@@ -128,6 +128,46 @@ def test_tokens_are_sorted_as_longs(spark):
     assert sorted(len(r["keys"]) for r in keys.collect()) == [2, 4]
 
 
+def test_tokens_of_few_sets_have_no_hub(spark, monkeypatch):
+    """Three like lines need no hub; 40 that share a rare token have one."""
+    trio = [(k, " ".join(f"t{n}" for n in range(20)) + f" only{k}") for k in range(3)]
+    rows = [*trio, *((100 + k, " ".join(["shared", *(f"o{k}x{n}" for n in range(3 + k))])) for k in range(lines.FEW + 8))]
+    seen = {}
+    plain = lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: seen.setdefault(name, plain(df, name)))
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(documents(spark, rows).repartition(3)).collect())
+    assert got == kept_lines(rows, 800) and [t for _, t in got[:3]] == [trio[0][1], "", ""]
+    firsts = [r["k"] for r in seen["hub-pairs"].collect()]
+    assert not firsts and seen["hubs"].count() <= 1
+
+
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_hubs_are_broadcast_or_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "FEW", 1)
+    monkeypatch.setattr(lines, "BROADCAST_HUBS", most)
+    rows = near_lines()
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(documents(spark, rows).repartition(3)).collect())
+    assert got == kept_lines(rows, 800)
+
+
+@pytest.mark.parametrize("bits", [62, 0])
+def test_numbers_of_sets_grow_with_their_places(spark, monkeypatch, bits):
+    """Packed from id and line, or from a sort; ids may be negative or far apart."""
+    monkeypatch.setattr(lines, "NUMBER_BITS", bits)
+    for near in (-90, -(1 << 63)):
+        ids = {i: i + near if i < 90 else i for i, _ in near_lines()}
+        rows = [(ids[i], t) for i, t in near_lines()]
+        docs = documents(spark, rows).repartition(3).selectExpr("doc_id AS id", "text")
+        sets = lines.exploded(docs).where("line <> ''").select("id", "line_no")
+        places = lines.numbered(docs, sets, sets).orderBy("k").collect()
+        assert [(r["id"], r["line_no"]) for r in places] == sorted((r["id"], r["line_no"]) for r in places)
+        assert len({r["k"] for r in places}) == len(places)
+        got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(documents(spark, rows).repartition(3)).collect())
+        assert got == sorted(kept_lines(sorted(rows), 800))
+    twice = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (2, 0, "c")], "id long, line_no int, text string")
+    assert lines.numbered(twice, twice, twice).select("k").distinct().count() == 3
+
+
 def test_clashing_names_stay(spark):
     docs = documents(spark, [(1, "a b\nc"), (2, "b a")])
     names = ["_gone", "_gone_id", "_lines", "_lines_removed", "lh", "line_no", "set", "first"]
