@@ -337,7 +337,7 @@ def _refresh_years(spark, folder):
     late = (F.col("anno") == YEAR) & (F.col("cod_venta") % 2 == 0)
     states = States(spark, f"{root}/fact", f"{root}/states", CFG)
     for part in (sales.where(~late), sales.where(late)):
-        part.write.mode("append").partitionBy("anno").parquet(f"{root}/fact")
+        storage.packed(part).mode("append").partitionBy("anno").parquet(f"{root}/fact")
         states.refresh()
     return long_rows({name: build() for name, build in states.views(AS_OF).items()})
 

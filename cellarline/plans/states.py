@@ -8,11 +8,14 @@ Two kinds of state merge exactly:
 
 * **Grouped facts.** A state is the fact summed over all columns that a view does not look at; it has the fact's columns
   and types, so the view's own operator runs on it. Sums of sums, the largest of the largest and distinct keys among
-  kept keys are the same as over the lines.
+  kept keys are the same as over the lines. Where the keys to count leave hardly fewer rows than there are lines, the
+  sums come once for each group and the keys in rows of their own without amounts: both kinds together give the same.
 * **Sets as bitmaps.** Orders and customers get dense numbers from a dictionary that only grows. Per day, a bitmap of
   32,768 numbers in each bucket says which occur; the union of days is ``bitmap_or_agg``, the distinct count the sum of
   ``bitmap_count``. Orders are numbered as they come in, so a day touches few buckets.
 
+The lines are summed to orders first; days, sets and dictionaries are made from these rows, which are fewer.
+
 A manifest names the folders of all states. It is written behind them and switched at once, so readers see a whole
 refresh or none. One refresh runs at a time.
 """
@@ -32,15 +35,19 @@ from cellarline.functions.frames import rank_rows
 from cellarline.operators import customers, kpi, products, timeops
 from cellarline.plans.materialize import BASE
 from cellarline.sources.fact import SALES_SCHEMA
-from cellarline.sources.storage import current_rows, path_exists, read_table, write_truncate
+from cellarline.sources.storage import current_rows, packed, path_exists, read_table, write_truncate
+
+# Raise it with every change of what a state holds, so that older states are not taken.
+VERSION = 2
 
 #: The columns each grouped fact keeps; the amounts are summed.
 GRAINS = {
-    "orders": ("anno", "mes", "fecha", "cliente", "cod_venta"),
-    "countries": ("anno", "pais_origen_producto", "cliente", "cod_venta"),
-    "sellers": ("anno", "vendedor", "cod_venta"),
+    "countries": ("anno", "pais_origen_producto"),
+    "sellers": ("anno", "vendedor"),
     "products": ("anno", "producto", "nombre_tipo_bebida", "marca_producto"),
 }
+#: The keys that are counted in each group, of the states that have rows for them.
+COUNTED = {"countries": ("cliente", "cod_venta"), "sellers": ("cod_venta",)}
 AMOUNTS = ("venta_neta_mn", "costo_mn_total", "margen_mn")
 #: Dictionaries and the column of the fact they number.
 KEYS = {"order_keys": "cod_venta", "customer_keys": "cliente"}
@@ -65,15 +72,33 @@ def grouped(sales: DataFrame, grain: tuple[str, ...]) -> DataFrame:
     return sales.groupBy(*grain).agg(F.sum("cantidad").alias("cantidad"), *sums)
 
 
-def _has_origin() -> Column:
+def grouped_beside_keys(sales: DataFrame, grain: tuple[str, ...], counted: tuple[str, ...]) -> DataFrame:
+    """``grouped`` to ``grain``, and a row without amounts for each combination of ``grain`` and the keys ``counted``.
+
+    An order has few lines of one country or seller: sums for each of them would be shuffled and written for nearly
+    every line.
+    """
+    keys = sales.select(*grain, *counted).distinct()
+    return grouped(sales, grain).unionByName(keys, allowMissingColumns=True)
+
+
+def _marked(sales: DataFrame) -> DataFrame:
+    """Lines, or sums of them, that say if they have an origin."""
+    if "con_origen" in sales.columns:
+        return sales
     country = F.col("pais_origen_producto")
-    return (country.isNotNull() & (country != "")).alias("con_origen")
+    return sales.withColumn("con_origen", country.isNotNull() & (country != ""))
+
+
+def placed_orders(sales: DataFrame) -> DataFrame:
+    """The fact summed to orders, apart for lines with and without an origin."""
+    return grouped(_marked(sales), ("anno", "mes", "fecha", "con_origen", "cliente", "cod_venta"))
 
 
 def days(sales: DataFrame) -> DataFrame:
     """Exact sums per day, apart for lines with and without an origin."""
     sums = [exact_sum(c).alias(c) for c in ("venta_neta_mn", "margen_mn")]
-    return sales.groupBy("anno", "fecha", _has_origin()).agg(F.sum("cantidad").alias("cantidad"), *sums)
+    return _marked(sales).groupBy("anno", "fecha", "con_origen").agg(F.sum("cantidad").alias("cantidad"), *sums)
 
 
 def day_sets(sales: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -83,7 +108,7 @@ def day_sets(sales: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     shuffled and bitmaps made behind that: a bitmap takes 4 KB however few numbers it holds, and each task of the join
     would send one of its own for nearly every day and bucket. A bitmap is made of at most 32,768 rows.
     """
-    once = sales.where(F.col(column).isNotNull()).select("anno", "fecha", _has_origin(), F.col(column).alias("of")).distinct()
+    once = _marked(sales).where(F.col(column).isNotNull()).select("anno", "fecha", "con_origen", F.col(column).alias("of")).distinct()
     numbered = once.join(keys, F.col("of") == F.col("clave")).withColumn("cubo", F.bitmap_bucket_number("id"))
     of_a_bitmap = ("anno", "fecha", "con_origen", "cubo")
     placed = numbered.select(*of_a_bitmap, F.bitmap_bit_position("id").alias("_bit")).repartition(*of_a_bitmap)
@@ -99,7 +124,7 @@ class States:
     """The states below ``root`` of the fact at ``base``."""
 
     def __init__(self, spark: SparkSession, base: str, root: str, cfg: Settings = DEFAULTS) -> None:
-        self.spark, self.base, self.root, self.cfg = spark, base, root, cfg
+        self.spark, self.base, self.root, self.cfg = spark, base, f"{root}/v{VERSION}", cfg
 
     def manifest(self) -> list[tuple[str, str, str, str]]:
         """(state, year's folder, signature, rows): a row for each state and year, one without a state for each year's
@@ -118,15 +143,16 @@ class States:
             return self.spark.read.parquet(*paths)
         nothing = self.spark.createDataFrame([], SALES_SCHEMA)
         keys = {name: nothing.select(F.col(column).alias("clave"), F.lit(0).cast("bigint").alias("id")) for name, column in KEYS.items()}
-        return (keys | self._build(nothing, keys))[state]
+        orders = placed_orders(nothing)
+        return (keys | {"orders": orders} | self._build(nothing, orders, keys))[state]
 
     def _write(self, df: DataFrame, state: str, by_year: bool) -> str:
         path = f"{self.root}/{state}/rows-{uuid.uuid4().hex}"
         if by_year:
             # The year stays a column of the rows, so that each folder can be read by itself.
-            df.withColumn("_anno", F.col("anno")).write.partitionBy("_anno").parquet(path)
+            packed(df.withColumn("_anno", F.col("anno"))).partitionBy("_anno").parquet(path)
         else:
-            df.write.parquet(path)
+            packed(df).parquet(path)
         return path
 
     def years(self, folders: list[str]) -> DataFrame:
@@ -148,11 +174,14 @@ class States:
             return parts
         return [*parts, (state, f"{len(parts):05d}", "", path)]
 
-    def _build(self, sales: DataFrame, keys: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """All states of the lines in ``sales``."""
-        found = {state: grouped(sales, grain) for state, grain in GRAINS.items()}
-        found |= {"bands": bands(sales, self.cfg), "days": days(sales)}
-        return found | {state.replace("_keys", "_sets"): day_sets(sales, keys[state], column) for state, column in KEYS.items()}
+    def _build(self, sales: DataFrame, orders: DataFrame, keys: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The states of the lines in ``sales`` but for their ``orders``."""
+        found = {
+            state: grouped_beside_keys(sales, grain, COUNTED[state]) if state in COUNTED else grouped(sales, grain)
+            for state, grain in GRAINS.items()
+        }
+        found |= {"bands": bands(sales, self.cfg), "days": days(orders)}
+        return found | {state.replace("_keys", "_sets"): day_sets(orders, keys[state], column) for state, column in KEYS.items()}
 
     def refresh(self) -> list[str]:
         """Bring the states up to the fact; returns the folders of the years that were read anew or dropped.
@@ -169,11 +198,14 @@ class States:
         dictionaries = {state: [row for row in old if row[0] == state] for state in KEYS}
         if changed:
             sales = self.years(changed)
-            dictionaries = {state: self._grown(state, KEYS[state], sales, parts) for state, parts in dictionaries.items()}
+            orders = placed_orders(sales)
+            written = {"orders": self._write(orders, "orders", by_year=True)}
+            orders = self.spark.read.schema(orders.schema).parquet(written["orders"]).select(*orders.columns)
+            dictionaries = {state: self._grown(state, KEYS[state], orders, parts) for state, parts in dictionaries.items()}
             keys = {state: self.spark.read.parquet(*[row[3] for row in parts]) for state, parts in dictionaries.items()}
             rows += [("", folder, now[folder], "") for folder in changed]
-            for state, df in self._build(sales, keys).items():
-                path = self._write(df, state, by_year=True)
+            written |= {state: self._write(df, state, by_year=True) for state, df in self._build(sales, orders, keys).items()}
+            for state, path in written.items():
                 # A year can have no row in a state, and then has no folder.
                 rows += [(state, folder, "", f"{path}/_{folder}") for folder in changed if path_exists(self.spark, f"{path}/_{folder}")]
         every = rows + [row for parts in dictionaries.values() for row in parts]

@@ -125,3 +125,35 @@ def test_bitmaps_are_made_behind_the_shuffle(spark, sales):
     wanted = sales(*lines(5, 300)).selectExpr("anno", "fecha", "nvl(pais_origen_producto <> '', false) as con_origen", "cod_venta")
     wanted = wanted.groupBy("anno", "fecha", "con_origen").agg({"cod_venta": "count"}).count(), wanted.distinct().count()
     assert (counted.count(), counted.agg({"n": "sum"}).first()[0]) == wanted
+
+
+def test_sums_stand_beside_keys(spark, sales, tmp_path):
+    """Amounts come once a group, not for nearly every line; the keys beside them are each there once."""
+    base = str(tmp_path / "fact")
+    sales(*lines(7, 300)).write.partitionBy("anno").parquet(base)
+    states, fact = States(spark, base, str(tmp_path / "states")), spark.read.parquet(base)
+    states.refresh()
+    for state, group, keys in (("countries", "pais_origen_producto", ["cliente", "cod_venta"]), ("sellers", "vendedor", ["cod_venta"])):
+        rows = states.read(state)
+        sums = rows.where("cantidad is not null")
+        assert sums.count() == fact.select("anno", group).distinct().count()
+        assert values(sums.groupBy("anno", group).agg({"venta_neta_mn": "sum"})) == values(fact.groupBy("anno", group).agg({"venta_neta_mn": "sum"}))
+        beside = rows.where("cantidad is null")
+        assert beside.where("venta_neta_mn is not null or costo_mn_total is not null or margen_mn is not null").isEmpty()
+        assert values(beside.select("anno", group, *keys)) == values(fact.select("anno", group, *keys).distinct())
+
+
+def test_days_and_sets_are_made_from_orders(spark, sales, tmp_path, monkeypatch):
+    from cellarline.plans import states as module
+
+    base, read = str(tmp_path / "fact"), []
+    sales(*lines(8, 100, (2023,))).write.partitionBy("anno").parquet(base)
+    for name in ("days", "day_sets"):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda rows, *args, made=made: read.extend(rows.inputFiles()) or made(rows, *args))
+    States(spark, base, str(tmp_path / "states")).refresh()
+    assert read and all("/orders/" in file for file in read)
+    monkeypatch.undo()
+    # States of another layout are not taken.
+    monkeypatch.setattr(module, "VERSION", "next")
+    assert States(spark, base, str(tmp_path / "states")).refresh() == ["anno=2023"]
