@@ -73,13 +73,14 @@ def sales_fact(tables: dict[str, DataFrame], cost_rate: str = "0.6") -> DataFram
     )
     sellers = tables["supplier"].select("s_suppkey", "s_nationkey", F.col("s_name").alias("vendedor"))
     nations = tables["nation"].select("n_nationkey", F.col("n_name").alias("pais_origen_producto"))
-    # Orders meet their customer first, which shuffles the narrow orders by customer and not the lines. The
-    # lines meet them next, while they are still narrow; the dimensions widen them last.
+    # Orders meet their customer first, which shuffles the narrow orders by customer and not the lines. The lines meet
+    # the smallest dimension first and their orders last: so the lines of an order are written together, and whoever
+    # groups them by order later combines them before the shuffle.
     placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     joined = (
-        lines.join(placed, F.col("l_orderkey") == F.col("cod_venta"))
+        lines.join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(placed, F.col("l_orderkey") == F.col("cod_venta"))
         .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     )
     cost = (F.col("_unit_cost") * F.col("cantidad").cast("decimal(6,0)")).cast("decimal(18,4)")

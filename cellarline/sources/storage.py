@@ -65,7 +65,7 @@ def write_truncate(df: DataFrame, path: str, *, partition_by: tuple[str, ...] =
     leaves the pointer, and so the old rows, as they are. Read it with ``read_table``; ``clean_up`` removes old rows.
     """
     spark, rows = df.sparkSession, f"{path}/rows-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(rows)
+    packed(df).partitionBy(*partition_by).parquet(rows)
     point_to(spark, path, rows)
 
 
