@@ -90,6 +90,13 @@ def test_hot_keys_are_split(spark):
     assert "skew=true" in plan and rows == star["lineitem"].count()
 
 
+def test_orders_meet_the_lines_last(spark):
+    """Else a sort-merge join with a dimension scatters the lines of an order, and sums by order shuffle every line."""
+    plan = fact.sales_fact(fact.read_star(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    upper = re.findall(r"Join Inner, \(?\(?(l_\w+)#", plan)
+    assert upper == ["l_orderkey", "l_partkey", "l_suppkey"]
+
+
 def test_rank_of_all_customers_is_distributed(spark):
     from cellarline.plans.warehouse import sales_table
 
